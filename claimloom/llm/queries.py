@@ -2,24 +2,65 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimloom.llm import bpe, credentials, langid, mixing
 from claimloom.llm.minhash import near_duplicates
+from claimloom.llm.substrings import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return os.environ.get("BYTE_BPE_PATH") or public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2)
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four folds of five."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that also start in a document with a smaller id."""
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=50).drop("kept_text")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix by source weights takes."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with linked credentials."""
+    return credentials.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_language_id": op5_language_id,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
