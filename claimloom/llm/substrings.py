@@ -131,11 +131,16 @@ def _candidate_windows(length: int):
                 if not len(at):
                     continue
                 w0, w1 = window_hashes(hashes, length)[at], window_hashes(words.hashes(1), length, 1)[at]
-                doc = words.doc[at]
-                rows = pa.array(doc)
+                # a window that stands several times in a text is one row with its places
+                order = np.lexsort((at, w1, w0, words.doc[at]))
+                at, w0, w1, doc = at[order], w0[order], w1[order], words.doc[at][order]
+                fresh = np.ones(len(at), bool)
+                fresh[1:] = (w0[1:] != w0[:-1]) | (w1[1:] != w1[:-1]) | (doc[1:] != doc[:-1])
+                rows = pa.array(doc[fresh])
+                places = pa.ListArray.from_arrays(np.append(np.flatnonzero(fresh), len(at)).astype(np.int32), (at - words.first[doc]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w0.view(np.int64)), pa.array(w1.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - words.first[doc]).astype(np.int32))],
-                    ["w0", "w1", "id", "tag", "place"],
+                    [pa.array(w0[fresh].view(np.int64)), pa.array(w1[fresh].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), places],
+                    ["w0", "w1", "id", "tag", "places"],
                 )
 
     return of
@@ -161,16 +166,16 @@ def _without(length: int):
 
 
 def repeated_windows(docs: DataFrame, prof: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Texts (id, tag, text, hs) with a repeated half-length window, and (id, tag, place) of the target windows that also start under a smaller id."""
+    """Texts (id, tag, text, hs) with a repeated half-length window, and (id, tag, places) of the target windows that also start under a smaller id."""
     reps = prof.join(prof.groupBy("q0", "q1").agg(F.min("id").alias("rep")), ["q0", "q1"]).where((F.col("id") == F.col("rep")) & (F.size("anchors") > 0))
     grams = stored(reps.select("id", F.shiftright("q0", 32).alias("tag"), F.explode("anchors").alias("h")).distinct())
     twice = grams.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     hits = grams.join(twice, "h").groupBy("id", "tag").agg(F.collect_list("h").alias("hs"))
     of = hits.select(F.col("id").alias("hit_id"), "tag", "hs")
     texts = stored(docs.join(of, F.col("id") == F.col("hit_id")).select("id", "tag", "text", "hs"))
-    windows = stored(texts.mapInArrow(_candidate_windows(length), "w0 long, w1 long, id long, tag long, place int"))
-    again = windows.groupBy("w0", "w1").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w0", "w1", "low")
-    return texts, windows.join(again, ["w0", "w1"]).where("id > low").select("id", "tag", "place")
+    windows = stored(texts.mapInArrow(_candidate_windows(length), "w0 long, w1 long, id long, tag long, places array<int>"))
+    again = stored(windows.groupBy("w0", "w1").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w0", "w1", "low"))
+    return texts, windows.join(again, ["w0", "w1"]).where("id > low").select("id", "tag", "places")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -178,7 +183,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prof = stored(profiles(plain, length))
     texts, places = repeated_windows(plain, prof, length)
-    held = places.groupBy("id", "tag").agg(F.collect_list("place").alias("places")).withColumnsRenamed({"id": "of_id", "tag": "of_tag"})
+    held = places.groupBy("id", "tag").agg(F.flatten(F.collect_list("places")).alias("places")).withColumnsRenamed({"id": "of_id", "tag": "of_tag"})
     cut = texts.select("id", "tag", "text").distinct().join(held, (F.col("id") == F.col("of_id")) & (F.col("tag") == F.col("of_tag"))).select("id", "tag", "text", "places")
     cut = cut.mapInArrow(_without(length), "id long, tag long, n_removed long, kept_text string").withColumnsRenamed({"id": "cut_id", "tag": "cut_tag"})
     low = prof.groupBy("q0", "q1").agg(F.min("id").alias("rep"))
