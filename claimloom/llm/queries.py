@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, credentials, langid, mixing
+from claimloom.llm import bpe, credentials, kdshards, langid, mixing, quotes, syncmers, topk
 from claimloom.llm.minhash import near_duplicates
 from claimloom.llm.substrings import remove_repeats
 
@@ -28,11 +29,21 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products among all other rows, for each row whose id is divisible by 50."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in its thread, without quotes."""
+    return quotes.reply_ordered(quotes.link_quotes(_table(spark, sf_dir, "conversations")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from four folds of five."""
     return langid.identify(_table(spark, sf_dir, "documents"))
@@ -54,13 +65,28 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard among 24 of near equal bytes."""
+    sharded = kdshards.shard(_table(spark, sf_dir, "documents"))
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_secret_scan": op8_secret_scan,
+    "op9_kd_sharding": op9_kd_sharding,
+    "op10_closed_syncmers": op10_closed_syncmers,
 }
 
 ORACLE: dict[str, str] = {}
