@@ -110,6 +110,20 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
     return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < margin))
 
 
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The rows of docs that are not rejected, as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    number, at = hash(tuple(dictionaries.items())), docs.columns.index(text_col)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = _classifier(number, sent)
+        for batch in batches:
+            found = [tool.predict(x) for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= margin for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = MARGIN) -> DataFrame:
     """id, held_out, lang_pred, score, rejected: learns from docs and predicts every row."""
     found = predict(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col, margin)

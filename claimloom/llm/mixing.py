@@ -153,11 +153,12 @@ def materialised(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text
 
     Rows of docs that share an id get the draws of one of them.
     """
-    runs = mixed.select(F.col(id_col).alias("of_id"), "size", F.explode("draws").alias("d")).groupBy("of_id", "size", F.col("d.epoch").alias("epoch"))
-    runs = runs.agg(F.min("d.first_word").alias("from_word"), F.sum("d.words").alias("words"))
-    listed = runs.groupBy("of_id").agg(F.array_sort(F.collect_list(F.struct("epoch", "from_word", "words", "size"))).alias("runs"))
+    own = "filter(draws, d -> d.epoch = e)"
+    run = f"named_struct('epoch', e, 'from_word', array_min(transform({own}, d -> d.first_word)), 'words', aggregate({own}, 0L, (t, d) -> t + d.words), 'size', size)"
+    runs = mixed.select(F.col(id_col).alias("of_id"), F.expr(f"transform(array_distinct(transform(draws, d -> d.epoch)), e -> {run})").alias("runs"))
+    listed = runs.where(F.size("runs") > 0).groupBy("of_id").agg(F.max("runs").alias("runs"))
     joined = docs.join(listed, F.col(id_col) == F.col("of_id"))
-    exploded = joined.withColumn("run", F.explode("runs"))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), (F.col("run.from_word") + 1).cast("int"), F.col("run.words").cast("int")), " ")
-    text = F.when(F.col("run.words") >= F.col("run.size"), F.col(text_col)).otherwise(part)
-    return exploded.withColumn(text_col, text).select(*docs.columns)
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    part = lambda r: F.array_join(F.slice(words, (r["from_word"] + 1).cast("int"), r["words"].cast("int")), " ")
+    texts = F.transform("runs", lambda r: F.when(r["words"] >= r["size"], F.col(text_col)).otherwise(part(r)))
+    return joined.select(*(F.explode(texts).alias(c) if c == text_col else F.col(c) for c in docs.columns))
