@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimloom.llm.words import slices
+
 #: Bytes from which on a word's pairs are held in a heap.
 LONG = 256
 #: Distinct words whose ids a worker keeps.
-KNOWN = 400_000
+KNOWN = 100_000
 #: Fixed values of the byte-level format: how a text is cut, and which bytes stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -172,9 +174,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent)
-        for batch in batches:
-            ids = pa.array([_little(coder.encode(x or "")) for x in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                ids = pa.array([_little(coder.encode(x or "")) for x in batch.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
 
     return docs.mapInArrow(of, _with(docs, ids_col, T.BinaryType()))
 
@@ -198,10 +201,26 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     return encoded.mapInArrow(of, _with(encoded, text_col, T.StringType()))
 
 
+def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """docs with their ids and the texts that these decode to, in one pass: one worker and one vocabulary for each core."""
+    sent = _Sent(docs, path)
+    at = docs.columns.index(text_col)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(sent)
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                ids = [coder.encode(x or "") for x in batch.column(at).to_pylist()]
+                columns = [*batch.columns, pa.array(map(_little, ids), pa.binary()), pa.array(map(coder.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, ids_col, decoded_col])
+
+    schema = _with(docs, ids_col, T.BinaryType())
+    return docs.mapInArrow(of, T.StructType([*schema.fields, T.StructField(decoded_col, T.StringType())]))
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    coded = decode(encode(plain, path).select("id", "ids"), path)
+    coded = encode_and_decode(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path)
     return coded.select(
         F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -49,7 +49,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers), and whether they decode to the text."""
     path = tokenizer_path()
     plain = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    coded = bpe.decode(bpe.encode(plain, path), path)
+    coded = bpe.encode_and_decode(plain, path)
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
