@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimloom.functions.binding import let
 from claimloom.model import SQ_M_PER_UNIT
 
 # -- fixed values -----------------------------------------------------------------------
@@ -52,9 +53,12 @@ def unit_of(text: Column) -> Column:
 
 def parse_area(text: Column) -> Column:
     """The first area: raw, value, unit, sq_m, basis (named before the number); null if there is none or it is not positive."""
-    raw = F.regexp_extract(text, AREA, 0)
     value = F.regexp_replace(F.regexp_extract(text, AREA, 1), ",", "").try_cast("decimal(17,6)")
-    unit = unit_of(F.regexp_extract(text, AREA, 2))
-    prefix = F.substring_index(text, raw, 1)
-    made = F.struct(F.trim(raw).alias("raw"), value.alias("value"), unit.alias("unit"), sq_m(value, unit).alias("sq_m"), basis_of(prefix).alias("basis"))
-    return F.when((raw != "") & (value > 0) & unit.isNotNull(), made)
+    parts = F.struct(F.regexp_extract(text, AREA, 0).alias("raw"), value.alias("value"), unit_of(F.regexp_extract(text, AREA, 2)).alias("unit"))
+
+    def read(p: Column) -> Column:
+        prefix = F.call_function("substring_index", text, p["raw"], F.lit(1))
+        made = F.struct(F.trim(p["raw"]).alias("raw"), p["value"].alias("value"), p["unit"].alias("unit"), sq_m(p["value"], p["unit"]).alias("sq_m"), basis_of(prefix).alias("basis"))
+        return F.when((p["raw"] != "") & (p["value"] > 0) & p["unit"].isNotNull(), made)
+
+    return let(parts, read)

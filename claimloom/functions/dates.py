@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimloom.functions.binding import let
+
 # -- fixed values -----------------------------------------------------------------------
 NUMERIC_DATE = r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})(?!\d)"
 TEXTUAL_DATE = r"\b(\d{1,2})\s*(?:st|nd|rd|th)?\s*(?:day\s*of\s*)?([A-Za-z]{3,9}?)[,\s]*(\d{4})(?!\d)"
@@ -24,7 +26,7 @@ def expand_year(year: Column) -> Column:
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     """The date, or null if there is no such day."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
 
 def _group(text: Column, pattern: str, n: int) -> Column:
@@ -38,9 +40,19 @@ def parse_date(text: Column) -> Column:
     first where only that exists.
     """
     month = F.try_element_at(F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair)), F.lower(F.regexp_extract(text, TEXTUAL_DATE, 2)))
-    textual = _date(_group(text, TEXTUAL_DATE, 3), month, _group(text, TEXTUAL_DATE, 1))
-    a, b, year = _group(text, NUMERIC_DATE, 1), _group(text, NUMERIC_DATE, 2), expand_year(_group(text, NUMERIC_DATE, 3))
-    first, second = _date(year, b, a), _date(year, a, b)
+    parts = F.struct(
+        month.alias("month"),
+        _group(text, TEXTUAL_DATE, 3).alias("year"),
+        _group(text, TEXTUAL_DATE, 1).alias("day"),
+        _group(text, NUMERIC_DATE, 1).alias("a"),
+        _group(text, NUMERIC_DATE, 2).alias("b"),
+        _group(text, NUMERIC_DATE, 3).alias("y"),
+    )
     made = lambda value, doubt: F.when(value.isNotNull(), F.struct(value.alias("value"), doubt.alias("ambiguous")))
-    numeric = F.when(first.isNotNull(), made(first, (a <= 12) & (b <= 12) & (a != b))).otherwise(made(second, F.lit(False)))
-    return F.when(month.isNotNull(), made(textual, F.lit(False))).otherwise(numeric)
+
+    def read(p: Column) -> Column:
+        first, second = _date(expand_year(p["y"]), p["b"], p["a"]), _date(expand_year(p["y"]), p["a"], p["b"])
+        numeric = F.when(first.isNotNull(), made(first, (p["a"] <= 12) & (p["b"] <= 12) & (p["a"] != p["b"]))).otherwise(made(second, F.lit(False)))
+        return F.when(p["month"].isNotNull(), made(_date(p["year"], p["month"], p["day"]), F.lit(False))).otherwise(numeric)
+
+    return let(parts, read)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimloom.functions.binding import let
+
 # -- fixed values -----------------------------------------------------------------------
 INDIAN_GROUPS = r"^\d{1,2}(,\d{2})*,\d{3}$"
 WESTERN_GROUPS = r"^\d{1,3}(,\d{3})*$"
@@ -40,10 +42,9 @@ def figure_paise(figure: Column) -> Column:
 
 def money_figures(text: Column) -> Column:
     """The first amount in figures: raw, paise, grouping, suspicious; null if there is none."""
-    raw, figure = F.regexp_extract(text, MONEY, 0), F.regexp_extract(text, MONEY, 1)
-    style = grouping(figure)
-    found = F.struct(F.trim(raw).alias("raw"), figure_paise(figure).alias("paise"), style.alias("grouping"), (style == "irregular").alias("suspicious"))
-    return F.when((raw != "") & figure_paise(figure).isNotNull(), found)
+    figure = F.regexp_extract(text, MONEY, 1)
+    parts = F.struct(F.trim(F.regexp_extract(text, MONEY, 0)).alias("raw"), figure_paise(figure).alias("paise"), grouping(figure).alias("grouping"))
+    return let(parts, lambda p: F.when((p["raw"] != "") & p["paise"].isNotNull(), F.struct(p["raw"].alias("raw"), p["paise"].alias("paise"), p["grouping"].alias("grouping"), (p["grouping"] == "irregular").alias("suspicious"))))
 
 
 def _number(word: Column, table: dict[str, int]) -> Column:
@@ -58,7 +59,9 @@ def words_rupees(text: Column) -> Column:
     start = F.struct(zero.alias("total"), zero.alias("current"), F.lit(False).alias("seen"))
 
     def step(state: Column, word: Column) -> Column:
-        unit, scale = _number(word, UNITS), _number(word, SCALES)
+        return let(F.struct(_number(word, UNITS).alias("u"), _number(word, SCALES).alias("s")), lambda n: counted(state, n["u"], n["s"]))
+
+    def counted(state: Column, unit: Column, scale: Column) -> Column:
         held = F.when(state["current"] == 0, F.lit(1).cast("long")).otherwise(state["current"])
         total = F.when(scale >= 1000, state["total"] + held * scale).otherwise(state["total"])
         current = F.when(unit.isNotNull(), state["current"] + unit).when(scale >= 1000, zero).when(scale.isNotNull(), held * scale).otherwise(state["current"])
@@ -72,11 +75,11 @@ def cross_check(text: Column) -> Column:
 
     Words in parentheses count first, where they hold a scale word; else the whole text, where it holds a large one.
     """
-    figures = money_figures(text)["paise"]
     inside = F.filter(F.regexp_extract_all(text, F.lit(r"\(([^)]*)\)"), F.lit(1)), lambda c: c.rlike(SCALE_WORD))
     parsed = F.filter(F.transform(inside, words_rupees), lambda v: v > 0)
     words = F.coalesce(F.get(parsed, F.lit(0)), F.when(text.rlike(LARGE_WORD), words_rupees(text)))
-    return F.struct(figures.alias("figures_paise"), words.alias("words_rupees"), (figures == words * 100).alias("agree"))
+    both = F.struct(money_figures(text)["paise"].alias("figures"), words.alias("words"))
+    return let(both, lambda b: F.struct(b["figures"].alias("figures_paise"), b["words"].alias("words_rupees"), (b["figures"] == b["words"] * 100).alias("agree")))
 
 
 def format_indian(rupees: Column) -> Column:

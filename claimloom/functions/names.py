@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimloom.functions.binding import let
+
 # -- fixed values -----------------------------------------------------------------------
 HONORIFIC = r"(?i)^\s*(?:shri|sri|smt|smt\.|mr|mrs|ms|dr|late|m/s|messrs)\.?\s+"
 HONORIFICS = ("shri", "sri", "shree", "smt", "smt.", "mr", "mrs", "ms", "dr", "late", "m/s", "messrs", "kum", "kumari", "shrimati")
@@ -58,24 +60,37 @@ def _greedy(left: Column, right: Column) -> Column:
 
     def step(state: Column, token: Column) -> Column:
         ranked = F.transform(state["rest"], lambda c, i: F.struct(token_match(token, c).alias("score"), (-i).alias("at")))
-        best = F.array_max(ranked)
-        rest = F.filter(state["rest"], lambda c, i: i != -best["at"])
-        return F.when(F.size(state["rest"]) == 0, state).otherwise(F.struct(rest.alias("rest"), F.concat(state["scores"], F.array(best["score"])).alias("scores")))
+        rest = lambda best: F.filter(state["rest"], lambda c, i: i != -best["at"])
+        taken = let(F.array_max(ranked), lambda best: F.struct(rest(best).alias("rest"), F.concat(state["scores"], F.array(best["score"])).alias("scores")))
+        return F.when(F.size(state["rest"]) == 0, state).otherwise(taken)
 
     return F.aggregate(left, start, step, lambda s: s["scores"])
 
 
 def match_tokens(left: Column, right: Column) -> Column:
     """score and determination of two token arrays."""
+    return let(F.struct(left.alias("l"), right.alias("r")), lambda s: _matched(s["l"], s["r"]))
+
+
+def _matched(left: Column, right: Column) -> Column:
     swap = (F.size(right) == 1) & (F.size(left) > 1)
     a, b = F.when(swap, right).otherwise(left), F.when(swap, left).otherwise(right)
-    glued = F.when((F.size(a) == 1) & (F.size(b) > 1), token_match(F.get(a, F.lit(0)), F.array_join(b, "")))
-    scores = _greedy(a, b)
-    mean = F.aggregate(scores, F.lit(0.0), lambda t, s: t + s) / F.size(scores)
-    paired = F.round(mean * (0.7 + 0.3 * (F.size(scores) / F.greatest(F.size(a), F.size(b)))), 4)
-    score = F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).when(glued >= MATCH_AT, glued).otherwise(paired)
-    outcome = F.when((F.size(a) == 0) | (F.size(b) == 0), "NOT_DETERMINABLE").when(score >= MATCH_AT, "MATCH").when(score >= PARTIAL_AT, "PARTIAL_MATCH").otherwise("MISMATCH")
-    return F.struct(score.alias("score"), outcome.alias("determination"))
+
+    def paired(s: Column) -> Column:
+        mean = F.aggregate(s["scores"], F.lit(0.0), lambda t, x: t + x) / F.size(s["scores"])
+        return F.round(mean * (0.7 + 0.3 * (F.size(s["scores"]) / s["most"])), 4)
+
+    def scored(s: Column) -> Column:
+        glued = F.when((F.size(s["a"]) == 1) & (F.size(s["b"]) > 1), token_match(F.get(s["a"], F.lit(0)), F.array_join(s["b"], "")))
+        held = F.struct(glued.alias("glued"), _greedy(s["a"], s["b"]).alias("scores"), F.greatest(F.size(s["a"]), F.size(s["b"])).alias("most"))
+        best = let(held, lambda h: F.when(h["glued"] >= MATCH_AT, h["glued"]).otherwise(paired(h)))
+        return F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(None).cast("double")).otherwise(best)
+
+    def judged(score: Column) -> Column:
+        outcome = F.when(score.isNull(), "NOT_DETERMINABLE").when(score >= MATCH_AT, "MATCH").when(score >= PARTIAL_AT, "PARTIAL_MATCH").otherwise("MISMATCH")
+        return F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), outcome.alias("determination"))
+
+    return let(let(F.struct(a.alias("a"), b.alias("b")), scored), judged)
 
 
 def match_names(left: Column, right: Column) -> Column:

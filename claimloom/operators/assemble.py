@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.binding import let
 from claimloom.functions.names import match_tokens, split_name
 
 # -- fixed values -----------------------------------------------------------------------
@@ -34,8 +35,9 @@ def merge_parties(claims: DataFrame) -> DataFrame:
         return F.array_max(F.transform(party["tokens"], lambda v, i: F.struct(match_tokens(tokens, v).alias("m"), (-i).alias("at"))))
 
     def step(state: Column, x: Column) -> Column:
-        tokens = split_name(x["display"])
-        ranked = F.transform(state["parties"], lambda p: best(p, tokens))
+        return let(split_name(x["display"]), lambda tokens: let(F.transform(state["parties"], lambda p: best(p, tokens)), lambda ranked: placed(state, x, tokens, ranked)))
+
+    def placed(state: Column, x: Column, tokens: Column, ranked: Column) -> Column:
         at = F.array_position(F.transform(ranked, lambda r: r["m"]["score"] >= MERGE_AT), F.lit(True))
 
         def joined(p: Column, i: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.areas import TOLERANCE_PCT, within_tolerance
+from claimloom.functions.binding import let
 from claimloom.functions.names import match_names
 from claimloom.functions.text import alnum
 from claimloom.model import OUTCOMES, rank
@@ -41,8 +42,7 @@ def compare_to_truth(field: Column, kind: Column, expected: Column, actual: Colu
         .when(expected["basis"] != actual["basis"], "NEAR")
         .otherwise("CORRECT")
     )
-    matched = match_names(expected["text"], actual["raw"])["determination"]
-    name = F.when(matched == "MATCH", "CORRECT").when(matched == "PARTIAL_MATCH", "NEAR").otherwise("WRONG")
+    name = let(match_names(expected["text"], actual["raw"])["determination"], lambda d: F.when(d == "MATCH", "CORRECT").when(d == "PARTIAL_MATCH", "NEAR").otherwise("WRONG"))
     text = F.when(actual["cmp_key"] == F.lower(F.trim(expected["text"])), "CORRECT").when(alnum(actual["raw"]) == alnum(expected["text"]), "NEAR").otherwise("WRONG")
     return (
         F.when(kind == "money", same(expected["paise"], actual["paise"]))
@@ -101,7 +101,7 @@ def confusion(pairs: DataFrame) -> DataFrame:
 
 def confusion_matrix(pairs: DataFrame, labels: list[str]) -> DataFrame:
     """A row for each expected label, a column for each predicted one."""
-    return pairs.groupBy("expected").pivot("predicted", labels).agg(F.count("*")).na.fill(0)
+    return pairs.groupBy("expected").pivot("predicted", labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def confusion_scores(cells: DataFrame) -> DataFrame:

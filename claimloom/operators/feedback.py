@@ -25,7 +25,7 @@ def calibration(latest: DataFrame) -> DataFrame:
 def parse_correction(kind: Column, text: Column, original_basis: Column) -> Column:
     """A correction read as the field's own kind: key, sq_m, basis, error. What can't be read is refused, not guessed."""
     figure = F.coalesce(money.money_figures(text)["paise"], money.figure_paise(F.when(text.rlike(r"^[\d,]+(\.\d{1,2})?$"), text)))
-    day = F.coalesce(F.try_to_date(text, F.lit("yyyy-MM-dd")), dates.parse_date(text)["value"])
+    day = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), dates.parse_date(text)["value"])
     area = areas.parse_area(text)
     key = (
         F.when(kind == "money", figure.cast("string")).when(kind == "date", day.cast("string")).when(kind == "area", area["sq_m"].cast("string")).when(kind == "bool", F.when(F.lower(F.trim(text)).isin("true", "yes", "1"), "true").when(F.lower(F.trim(text)).isin("false", "no", "0"), "false")).otherwise(F.nullif(F.lower(F.trim(text)), F.lit("")))

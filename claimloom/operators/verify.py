@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.areas import TOLERANCE_PCT, within_tolerance
+from claimloom.functions.binding import let
 from claimloom.functions.names import match_names
 from claimloom.model import ADVERSE_STATUSES, ANSWERED, AUTOMATABLE_TIERS, capped
 
@@ -145,8 +146,7 @@ def plan_summary(planned: DataFrame) -> DataFrame:
 
 def compare_values(attribute: Column, a: Column, b: Column, pct: float = TOLERANCE_PCT) -> Column:
     """Status of an internal value against an external one, structs of kind, cmp_key, raw, sq_m and basis."""
-    name = match_names(a["raw"], b["raw"])["determination"]
-    by_name = F.when(name == "NOT_DETERMINABLE", "NOT_FOUND_IN_SOURCE").otherwise(name)
+    by_name = let(match_names(a["raw"], b["raw"])["determination"], lambda d: F.when(d == "NOT_DETERMINABLE", "NOT_FOUND_IN_SOURCE").otherwise(d))
     bases = (a["basis"] != b["basis"]) & (a["basis"] != "unspecified") & (b["basis"] != "unspecified")
     area = F.when(bases, "PARTIAL_MATCH").when(within_tolerance(a["sq_m"], b["sq_m"], pct), "MATCH").otherwise("MISMATCH")
     x, y = a["cmp_key"], b["cmp_key"]

@@ -1,10 +1,10 @@
-"""The query catalogue: each query with the DuckDB SQL that must return the same rows."""
+"""The query catalogue: every operator on the tables it can be shown on."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from claimloom.plans import bundle, claims, documents, evaluation, functions, streams, verification
+from claimloom.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+PARTS = (claims, documents, functions, verification, evaluation, streams, bundle)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "PARTS", "QUERIES"]
