@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def collapsed(text: Column) -> Column:
@@ -46,7 +47,7 @@ def locate(text: str | None, value: str | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<start:int,end:int>")
+@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 def located_span(texts: pd.Series, values: pd.Series) -> pd.DataFrame:
     """locate() for columns; meant for rows that the exact test has not settled."""
     found = [locate(t, v) or (None, None) for t, v in zip(texts, values, strict=True)]
@@ -89,7 +90,7 @@ def script_counts(text: Column) -> Column:
 def confidence_value(raw: Column) -> Column:
     """A number clamped to 0 to 1, four decimals; null if it is none."""
     value = raw.try_cast("double")
-    return F.when(~F.isnan(value), F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 4))
+    return F.when(value.isNotNull() & ~F.isnan(value), F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 4))
 
 
 def rendered(template: str, values: Column) -> Column:
@@ -118,7 +119,7 @@ def sample_places(pages: Column, most: int = 5) -> Column:
     return F.when(pages <= 0, F.array().cast("array<int>")).when(pages <= most, every).otherwise(spread)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sharpness(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Population variance of the four-neighbour Laplacian of gray images, given as rows of numbers; null under 3 x 3."""
 

@@ -32,11 +32,12 @@ def process(pages: DataFrame, cases: DataFrame, rule_set=rules.RULES) -> dict[st
     """
     spark = pages.sparkSession
     keys = ("case_id", "document_id")
-    documents = classify.classify(pages, keys=keys).withColumnRenamed("doc_type", "document_type")
-    fields = extract.extract(documents, pages)
-    claims = extract.to_claims(fields)
+    # every later step reads these: they are computed once
+    documents = classify.classify(pages, keys=keys).withColumnRenamed("doc_type", "document_type").persist()
+    fields = extract.extract(documents, pages).persist()
+    claims = extract.to_claims(fields).persist()
     parties = assemble.merge_parties(claims)
-    resolutions = resolve(claims)
+    resolutions = resolve(claims).persist()
     present = documents.groupBy("case_id").agg(F.array_sort(F.collect_set("document_type")).alias("present"))
     held = documents.select("case_id", "document_type", F.col("document_id").alias("ord"), F.lit("unknown").alias("custody"))
     none = spark.createDataFrame([], "case_id string, source_id string, attribute string, tier string, status string, external_value string")

@@ -113,7 +113,7 @@ def party_merge(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("case_id", "attribute", "party_no", F.array_join("variants", "; ").alias("variants"), F.size("claim_ids").alias("n_claims"), F.size("kept_separate").alias("n_kept_separate"))
 
 
-@query("""WITH b AS (SELECT item_id, text AS ref, regexp_replace(text, 'e', '#', 'g') AS hyp FROM benchmark), c AS (SELECT *, string_split(ref, ' ') AS rt, string_split(hyp, ' ') AS ht FROM b)
+@query("""WITH b AS (SELECT item_id, text AS ref, regexp_replace(text, 'e', '#', 'g') AS hyp FROM benchmark), c AS (SELECT *, regexp_split_to_array(ref, '\\s+') AS rt, regexp_split_to_array(hyp, '\\s+') AS ht FROM b)
 SELECT item_id, round(levenshtein(ref, hyp)::DOUBLE / length(ref) * 10000)::BIGINT AS cer, round(len(list_filter(list_zip(rt, ht), lambda z: z[1] <> z[2]))::DOUBLE / len(rt) * 10000)::BIGINT AS wer FROM c""")
 def cer_wer(spark: SparkSession, folder: str) -> DataFrame:
     """Error rates of benchmark texts with a letter misread: a changed word is no word of the text, so the word rate is a count."""

@@ -59,7 +59,7 @@ def load_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 def markdown_rows(lines: DataFrame) -> DataFrame:
     """Rows of numbered tables in Markdown lines (line_no, line): section, number, closed (struck out), text."""
     section = F.last(F.when(F.col("line").rlike(r"^#{1,6}\s"), F.regexp_replace("line", r"^#{1,6}\s+", "")), ignorenulls=True)
-    cells = F.transform(F.split("line", r"\|"), F.trim)
+    cells = F.transform(F.split("line", r"\|"), lambda c: F.trim(c))
     out = lines.withColumn("section", section.over(Window.orderBy("line_no"))).withColumn("cells", cells)
     number: Column = F.regexp_extract(F.get("cells", F.lit(1)), r"^~{0,2}(\d+)~{0,2}$", 1).try_cast("int")
     return out.where(F.col("line").startswith("|") & number.isNotNull()).select("section", number.alias("number"), F.get("cells", F.lit(1)).startswith("~").alias("closed"), F.get("cells", F.lit(2)).alias("text"))
