@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, EXCERPT, DICTIONARY = 800, 2_048, 256 << 10
+SAMPLE, EXCERPT, DICTIONARY = 400, 2_048, 256 << 10
 #: Texts are encoded in pieces of so many characters, so that what a long text has said before doesn't replace the dictionary.
 PIECE = 4_096
 LEVEL = 6

@@ -166,7 +166,9 @@ def _without(length: int):
 
 
 def repeated_windows(docs: DataFrame, prof: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Texts (id, tag, text, hs) with a repeated half-length window, and (id, tag, places) of the target windows that also start under a smaller id."""
+    """Texts (id, tag, text, hs) with a repeated half-length window, and (w0, w1, id, tag, places, low) of the target windows
+    that start under several ids, the smallest of which is low.
+    """
     reps = prof.join(prof.groupBy("q0", "q1").agg(F.min("id").alias("rep")), ["q0", "q1"]).where((F.col("id") == F.col("rep")) & (F.size("anchors") > 0))
     grams = stored(reps.select("id", F.shiftright("q0", 32).alias("tag"), F.explode("anchors").alias("h")).distinct())
     twice = grams.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
@@ -175,7 +177,29 @@ def repeated_windows(docs: DataFrame, prof: DataFrame, length: int) -> tuple[Dat
     texts = stored(docs.join(of, F.col("id") == F.col("hit_id")).select("id", "tag", "text", "hs"))
     windows = stored(texts.mapInArrow(_candidate_windows(length), "w0 long, w1 long, id long, tag long, places array<int>"))
     again = stored(windows.groupBy("w0", "w1").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w0", "w1", "low"))
-    return texts, windows.join(again, ["w0", "w1"]).where("id > low").select("id", "tag", "places")
+    return texts, windows.join(again, ["w0", "w1"])
+
+
+def repeat_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """id_col, place, words: each window of `length` words that repeats in another document, with the largest doubling of that
+    length at which the window at its place still repeats.
+
+    Survivors of a level alone are extended: two that stand one length apart make one of twice the length, named by both
+    names. Levels end when no candidate survives. Documents with the same word sequence count as one, the smallest id.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    _, found = repeated_windows(plain, stored(profiles(plain, length)), length)
+    alive = stored(found.select("w0", "w1", "id", "tag", F.explode("places").alias("place")))
+    levels = alive.select("id", "tag", "place", F.lit(length).alias("words"))
+    while alive.limit(1).count():
+        after = alive.select(F.col("w0").alias("v0"), F.col("w1").alias("v1"), F.col("id").alias("of"), F.col("tag").alias("of_tag"), F.col("place").alias("at"))
+        pairs = alive.join(after, (F.col("id") == F.col("of")) & (F.col("tag") == F.col("of_tag")) & (F.col("place") + length == F.col("at")))
+        longer = stored(pairs.select(F.xxhash64("w0", "v0").alias("w0"), F.xxhash64("v1", "w1").alias("w1"), "id", "tag", "place"))
+        again = longer.groupBy("w0", "w1").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w0", "w1")
+        alive, length = stored(longer.join(again, ["w0", "w1"])), 2 * length
+        levels = levels.unionByName(alive.select("id", "tag", "place", F.lit(length).alias("words")))
+    out = levels.groupBy("id", "tag", "place").agg(F.max("words").alias("words"))
+    return out.select(F.col("id").alias(id_col), "place", "words")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -183,7 +207,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prof = stored(profiles(plain, length))
     texts, places = repeated_windows(plain, prof, length)
-    held = places.groupBy("id", "tag").agg(F.flatten(F.collect_list("places")).alias("places")).withColumnsRenamed({"id": "of_id", "tag": "of_tag"})
+    held = places.where("id > low").groupBy("id", "tag").agg(F.flatten(F.collect_list("places")).alias("places")).withColumnsRenamed({"id": "of_id", "tag": "of_tag"})
     cut = texts.select("id", "tag", "text").distinct().join(held, (F.col("id") == F.col("of_id")) & (F.col("tag") == F.col("of_tag"))).select("id", "tag", "text", "places")
     cut = cut.mapInArrow(_without(length), "id long, tag long, n_removed long, kept_text string").withColumnsRenamed({"id": "cut_id", "tag": "cut_tag"})
     low = prof.groupBy("q0", "q1").agg(F.min("id").alias("rep"))

@@ -90,7 +90,7 @@ class Words:
         if n == 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         total = np.zeros(n, np.uint64)
-        for j in range(k):
+        for j in range(min(k, n)):
             total[: n - j] += hashes[j:] * _PLACE[j]
         at = np.flatnonzero(np.arange(n) + k <= self.first[self.doc + 1])
         value, doc = mix(total[at]), self.doc[at]

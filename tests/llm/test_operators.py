@@ -1,0 +1,603 @@
+"""The ten operators against brute force, and on empty, null, repeated and very long inputs."""
+
+from __future__ import annotations
+
+import array
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from claimloom.llm import bpe, credentials, kdshards, langid, minhash, mixing, quotes, substrings, syncmers, topk
+from claimloom.llm.graph import components
+from claimloom.llm.queries import ORACLE, QUERIES, tokenizer_path
+from claimloom.llm.words import Words, slices
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def table(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def documents(table):
+    return {r["doc_id"]: r for r in table.collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, repeated rows, a very long text, words beyond ASCII, and columns whose names clash with inner ones."""
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    base = [f"t{i}" for i in range(200)]
+    near = base[:100] + ["changed"] + base[101:]
+    texts = [None, "", "   \n\t", "one", "one", "Été naïve Éclair " * 5, long, " ".join(base), " ".join(near), " ".join(base), "a" * 5000, "two words", "Two  WORDS", "token = abcdefghijkl0123"]
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 == 0 else f"s{i % 2}", i) for i, t in enumerate(texts)]
+    rows += [rows[7], (None, "no id", None, None, None)]
+    frame = spark.createDataFrame(rows, DOC)
+    clash = {c: F.lit(1) for c in ("id", "n", "ids", "size", "hub", "band", "label", "score", "place", "turn", "part", "draws", "shard", "key")}
+    return frame.withColumns(clash)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def shingles(text, k):
+    words = (text or "").encode().lower().split()
+    return {tuple(words)} if 0 < len(words) < k else {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
+def brute_components(texts, k, percent=80):
+    sets = {i: shingles(t, k) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = defaultdict(list)
+    for i in sorted(sets):
+        shared = defaultdict(int)
+        for s in sets[i]:
+            for j in holders[s]:
+                shared[j] += 1
+            holders[s].append(i)
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+def test_every_operator_has_its_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(ORACLE) <= set(QUERIES)
+
+
+# -- words and graph ---------------------------------------------------------------------------
+
+
+def test_words_are_those_of_the_pattern(spark):
+    import pyarrow as pa
+
+    texts = ["a b", None, "", " x\ty\x0bz\x1cq ", "é ü", "end", "b a"]
+    column = pa.array(texts)
+    words = Words(column)
+    got = [[bytes(words.data[s:e]).decode() for s, e, d in zip(words.start, words.end, words.doc, strict=True) if d == i] for i in range(len(texts))]
+    assert got == [WORD.findall(t or "") for t in texts]
+    hashes = words.hashes()
+    by = defaultdict(set)
+    for s, e, h in zip(words.start, words.end, hashes, strict=True):
+        by[bytes(words.data[s:e])].add(int(h))
+    assert all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == len(by)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), column], ["id", "text"])
+    assert sum(b.num_rows for b in slices(batch, "text")) == 7
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 160)} == {100}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- 1 -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_minhash_components(table, documents, k):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table, k=k).collect()}
+    assert got == brute_components({i: r["text"] for i, r in documents.items()}, k)
+
+
+def test_minhash_on_near_copies(spark):
+    """A group whose members differ from a base in other places: links are many and close to the threshold."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(150):
+        words = list(base)
+        for j in rng.choice(120, rng.integers(2, 14), replace=False):
+            words[j] = f"x{rng.integers(1_000_000)}"
+        texts[i] = " ".join(words)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=2).collect()}
+    assert got == brute_components(texts, 2)
+
+
+def test_minhash_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 4)
+    test_minhash_on_near_copies(spark)
+
+
+def test_posterior_bounds_are_safe():
+    fewest = minhash.least_matches(0.8, 1e-5)
+    assert fewest == tuple(sorted(fewest)) and all(f < 0.8 * 32 * (i + 1) for i, f in enumerate(fewest))
+    assert all(a <= b for a, b in zip(minhash.least_matches(0.8, 1e-9), fewest, strict=True))
+
+
+def test_minhash_odd(odd, empty):
+    rows = minhash.near_duplicates(odd, k=2).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == odd.count()
+    assert [got[i]["n_shingles"] for i in (0, 1, 2, 3)] == [0, 0, 0, 1]
+    assert [got[i]["component_id"] for i in (0, 1, 2, 3, 4, 11, 12)] == [0, 1, 2, 3, 3, 11, 11]
+    assert {got[i]["component_id"] for i in (7, 8, 9)} == {7}
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+# -- 2 -------------------------------------------------------------------------------------------
+
+
+def brute_top(rows, k=5):
+    vectors = {}
+    sound = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    out = set()
+    for i, v in sound:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for j, w in sound if j != i)[:k]
+            out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)}
+    return out, vectors
+
+
+def test_top_k(spark, small):
+    frame = spark.read.parquet(f"{small}/embeddings.parquet")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in QUERIES["op2_exact_top_k"](spark, small).collect()}
+    assert got == brute_top([(r["vec_id"], r["embedding"]) for r in frame.collect()])[0]
+
+
+def test_top_k_stops_on_proof_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 40)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.1, 8).astype(np.float32).tolist()) for i in range(120)]
+    rows += [(200 + i, [0.5] * 8) for i in range(30)] + [(50 * 9, None), (50 * 10, []), (50 * 11, [float("nan")] * 8), (50 * 12, [None] * 8), (7777, [float("inf")] * 8), (50 * 13, [0.25] * 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()}
+    assert got == brute_top(rows)[0]
+    few = frame.where("vec_id < 3")
+    assert topk.top_k(few, F.col("vec_id") == 0).count() == 2
+    assert topk.top_k(frame.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
+
+
+def test_top_k_stops_early():
+    """Vectors near their queries are proved best before all postings are read."""
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-5, 6, (4000, 16)).astype(float)
+    vectors[:8] = 200
+    found = topk.Index(vectors).search(np.full((1, 16), 100.0), np.ones((1, 4000), bool), 5)[0]
+    assert set(range(8)) <= set(found.tolist()) and len(found) <= 80
+
+
+# -- 3 -------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark, small, documents):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    theirs = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r for r in QUERIES["op3_bpe_round_trip"](spark, small).collect()}
+    for i, r in documents.items():
+        ids = theirs.encode(r["text"] or "", add_special_tokens=False).ids
+        back = theirs.decode(ids, skip_special_tokens=False)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(array.array("I", ids).tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
+def test_bpe_hard_texts():
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), "rb") as f:
+        mine = bpe.Coder(f.read())
+    theirs = Tokenizer.from_file(tokenizer_path())
+    texts = ["", " ", "\n\n \t x", "a<|endoftext|>b<|endoftext|>", "it's THEY'LL we'd", "a" * 3000, "ab" * 4000, "日本語テキスト 한국어 😀👩‍👩‍👧", "\x00\x1c\x85 　x", "the" * 900 + "\n" * 700, " " * 900, "é" * 400, "1234567890" * 90, "!?" * 500]
+    for t in texts:
+        ids = theirs.encode(t, add_special_tokens=False).ids
+        assert list(mine.encode(t)) == ids
+        assert mine.decode(mine.encode(t)) == theirs.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_odd(odd, empty):
+    rows = {r["doc_id"]: r for r in bpe.round_trip(odd, tokenizer_path()).collect()}
+    assert rows[0]["n_tokens"] == rows[1]["n_tokens"] == 0
+    assert rows[6]["decoded_sha256"] == hashlib.sha256(" ".join(f"w{i % 977}" for i in range(30_000)).encode()).hexdigest()
+    assert bpe.round_trip(empty, tokenizer_path()).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode(odd, tokenizer_path())  # it has a column ids already
+    named = bpe.decode(bpe.encode(odd, tokenizer_path(), ids_col="my_ids"), tokenizer_path(), ids_col="my_ids")
+    assert named.where("coalesce(text, '') <> decoded").count() == 0
+
+
+# -- 4 -------------------------------------------------------------------------------------------
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "user", "Hello there world\nsecond line"),
+        (1, 1, "assistant", "Ada wrote:\n> hello  there WORLD\n\nI agree."),
+        (1, 2, "user", "> > Hello there world\n> I agree.\nGood"),
+        (1, 3, "user", ">unknown\nfine"),
+        (2, 0, "user", None),
+        (2, 1, "user", ""),
+        (2, 2, None, "> Hello there world"),
+        (None, 0, "user", "x"),
+        (3, 0, "user", "> later\n"),
+        (3, 1, "user", "later"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit(0), "thread": F.lit(0), "hash": F.lit(0)})
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(frame).collect()}
+    assert len(got) == len(rows)
+    assert [(got[1, t]["thread"], got[1, t]["depth"], got[1, t]["reply_to"], got[1, t]["text"]) for t in range(4)] == [
+        (0, 0, None, "Hello there world\nsecond line"),
+        (0, 1, 0, "I agree."),
+        (0, 2, 1, "Good"),
+        (3, 0, None, "fine"),
+    ]
+    assert (got[2, 0]["text"], got[2, 1]["text"]) == (None, "")
+    assert got[2, 2]["reply_to"] is None and got[2, 2]["text"] == ""  # said in another conversation only
+    assert got[3, 0]["reply_to"] is None  # not yet said
+    ordered = quotes.reply_ordered(quotes.link_quotes(frame)).where("conv_id = 1").collect()
+    assert [r["turn"] for r in ordered] == [0, 1, 2, 3]
+    assert quotes.link_quotes(frame.where("conv_id = 99")).count() == 0
+
+
+def test_quote_levels():
+    text = "On Monday Bo wrote:\n>> deep\n> shallow\n> still\n\nown"
+    lines = quotes.levels(text)
+    assert [n for n, _ in lines] == [2, 2, 1, 1, 0, 0]
+    assert quotes.unquoted(lines) == "own"
+    assert quotes.unquoted(quotes.levels("a\n\n\n\nb")) == "a\n\n\n\nb"
+
+
+def test_conversations_without_quotes_stay(spark, small):
+    got = {(r["conv_id"], r["turn"]): r["text"] for r in QUERIES["op4_chat_formatting"](spark, small).collect()}
+    want = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{small}/conversations.parquet").collect()}
+    assert got == {k: quotes.unquoted(quotes.levels(t)) for k, t in want.items()}
+
+
+# -- 5 -------------------------------------------------------------------------------------------
+
+
+def test_language_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = QUERIES["op5_language_id"](spark, folder).collect()
+    known = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    out = [r for r in rows if r["held_out"]]
+    assert sum(r["lang_pred"] == known[r["doc_id"]]["lang"] for r in out) / len(out) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert sum(r["rejected"] for r in rows) / len(rows) < 0.02
+
+
+def test_language_never_reads_held_out_rows(spark):
+    rows = [(i, "completely ordinary english words here " * 3 if i % 2 else "ganz andere deutsche worte stehen hier " * 3, "en" if i % 2 else "de", "s", 0) for i in range(60)]
+    frame = spark.createDataFrame(rows, DOC)
+    spoilt = frame.withColumn("lang", F.when(langid.held_out("doc_id"), "xx").otherwise(F.col("lang")))
+    assert set(langid.learn(spoilt)) == {"en", "de"}
+    assert {r["lang_pred"] for r in langid.identify(frame).collect()} == {"en", "de"}
+
+
+def test_language_odd(odd, empty, spark):
+    rows = {r["doc_id"]: r for r in langid.identify(odd).collect()}
+    assert [(rows[i]["lang_pred"], rows[i]["score"]) for i in (0, 1, 2)] == [("und", 0.0)] * 3
+    assert rows[3]["lang_pred"] == "en"  # the only one that is learned
+    assert langid.identify(empty).count() == 0
+    assert langid.keep_identified(odd, langid.learn(odd)).columns == odd.columns
+
+
+# -- 6 -------------------------------------------------------------------------------------------
+
+
+def brute_removed(texts, length):
+    first = {}
+    words = {i: WORD.findall(t or "") for i, t in texts.items()}
+    for i in sorted(words):
+        for p in range(len(words[i]) - length + 1):
+            first.setdefault(tuple(words[i][p : p + length]), i)
+    out = {}
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for p in range(len(w) - length + 1):
+            if first[tuple(w[p : p + length])] < i:
+                gone[p : p + length] = [True] * length
+        out[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("length", [50, 10, 7, 2])
+def test_substrings(table, documents, length):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(table, length=length).collect()}
+    assert got == brute_removed({i: r["text"] for i, r in documents.items()}, length)
+
+
+def test_substrings_overlap_and_repeat_inside(spark):
+    rng = np.random.default_rng(2)
+    passages = [[f"p{k}_{i}" for i in range(60)] for k in range(3)]
+    texts = {}
+    for i in range(40):
+        words = [f"u{rng.integers(10_000_000)}" for _ in range(30)] + passages[i % 3][rng.integers(0, 8) :] + ["same"] * int(rng.integers(0, 130)) + passages[(i + 1) % 3][: rng.integers(45, 60)]
+        texts[i] = " ".join(words)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(frame, length=50).collect()}
+    assert got == brute_removed(texts, 50)
+
+
+def test_repeats_double_until_none_survives(spark):
+    rng = np.random.default_rng(9)
+    run = [f"r{i}" for i in range(137)]
+    texts = {i: " ".join([f"u{rng.integers(10_000_000)}" for _ in range(20)] + run[: 137 - 40 * i] + [f"v{rng.integers(10_000_000)}" for _ in range(5)]) for i in range(3)}
+    words = {i: t.split() for i, t in texts.items()}
+    want, length = {}, 10
+    while True:
+        holders = defaultdict(set)
+        for i, w in words.items():
+            for p in range(len(w) - length + 1):
+                holders[tuple(w[p : p + length])].add(i)
+        here = {(i, p): length for i, w in words.items() for p in range(len(w) - length + 1) if len(holders[tuple(w[p : p + length])]) > 1}
+        if not here:
+            break
+        want |= here
+        length *= 2
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["place"]): r["words"] for r in substrings.repeat_levels(frame, length=10).collect()}
+    assert got == want and max(got.values()) == 80
+
+
+def test_substrings_odd(odd, empty, spark):
+    rows = substrings.remove_repeats(odd, length=50).collect()
+    assert len(rows) == odd.count()
+    got = {r["doc_id"]: r for r in rows}
+    texts = {r["doc_id"]: r["text"] for r in odd.select("doc_id", "text").collect() if r["doc_id"] is not None}
+    want = brute_removed(texts, 50)
+    assert all((got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == w for i, w in want.items())
+    assert substrings.remove_repeats(empty).count() == 0
+    shared = " ".join(f"z{i}" for i in range(80))
+    twice = spark.createDataFrame([(1, "a " + shared), (2, shared + " b"), (2, "other " * 60)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substrings.remove_repeats(twice).collect()) == [(1, 0), (2, 0), (2, 80)]
+
+
+# -- 7 -------------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes, weights=(5, 2, 1), cap=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, full, out = sum(sizes.values()), set(), {}
+    out = {s: total * weight[s] / sum(weight.values()) for s in names}
+    while over := [s for s in names if s not in full and out[s] > cap * sizes[s]]:
+        spare = sum(out[s] - cap * sizes[s] for s in over)
+        full |= set(over)
+        out |= {s: float(cap * sizes[s]) for s in over}
+        rest = [s for s in names if s not in full]
+        out |= {s: out[s] + spare * weight[s] / sum(weight[x] for x in rest) for s in rest}
+    return out
+
+
+def check_mix(rows, texts):
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    want = brute_targets(sizes)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(want[r["source"]], abs=1e-6)
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in sizes)
+    assert sorted(r["size"] for r in rows) == sorted(len(WORD.findall(t or "")) for t in texts)
+
+
+def test_mixing(table, documents):
+    rows = mixing.mix(table).collect()
+    check_mix(rows, [r["text"] for r in documents.values()])
+    again = {r["doc_id"]: r["taken"] for r in mixing.mix(table.repartition(7)).collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in rows}
+    draws = [(r["source"], d) for r in rows for d in r["draws"]]
+    shards, where, words = defaultdict(int), defaultdict(set), defaultdict(int)
+    for source, d in draws:
+        shards[d["shard"]] += 1
+        where[source, d["block"]].add(d["shard"])
+        words[source, d["block"]] += d["words"]
+    assert all(len(x) == 1 for x in where.values())  # a block is drawn into one shard
+    assert max(words.values()) <= mixing.BLOCK
+    blocks = defaultdict(int)
+    for key in where:
+        blocks[next(iter(where[key]))] += 1
+    assert max(blocks.values()) - min(blocks.values()) <= 4
+
+
+def test_mixing_caps_and_hot_sources(spark):
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("b", 5000), ("a", 10), ("a", 5), (None, 40), ("c", 0), ("é", 3000), ("z", 700)] * 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check_mix(mixing.mix(frame, block=64).collect(), [r[1] for r in rows])
+
+
+def test_mixing_odd(odd, empty):
+    rows = mixing.mix(odd).collect()
+    check_mix(rows, [r["text"] for r in odd.select("text").collect()])
+    assert mixing.mix(empty).count() == 0
+    assert mixing.materialised(odd, mixing.mix(odd)).columns == odd.columns
+
+
+def test_materialised_words(table):
+    mixed = mixing.mix(table)
+    made = mixing.materialised(table, mixed)
+    taken = {r["doc_id"]: r["taken"] for r in mixed.collect()}
+    got = defaultdict(int)
+    for r in made.select("doc_id", "text").collect():
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert dict(got) == {k: v for k, v in taken.items() if v}
+
+
+def test_hypergeometric_quotas_are_exact(spark):
+    sources = spark.createDataFrame([(0, 100_000), (1, 3), (2, 0), (3, 77), (4, 9_000_000)], "place int, blocks long")
+    got = {r["place"]: r["ends"] for r in mixing.shard_quotas(sources, 12, 5).collect()}
+    assert {p: e[-1] for p, e in got.items()} == {0: 100_000, 1: 3, 2: 0, 3: 77, 4: 9_000_000}
+    assert all(e == sorted(e) and len(e) == 12 for e in got.values())
+    sums = [sum(e[i] - (e[i - 1] if i else 0) for e in got.values()) for i in range(12)]
+    assert max(sums) - min(sums) <= 4
+    spread = np.diff([0, *got[0]])
+    assert abs(spread - 100_000 / 12).max() < 6 * (100_000 / 12) ** 0.5
+
+
+# -- 8 -------------------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute_spans(text):
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found))
+
+
+def test_secrets(spark, small, documents):
+    for r in QUERIES["op8_secret_scan"](spark, small).collect():
+        base = brute_spans(documents[r["doc_id"]]["text"] or "")
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["token: api_key: abcdefghijklmnop", "token=secret=abcdefghijklmnop", "xAKIAAKIA" + "A1" * 9, "AKIA AKIA" + "B" * 13, "deadbeef" * 4 + "g" + "a" * 15, "PassWord\"= 'Abcdefghijkl'", "ſecret=abcdefghijklmnop", "APIKEY:aaaaaaaaaaaa,api_key=bbbbbbbbbbb", "é token = " + "0" * 20],
+)
+def test_base_spans(text):
+    assert credentials._written(credentials.base_spans(text)) == brute_spans(text)
+
+
+def test_weak_parts_need_complements():
+    kinds = lambda text: [k for _, _, k in credentials.spans_of(text)[1]]
+    assert kinds("host=db.internal.example:5432") == []
+    assert kinds("user = alice") == []
+    assert kinds("user = alice\npassword = hunter22") == ["identifier", "secret"]
+    assert kinds("user = alice\npassword = hunter22\nhost = db.internal:5432") == ["identifier", "secret", "endpoint"]
+    assert kinds("user = alice\n\npassword = hunter22") == []  # another scope
+    assert kinds("user = alice" + " x" * 300 + " password = hunter22") == []  # out of reach
+    assert kinds("AKIA" + "A" * 16 + " Zx9" + "aB3" * 9) == ["access", "secret"]
+    assert credentials.redacted("a token = " + "f" * 20 + " b", credentials.spans_of("a token = " + "f" * 20 + " b")[1]) == "a <assign> b"
+    assert credentials.spans_of(None) == ([], [])
+
+
+def test_secrets_odd(odd, empty):
+    rows = {r["doc_id"]: r for r in credentials.find_secrets(odd).collect()}
+    assert (rows[0]["spans"], rows[1]["spans"], rows[13]["n_assign"]) == ("", "", 1)
+    assert rows[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert credentials.find_secrets(empty).count() == 0
+    kept = {r["doc_id"]: r["text"] for r in credentials.redact(odd).select("doc_id", "text").collect()}
+    assert kept[0] is None and kept[13] == "<assign>" and kept[11] == "two words"
+
+
+# -- 9 -------------------------------------------------------------------------------------------
+
+
+def check_shards(rows, shards=24):
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r)
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values())
+    assert set(by) <= set(range(shards))
+    return [sum(r["size"] for r in by[s]) for s in range(shards)]
+
+
+def test_kd_shards(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = QUERIES["op9_kd_sharding"](spark, folder).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(texts[r["doc_id"]].encode()) + 8, zlib.crc32(texts[r["doc_id"]].encode()), "bytes", None) for r in rows)
+    sizes = check_shards(rows)
+    assert max(sizes) - min(sizes) < 0.12 * sum(sizes) / 24  # a document has up to a third of a shard here
+
+
+def test_kd_shards_of_small_documents(spark):
+    frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy of one text").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"), F.lit("s").alias("source"))
+    sizes = check_shards(kdshards.shard(frame).collect())
+    assert max(sizes) < 1.01 * min(sizes)
+
+
+def test_kd_shards_odd(odd, empty):
+    rows = kdshards.shard(odd).collect()
+    check_shards(rows)
+    got = {r["doc_id"]: r for r in rows}
+    assert (got[0]["size"], got[0]["text_crc32"], got[1]["text_crc32"]) == (8, 0, 0)
+    assert len(rows) == odd.count()
+    assert kdshards.shard(empty).count() == 0
+
+
+# -- 10 ------------------------------------------------------------------------------------------
+
+
+def check_fingerprints(rows, texts):
+    ids = sorted(texts)
+    got = {r["doc_id"]: r for r in rows}
+    for i, d in enumerate(ids):
+        text, after = texts[d] or "", texts[ids[(i + 1) % len(ids)]] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert (got[d]["n_chars"], got[d]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[d]["near_edited"] <= 1 and 0 <= got[d]["near_next"] <= 1
+    prints = defaultdict(set)
+    for d in ids:
+        prints[texts[d]].add(got[d]["fingerprint"])
+    assert all(len(x) == 1 for x in prints.values())
+
+
+def test_fingerprints(spark, small, documents):
+    rows = QUERIES["op10_closed_syncmers"](spark, small).collect()
+    check_fingerprints(rows, {i: r["text"] for i, r in documents.items()})
+    assert np.mean([r["near_edited"] > r["near_next"] for r in rows]) > 0.95
+
+
+def test_fingerprints_in_many_ranges(spark, table, documents, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE_ROWS", 7)
+    check_fingerprints(syncmers.fingerprints(table).collect(), {i: r["text"] for i, r in documents.items()})
+
+
+def test_closed_syncmers_by_definition(spark):
+    words = [f"w{i * 7919 % 101}" for i in range(60)]
+    frame = spark.createDataFrame([(" ".join(words),)], "text string").select(syncmers.anchors("text").alias("a"), F.expr("transform(split(text, ' '), w -> xxhash64(w))").alias("h"))
+    row = frame.first()
+    k, s = syncmers.K, syncmers.S
+    pairs = spark.createDataFrame([(i, row["h"][i : i + s]) for i in range(len(words) - s + 1)], "i int, h array<long>").select("i", F.xxhash64(*(F.get("h", F.lit(j)) for j in range(s))).alias("v")).collect()
+    inner = [r["v"] for r in sorted(pairs)]
+    want = [i for i in range(len(words) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+    assert [a["place"] for a in row["a"]] == want
+    shifted = spark.createDataFrame([("x y z " + " ".join(words),)], "text string").select(syncmers.anchors("text").alias("a")).first()
+    assert {a["hash"] for a in row["a"]} <= {a["hash"] for a in shifted["a"]}
+
+
+def test_fingerprints_odd(odd, empty, spark):
+    whole = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    check_fingerprints(syncmers.fingerprints(whole).collect(), {r["doc_id"]: r["text"] for r in whole.select("doc_id", "text").collect()})
+    assert syncmers.fingerprints(odd).count() == odd.count()
+    assert syncmers.fingerprints(empty).count() == 0
+    lone = syncmers.fingerprints(spark.createDataFrame([(5, "ab cd")], "doc_id long, text string")).first()
+    assert (lone["near_next"], lone["edited_sha256"]) == (1.0, hashlib.sha256(b"ab ab").hexdigest())
