@@ -165,11 +165,16 @@ def _without(length: int):
     return of
 
 
-def repeated_windows(docs: DataFrame, prof: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def classes(prof: DataFrame) -> DataFrame:
+    """q0, q1 and rep, the smallest id with that word sequence."""
+    return stored(prof.groupBy("q0", "q1").agg(F.min("id").alias("rep")))
+
+
+def repeated_windows(docs: DataFrame, prof: DataFrame, same: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Texts (id, tag, text, hs) with a repeated half-length window, and (w0, w1, id, tag, places, low) of the target windows
     that start under several ids, the smallest of which is low.
     """
-    reps = prof.join(prof.groupBy("q0", "q1").agg(F.min("id").alias("rep")), ["q0", "q1"]).where((F.col("id") == F.col("rep")) & (F.size("anchors") > 0))
+    reps = prof.join(same, ["q0", "q1"]).where((F.col("id") == F.col("rep")) & (F.size("anchors") > 0))
     grams = stored(reps.select("id", F.shiftright("q0", 32).alias("tag"), F.explode("anchors").alias("h")).distinct())
     twice = grams.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     hits = grams.join(twice, "h").groupBy("id", "tag").agg(F.collect_list("h").alias("hs"))
@@ -188,7 +193,8 @@ def repeat_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names. Levels end when no candidate survives. Documents with the same word sequence count as one, the smallest id.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    _, found = repeated_windows(plain, stored(profiles(plain, length)), length)
+    prof = stored(profiles(plain, length))
+    _, found = repeated_windows(plain, prof, classes(prof), length)
     alive = stored(found.select("w0", "w1", "id", "tag", F.explode("places").alias("place")))
     levels = alive.select("id", "tag", "place", F.lit(length).alias("words"))
     while alive.limit(1).count():
@@ -206,12 +212,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id_col, n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text (null where nothing went)."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prof = stored(profiles(plain, length))
-    texts, places = repeated_windows(plain, prof, length)
+    same = classes(prof)
+    texts, places = repeated_windows(plain, prof, same, length)
     held = places.where("id > low").groupBy("id", "tag").agg(F.flatten(F.collect_list("places")).alias("places")).withColumnsRenamed({"id": "of_id", "tag": "of_tag"})
     cut = texts.select("id", "tag", "text").distinct().join(held, (F.col("id") == F.col("of_id")) & (F.col("tag") == F.col("of_tag"))).select("id", "tag", "text", "places")
     cut = cut.mapInArrow(_without(length), "id long, tag long, n_removed long, kept_text string").withColumnsRenamed({"id": "cut_id", "tag": "cut_tag"})
-    low = prof.groupBy("q0", "q1").agg(F.min("id").alias("rep"))
-    rows = prof.select("id", "n_words", "q0", "q1", "sha").join(low, ["q0", "q1"])
+    rows = prof.select("id", "n_words", "q0", "q1", "sha").join(same, ["q0", "q1"])
     rows = rows.join(cut, (F.col("id") == F.col("cut_id")) & (F.shiftright("q0", 32) == F.col("cut_tag")), "left")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_words") >= length)
     return rows.select(
