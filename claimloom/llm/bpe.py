@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -29,8 +30,8 @@ from claimloom.llm.words import slices
 
 #: Bytes from which on a word's pairs are held in a heap.
 LONG = 256
-#: Distinct words whose ids a worker keeps.
-KNOWN = 100_000
+#: Distinct words in a generation of those whose ids a worker keeps.
+KNOWN = 200_000
 #: Fixed values of the byte-level format: how a text is cut, and which bytes stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,6 +45,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in PLAIN} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Words and their ids as bytes; a word that isn't there is merged. Two generations are kept: when the younger is full
+    it becomes the older, from which words that occur again come back, and the rest is forgotten.
+    """
+
+    def __init__(self, merge: Callable[[bytes], list[int]]):
+        super().__init__()
+        self.merge = merge
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.merge(word.encode())).tobytes()
+        if len(word) <= LONG:
+            if len(self) >= KNOWN:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Coder:
     """Encodes and decodes with one vocabulary, given as the bytes of a tokenizer's JSON file."""
 
@@ -53,83 +76,68 @@ class Coder:
         letters = byte_letters()
         back = {c: b for b, c in letters.items()}
         self.first = [vocab[letters[b]] for b in range(256)]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of each pair of ids, and the id that the pair of a rank becomes.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.merged: list[int] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.ranks.setdefault((vocab[left], vocab[right]), rank)
+            self.merged.append(vocab[left + right])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {i: bytes(back[c] for c in token) for token, i in vocab.items() if token not in self.special}
         self.bytes |= {i: token.encode() for token, i in self.special.items()}
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, list[int]] = {}
-
-    def rank(self, left: int, right: int) -> int:
-        found = self.pairs.get((left, right))
-        return found[0] if found else _NONE
+        self.known = _Known(self.merge)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
+        rank, merged = self.ranks.get, self.merged
         ids = [self.first[b] for b in word]
         if len(ids) > LONG:
             return self._merge_long(ids)
-        ranks = [self.rank(a, b) for a, b in zip(ids, ids[1:], strict=False)]
+        ranks = [rank(pair, _NONE) for pair in zip(ids, ids[1:], strict=False)]
         while ranks:
             low = min(ranks)
             if low == _NONE:
                 break
             i = ranks.index(low)
-            ids[i] = self.pairs[ids[i], ids[i + 1]][1]
+            ids[i] = merged[low]
             del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = self.rank(ids[i], ids[i + 1])
+                ranks[i] = rank((ids[i], ids[i + 1]), _NONE)
             if i:
-                ranks[i - 1] = self.rank(ids[i - 1], ids[i])
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n = len(ids)
+        rank, n = self.ranks.get, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.rank(ids[i], ids[i + 1])) != _NONE]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]), _NONE)) != _NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            low, i, left, right = heapq.heappop(heap)
             j = after[i]
             if j >= n or ids[i] != left or ids[j] != right:
                 continue
-            ids[i], ids[j] = self.pairs[left, right][1], -1
+            ids[i], ids[j] = self.merged[low], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a in (before[i], i):
                 b = after[a] if a >= 0 else n
-                if b < n and (r := self.rank(ids[a], ids[b])) != _NONE:
+                if b < n and (r := rank((ids[a], ids[b]), _NONE)) != _NONE:
                     heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
-    def encode(self, text: str) -> array:
-        """Ids of a text, as unsigned 32-bit integers."""
-        out = array("I")
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as unsigned 32-bit integers of this machine."""
         parts = self.split.split(text) if self.split and any(s in text for s in self.special) else (text,)
-        known = self.known
-        for part in parts:
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            for word in self.words.findall(part):
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.merge(word.encode())
-                    if len(word) <= LONG:
-                        if len(known) >= KNOWN:
-                            known.clear()
-                        known[word] = ids
-                out.extend(ids)
-        return out
-
-    def decode(self, ids: array) -> str:
+        return b"".join(array("I", [self.special[part]]).tobytes() if part in self.special else b"".join(map(self.known.__getitem__, self.words.findall(part))) for part in parts)
+
+    def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.bytes.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
 _coders: dict[int, Coder] = {}
@@ -154,11 +162,13 @@ class _Sent:
         return self.held.value
 
 
-def _little(ids: array) -> bytes:
-    if array("H", [1]).tobytes()[0] == 0:
-        ids = array("I", ids)
-        ids.byteswap()
-    return ids.tobytes()
+def _little(ids: bytes) -> bytes:
+    """From this machine's order of bytes to little-endian, and back."""
+    if sys.byteorder == "little":
+        return ids
+    swapped = array("I", ids)
+    swapped.byteswap()
+    return swapped.tobytes()
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -190,12 +200,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent)
         for batch in batches:
-            texts = []
-            for raw in batch.column(at).to_pylist():
-                ids = array("I", raw or b"")
-                if array("H", [1]).tobytes()[0] == 0:
-                    ids.byteswap()
-                texts.append(coder.decode(ids))
+            texts = [coder.decode(_little(ids or b"")) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
     return encoded.mapInArrow(of, _with(encoded, text_col, T.StringType()))
