@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimloom.llm.words import slices
+from claimloom.session import spread
 
 #: Bytes from which on a word's pairs are held in a heap.
 LONG = 256
@@ -189,7 +190,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 ids = pa.array([_little(coder.encode(x or "")) for x in batch.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
 
-    return docs.mapInArrow(of, _with(docs, ids_col, T.BinaryType()))
+    return spread(docs).mapInArrow(of, _with(docs, ids_col, T.BinaryType()))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -220,7 +221,7 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_co
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, ids_col, decoded_col])
 
     schema = _with(docs, ids_col, T.BinaryType())
-    return docs.mapInArrow(of, T.StructType([*schema.fields, T.StructField(decoded_col, T.StringType())]))
+    return spread(docs).mapInArrow(of, T.StructType([*schema.fields, T.StructField(decoded_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from claimloom.session import spread
+
 REACH = 200
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 
@@ -137,7 +139,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(of, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return spread(docs.select(id_col, text_col)).mapInArrow(of, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -151,4 +153,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(of, docs.schema)
+    return spread(docs).mapInArrow(of, docs.schema)

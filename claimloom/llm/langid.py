@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.session import spread
+
 SAMPLE, EXCERPT, DICTIONARY = 400, 2_048, 256 << 10
 #: Texts are encoded in pieces of so many characters, so that what a long text has said before doesn't replace the dictionary.
 PIECE = 4_096
@@ -106,7 +108,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(of, f"`{id_col}` {kind}, lang_pred string, score double")
+    out = spread(docs.select(id_col, text_col)).mapInArrow(of, f"`{id_col}` {kind}, lang_pred string, score double")
     return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < margin))
 
 
@@ -121,7 +123,7 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: s
             found = [tool.predict(x) for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= margin for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(of, docs.schema)
+    return spread(docs).mapInArrow(of, docs.schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = MARGIN) -> DataFrame:

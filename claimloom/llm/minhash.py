@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.graph import components
 from claimloom.llm.storage import stored
 from claimloom.llm.words import Words, mix, slices
+from claimloom.session import spread
 
 MINIMA, BANDS, ROWS, BATCH = 128, 24, 4, 32
 #: Rows of one bucket that meet each other at once.
@@ -98,7 +99,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     ["id", "n", "s0", "s1", "signature", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(of, "id long, n long, s0 long, s1 long, signature binary, bands array<long>")
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(of, "id long, n long, s0 long, s1 long, signature binary, bands array<long>")
 
 
 def _spread(values: np.ndarray, has: np.ndarray) -> np.ndarray:

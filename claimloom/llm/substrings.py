@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.storage import stored
 from claimloom.llm.words import Words, mix, slices
+from claimloom.session import spread
 
 _BASE = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64) | np.uint64(1)
 
@@ -105,7 +106,7 @@ def profiles(docs: DataFrame, length: int) -> DataFrame:
                     ["id", "n_words", "q0", "q1", "sha", "anchors"],
                 )
 
-    return docs.mapInArrow(of, "id long, n_words long, q0 long, q1 long, sha string, anchors array<long>")
+    return spread(docs).mapInArrow(of, "id long, n_words long, q0 long, q1 long, sha string, anchors array<long>")
 
 
 def _candidate_windows(length: int):
