@@ -11,7 +11,6 @@ from claimloom.functions.binding import let
 INDIAN_GROUPS = r"^\d{1,2}(,\d{2})*,\d{3}$"
 WESTERN_GROUPS = r"^\d{1,3}(,\d{3})*$"
 MONEY = r"(?i)(?:Rs\.?|INR|₹|Rupees)\s*([\d,]+(?:\.\d{1,2})?)\s*/?-?"
-WORDS_STOP = ("rupees", "only", "and", "paise")
 UNITS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
     "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18,
@@ -54,18 +53,20 @@ def _number(word: Column, table: dict[str, int]) -> Column:
 
 def words_rupees(text: Column) -> Column:
     """Rupees of an amount in words with Indian scales; null if no number word occurs. Other words are passed over."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z\s]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(*WORDS_STOP))
+    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z\s]", " "), r"\s+")
+    # one lookup for each word: scales stand as negative numbers
+    table = UNITS | {w: -n for w, n in SCALES.items()}
     zero = F.lit(0).cast("long")
     start = F.struct(zero.alias("total"), zero.alias("current"), F.lit(False).alias("seen"))
 
     def step(state: Column, word: Column) -> Column:
-        return let(F.struct(_number(word, UNITS).alias("u"), _number(word, SCALES).alias("s")), lambda n: counted(state, n["u"], n["s"]))
+        return let(_number(word, table), lambda n: F.when(n.isNull(), state).otherwise(counted(state, n)))
 
-    def counted(state: Column, unit: Column, scale: Column) -> Column:
+    def counted(state: Column, n: Column) -> Column:
         held = F.when(state["current"] == 0, F.lit(1).cast("long")).otherwise(state["current"])
-        total = F.when(scale >= 1000, state["total"] + held * scale).otherwise(state["total"])
-        current = F.when(unit.isNotNull(), state["current"] + unit).when(scale >= 1000, zero).when(scale.isNotNull(), held * scale).otherwise(state["current"])
-        return F.struct(F.when(unit.isNotNull(), state["total"]).otherwise(total).alias("total"), current.alias("current"), (state["seen"] | unit.isNotNull() | scale.isNotNull()).alias("seen"))
+        total = F.when(n <= -1000, state["total"] - held * n).otherwise(state["total"])
+        current = F.when(n >= 0, state["current"] + n).when(n <= -1000, zero).otherwise(-held * n)
+        return F.struct(total.alias("total"), current.alias("current"), F.lit(True).alias("seen"))
 
     return F.aggregate(words, start, step, lambda s: F.when(s["seen"], s["total"] + s["current"]))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions.binding import let
 from claimloom.functions.text import collapsed, ground_tier, script_counts
 from claimloom.operators import classify, ingest, integrity, pages, survey
 from claimloom.plans.registry import query, table
+from claimloom.session import spread
 
 #: Signals that occur in the tables: the same machinery, other phrases.
 SIGNALS = (
@@ -23,7 +25,7 @@ SIGNALS = (
 
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of documents as pages."""
-    split = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    split = spread(table(spark, folder, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("page", "text"))
     return split.withColumn("page", F.col("page") + 1)
 
 
@@ -170,10 +172,12 @@ def ground_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     meet are looked for, so no document is compared with every passage.
     """
     flat = lambda df: df.withColumn("words", F.split(collapsed(F.col("text")), " "))
-    docs = flat(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = flat(spread(table(spark, folder, "documents").select("doc_id", "text")))
     items = flat(table(spark, folder, "benchmark").select("item_id", F.col("text").alias("passage"), F.col("text")))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - 5), lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, F.lit(5)), " "))))
-    keyed = items.where(F.size("words") >= 7).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("words", F.lit(2), F.lit(5)), " ")).alias("key"))
+    five = lambda h, i: F.xxhash64(*(F.get(h, i + j) for j in range(5)))
+    hashed = F.transform("words", lambda w: F.xxhash64(w))
+    runs = let(hashed, lambda h: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: five(h, i))))
+    keyed = items.where(F.size("words") >= 7).select("item_id", "passage", let(hashed, lambda h: five(h, F.lit(1))).alias("key"))
     met = docs.where(F.size("words") >= 5).select("doc_id", F.explode(runs).alias("key")).join(keyed, "key").select("doc_id", "item_id", "passage").distinct()
     short = items.where(F.size("words") < 7).select("item_id", "passage")
     found = docs.select("doc_id", "text").join(met, "doc_id").unionByName(docs.select("doc_id", "text").crossJoin(F.broadcast(short)))

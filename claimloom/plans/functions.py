@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import areas, dates, money, names, text
 from claimloom.operators import assemble
 from claimloom.plans.registry import query, table
+from claimloom.session import spread
 
 _GROUPED = "array_to_string(list_concat([reverse(substr(reverse(head), (i * 2 + 1)::INT, 2)) FOR i IN list_reverse(generate_series(0, (length(head) + 1) // 2 - 1))], [right(digits, 3)]), ',')"
 
@@ -19,7 +20,7 @@ def money_format_parse(spark: SparkSession, folder: str) -> DataFrame:
     rupees = F.floor(F.col("o_totalprice") * 37).cast("long")
     formatted = money.format_indian(rupees)
     parsed = money.money_figures(F.concat(F.lit("paid Rs. "), formatted, F.lit("/- today")))
-    return table(spark, folder, "orders").select("o_orderkey", formatted.alias("formatted"), parsed["paise"].alias("paise"), parsed["grouping"].alias("style"))
+    return spread(table(spark, folder, "orders")).select("o_orderkey", formatted.alias("formatted"), parsed["paise"].alias("paise"), parsed["grouping"].alias("style"))
 
 
 @query("SELECT o_orderkey, floor(o_totalprice * 997)::BIGINT AS rupees, (o_orderkey % 3 <> 0)::BOOLEAN AS agree FROM orders")
@@ -28,7 +29,7 @@ def number_words(spark: SparkSession, folder: str) -> DataFrame:
     rupees = F.floor(F.col("o_totalprice") * 997).cast("long")
     figure = rupees + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)
     check = money.cross_check(F.concat(F.lit("Rs. "), money.format_indian(figure), F.lit(" (Rupees "), money.in_words(rupees), F.lit(" only)")))
-    return table(spark, folder, "orders").select("o_orderkey", check["words_rupees"].alias("rupees"), check["agree"].alias("agree"))
+    return spread(table(spark, folder, "orders")).select("o_orderkey", check["words_rupees"].alias("rupees"), check["agree"].alias("agree"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS value, o_orderkey % 4 < 2 AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) AS ambiguous FROM orders""")
@@ -40,7 +41,7 @@ def date_parse(spark: SparkSession, folder: str) -> DataFrame:
         F.when(form == 0, F.date_format(day, "dd/MM/yyyy")).when(form == 1, F.date_format(day, "d-M-yy")).when(form == 2, F.concat(F.lit("executed on the "), F.date_format(day, "d"), F.lit("th day of "), F.date_format(day, "MMMM yyyy"))).otherwise(F.date_format(day, "ddMMMyyyy"))
     )
     parsed = dates.parse_date(written)
-    return table(spark, folder, "orders").select("o_orderkey", parsed["value"].cast("string").alias("value"), parsed["ambiguous"].alias("ambiguous"))
+    return spread(table(spark, folder, "orders")).select("o_orderkey", parsed["value"].cast("string").alias("value"), parsed["ambiguous"].alias("ambiguous"))
 
 
 @query("""WITH l AS (SELECT l_partkey, l_quantity::INT AS q, l_returnflag AS f, l_linestatus AS s FROM lineitem)
@@ -50,7 +51,7 @@ def area_parse(spark: SparkSession, folder: str) -> DataFrame:
     flag = F.col("l_returnflag")
     unit = F.when(flag == "A", "sq. ft.").when(flag == "N", "square metres").otherwise("hectares")
     written = F.concat(F.when(F.col("l_linestatus") == "F", "Carpet area: ").otherwise("Super built-up area of "), F.col("l_quantity").cast("int"), F.lit(" "), unit)
-    rows = table(spark, folder, "lineitem").select("l_partkey", areas.parse_area(written).alias("a"))
+    rows = spread(table(spark, folder, "lineitem").select("l_partkey", "l_quantity", "l_returnflag", "l_linestatus")).select("l_partkey", areas.parse_area(written).alias("a"))
     return rows.select("l_partkey", F.col("a.value").cast("int").alias("value"), "a.unit", (F.col("a.sq_m") * 1000000).cast("long").alias("sq_m_micro"), "a.basis").groupBy("l_partkey", "value", "unit", "sq_m_micro", "basis").agg(F.count("*").alias("n"))
 
 

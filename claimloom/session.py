@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +19,15 @@ def session(master: str = "local[8]", app: str = "claimloom", **more: str) -> Sp
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that costs more than moving its rows: dealt to all cores if its input would fill too few partitions.
+
+    By the planner's estimate of its size, so nothing is run; a large table stays as it is.
+    """
+    session_ = df.sparkSession
+    cores = session_.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = session_._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < cores * part else df
