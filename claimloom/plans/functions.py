@@ -28,8 +28,9 @@ def number_words(spark: SparkSession, folder: str) -> DataFrame:
     """Amounts in words, read back; and checked against figures, every third of which is off by one."""
     rupees = F.floor(F.col("o_totalprice") * 997).cast("long")
     figure = rupees + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)
-    check = money.cross_check(F.concat(F.lit("Rs. "), money.format_indian(figure), F.lit(" (Rupees "), money.in_words(rupees), F.lit(" only)")))
-    return spread(table(spark, folder, "orders")).select("o_orderkey", check["words_rupees"].alias("rupees"), check["agree"].alias("agree"))
+    written = F.concat(F.lit("Rs. "), money.format_indian(figure), F.lit(" (Rupees "), money.in_words(rupees), F.lit(" only)"))
+    rows = spread(table(spark, folder, "orders")).select("o_orderkey", written.alias("written")).select("o_orderkey", money.cross_check(F.col("written")).alias("c"))
+    return rows.select("o_orderkey", F.col("c.words_rupees").alias("rupees"), F.col("c.agree").alias("agree"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS value, o_orderkey % 4 < 2 AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) AS ambiguous FROM orders""")
