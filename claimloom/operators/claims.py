@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.areas import TOLERANCE_PCT, within_tolerance
+from claimloom.functions.money import format_indian
 from claimloom.model import OWNERSHIP_STRENGTHS
 
 SET = ["case_id", "subject_id", "attribute"]
@@ -113,6 +114,17 @@ def supporting_ids(claims: DataFrame, resolutions: DataFrame) -> DataFrame:
     return joined.groupBy(*SET).agg(ids(F.col("cmp_key") == F.col("held")).alias("supporting"), ids(F.col("cmp_key") != F.col("held")).alias("conflicting"))
 
 
+def displayed(kind: Column, raw: Column, paise: Column, sq_m: Column, date_value: Column) -> Column:
+    """A value as people read it: rupees with Indian groups, square metres, ISO dates, texts as they stand."""
+    rupees = F.concat(F.lit("Rs. "), format_indian(F.floor(paise / 100).cast("long")))
+    return F.when(kind == "money", rupees).when(kind == "area", F.concat(sq_m.cast("string"), F.lit(" sq m"))).when(kind == "date", date_value.cast("string")).otherwise(raw)
+
+
+def lookup_value(kind: Column, raw: Column, cmp_key: Column, paise: Column) -> Column:
+    """A value as a person or an interface can search for it: the parcel's own number, rupees without groups, raw text."""
+    return F.when(kind == "parcel", F.get(F.split(cmp_key, r"\|"), F.lit(1))).when(kind == "money", (paise / 100).cast("long").cast("string")).when(kind == "text", raw).otherwise(cmp_key)
+
+
 def share_identifier(a: Column, b: Column) -> Column:
     """Whether two arrays of parcel keys overlap."""
     return F.arrays_overlap(F.array_distinct(a), F.array_distinct(b))

@@ -122,6 +122,21 @@ def applied(declared: Column, predicted: Column) -> Column:
     return F.coalesce(F.nullif(declared, F.lit("unknown")), predicted)
 
 
+def signals_for(kind: str, signals: tuple[Signal, ...] = SIGNALS) -> tuple[Signal, ...]:
+    """The signals of one document type."""
+    return tuple(s for s in signals if s[2] == kind)
+
+
+def known_types(signals: tuple[Signal, ...] = SIGNALS) -> tuple[str, ...]:
+    """The document types that signals speak for, in order."""
+    return tuple(dict.fromkeys(s[2] for s in signals))
+
+
+def confidence_value(confidence: Column) -> Column:
+    """A confidence tier as a number."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in CONFIDENCE_VALUE.items() for x in pair)), confidence)
+
+
 def title_patterns(signals: tuple[Signal, ...] = SIGNALS) -> dict[str, re.Pattern]:
     """The signals as compiled patterns, for checks outside a plan."""
     return {name: re.compile(pattern, re.IGNORECASE) for name, pattern, *_ in signals}

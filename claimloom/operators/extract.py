@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.text import ground_tier
 from claimloom.model import STRENGTH_OF_DOCUMENT, mapped
 from claimloom.operators import finders
+from claimloom.operators.pages import block_at
 
 # -- fixed values: document type, field, attribute, finder, required, select, pages ---------
 _IDENTITY = (
@@ -124,6 +125,13 @@ def rejected_ungrounded(fields: DataFrame) -> DataFrame:
     return fields.where("tier is null")
 
 
+def provenance(text: Column, start: Column, end: Column, blocks: Column | None = None, reach: int = 60, most: int = 240) -> Column:
+    """Where a value stands: its span, the words around it, and the block that holds its start."""
+    first = F.greatest(start - reach, F.lit(0))
+    around = F.left(F.substr(text, first + 1, end + reach - first), F.lit(most))
+    return F.struct(start.alias("start"), end.alias("end"), around.alias("snippet"), (block_at(blocks, start)["at"] if blocks is not None else F.lit(None)).alias("box"))
+
+
 def missing_required(documents: DataFrame, fields: DataFrame) -> DataFrame:
     """Required fields of each document's schema that nothing grounded was found for."""
     required = documents.select(*DOC, "document_type").join(F.broadcast(schema_fields(documents.sparkSession).where("required")), "document_type")

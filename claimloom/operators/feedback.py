@@ -73,6 +73,17 @@ def regulatory_view(requirements: DataFrame, instruments: DataFrame) -> DataFram
     return met.withColumn("blocked_because", why)
 
 
+def verification_view(planned: DataFrame, results: DataFrame) -> DataFrame:
+    """Each case's sources: how they are asked, and what came back."""
+    said = results.groupBy("case_id", "source_id").agg(F.count("*").alias("n_results"), F.array_sort(F.collect_set("status")).alias("statuses"))
+    return planned.select("case_id", "source_id", "execution", "reason").join(said, ["case_id", "source_id"], "left")
+
+
+def evaluation_view(metrics: DataFrame, gates: DataFrame) -> DataFrame:
+    """Every metric, with its gate's verdict where it has one."""
+    return metrics.join(gates.select("metric", "name", "passed", "reason"), "metric", "left")
+
+
 def trace_view(claims: DataFrame, resolutions: DataFrame, findings: DataFrame) -> DataFrame:
     """Per case, how claims became findings: counts at each step."""
     a = claims.groupBy("case_id").agg(F.count("*").alias("claims"), F.count_distinct("document_id").alias("documents"))

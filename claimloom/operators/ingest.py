@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +133,39 @@ def quality_gate(info: DataFrame) -> DataFrame:
     notes = F.when(hard.isNotNull(), F.array(hard)).otherwise(F.array_compact(F.array(*soft)))
     verdict = F.when(hard.isNotNull(), "REJECTED").when(F.size(notes) > 0, "DEGRADED").otherwise("OK")
     return info.withColumns({"quality_notes": notes, "quality": verdict})
+
+
+def quality_metrics(info_columns: tuple[str, ...] = ("page_count", "text_layer", "median_chars", "min_dpi", "median_sharpness", "rotated_pages", "distinct_page_sizes", "non_latin_ratio", "needs_ocr")) -> Column:
+    """The measures behind a verdict, as one struct."""
+    return F.struct(*info_columns)
+
+
+PAGE_INFO = "page int, rotation int, width double, height double, text_chars int, devanagari int, other_indic int, latin int, dpi double, sharpness double"
+
+
+def analysed(files: DataFrame, analysers: dict[str, Callable[[bytes], list[dict]]], keys: tuple[str, ...] = ("case_id", "document_id"), content: str = "content") -> DataFrame:
+    """keys, ok, error and a row of PAGE_INFO for each page of each file.
+
+    analysers go by file type; each takes a file's bytes to its pages. A file without an analyser, or that its analyser can't
+    read, is one row that says so.
+    """
+    kinds = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+    names = [part.strip().split(" ")[0] for part in PAGE_INFO.split(",")]
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                held = {k: getattr(row, k) for k in keys}
+                analyse = analysers.get(row.file_type)
+                try:
+                    found = analyse(bytes(getattr(row, content))) if analyse else []
+                    rows += [held | {"ok": True, "error": None} | {n: p.get(n) for n in names} for p in found]
+                    if not found:
+                        rows.append(held | {"ok": bool(analyse), "error": None if analyse else "no analyser", **dict.fromkeys(names)})
+                except Exception as e:  # one file's failure is that file's row
+                    rows.append(held | {"ok": False, "error": str(e), **dict.fromkeys(names)})
+            out = pd.DataFrame(rows, columns=[*keys, "ok", "error", *names])
+            yield out.astype({n: "Int32" if n not in ("width", "height", "dpi", "sharpness") else "float64" for n in names})
+
+    return files.select(*keys, sniff(F.col(content)).alias("file_type"), content).mapInPandas(of, f"{kinds}, ok boolean, error string, {PAGE_INFO}")

@@ -360,3 +360,36 @@ def test_feedback(spark):
 def test_survey(spark):
     got = spark.createDataFrame([(1.0,), (2.0,), (5.0,), (9.0,), (None,)], "x double").agg(survey.spread(F.col("x")).alias("s")).first()["s"]
     assert (got["n"], got["min"], got["median"], got["p90"], got["max"]) == (4, 1.0, 3.5, 7.8, 9.0)
+
+
+def test_analysers_fail_by_file(spark):
+    def pdf(data):
+        if b"broken" in data:
+            raise ValueError("cannot parse")
+        return [{"page": i + 1, "rotation": 0, "width": 595.0, "height": 842.0, "text_chars": 900, "devanagari": 0, "other_indic": 0, "latin": 800, "dpi": None, "sharpness": None} for i in range(2)]
+
+    files = [("c", "a", bytearray(b"%PDF-1 ok")), ("c", "b", bytearray(b"%PDF-1 broken")), ("c", "p", bytearray(b"\xff\xd8\xff"))]
+    got = ingest.analysed(spark.createDataFrame(files, "case_id string, document_id string, content binary"), {"pdf": pdf})
+    assert sorted((r["document_id"], r["ok"], r["error"]) for r in got.select("document_id", "ok", F.coalesce("error", F.lit("")).alias("error")).collect()) == [("a", True, ""), ("a", True, ""), ("b", False, "cannot parse"), ("p", False, "no analyser")]
+    metrics = ingest.document_metrics(got.where("ok")).first()
+    assert (metrics["page_count"], metrics["text_layer"], metrics["needs_ocr"], metrics["distinct_page_sizes"]) == (2, "DIGITAL", False, 1)
+
+
+def test_views_of_values(spark):
+    none = F.lit(None)
+    row = spark.range(1).select(
+        claims.displayed(F.lit("money"), none.cast("string"), F.lit(1_250_000_000).cast("long"), none.cast("decimal(28,6)"), none.cast("date")).alias("m"),
+        claims.lookup_value(F.lit("parcel"), none.cast("string"), F.lit("CTS|12/5A|"), none.cast("long")).alias("p"),
+        extract.provenance(F.lit("x" * 100 + "value" + "y" * 100), F.lit(100), F.lit(105)).alias("v"),
+        classify.confidence_value(F.lit("HIGH")).alias("c"),
+    ).first()
+    assert (row["m"], row["p"], row["c"], len(row["v"]["snippet"])) == ("Rs. 1,25,00,000", "12/5A", 0.9, 125)
+    assert len(classify.known_types()) == 9 and len(classify.signals_for("sale_deed")) == 5
+
+
+def test_case_views(spark):
+    planned = spark.createDataFrame([("c", "S", "MANUAL", "blocked")], "case_id string, source_id string, execution string, reason string")
+    results = spark.createDataFrame([("c", "S", "PENDING_MANUAL")], "case_id string, source_id string, status string")
+    assert feedback.verification_view(planned, results).first()["statuses"] == ["PENDING_MANUAL"]
+    metrics = spark.createDataFrame([("findings.spurious", 0.0)], "metric string, value double")
+    assert feedback.evaluation_view(metrics, evaluate.check_gates(metrics, evaluate.gate_table(spark))).first()["passed"] is True
