@@ -5,7 +5,7 @@ shards is split along its widest dimension, at the weighted quantile that gives
 median, or a third where three shards are split in one and two. Ties along a dimension are ordered by the texts' crc32, so
 that equal texts stay beside each other, then by the id's.
 
-Quantiles are distributed: each pass adds up bytes in at most 1024 bins of each node, the bin that holds the quantile becomes
+Quantiles are distributed: each pass adds up bytes in at most 8192 bins of each node, the bin that holds the quantile becomes
 the next pass's range, and passes end when that bin is a small part of a shard. The driver holds the tree alone, fewer nodes
 than twice the shards; every document's shard follows from its keys.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.storage import stored
 
 SHARDS, OVERHEAD = 24, 8
-SCALE_BITS, TIE_BITS, BIN_BITS = 30, 32, 10
+SCALE_BITS, TIE_BITS, BIN_BITS = 30, 32, 13
 #: A quantile is good enough when its bin holds at most this part of a shard.
 PART = 0.0005
 SLOT_GROUPS = 256
@@ -104,8 +104,9 @@ def grow(rows: DataFrame, dims: list[str], shards: int) -> Node:
                 base, shift = F.when(is_it, F.lit(low)).otherwise(base), F.when(is_it, F.lit(max(0, (high - low).bit_length() - BIN_BITS))).otherwise(shift)
             at = rows.withColumn("node", number).withColumns({"key": key, "base": base, "shift": shift}).where("key is not null")
             bins: dict[int, list[tuple[int, int]]] = {}
-            for r in at.groupBy("node", F.expr("shiftright(key - base, shift)").alias("bin")).agg(F.sum("size").alias("size")).collect():
-                bins.setdefault(r["node"], []).append((r["bin"], r["size"]))
+            summed = at.groupBy("node", F.expr("shiftright(key - base, shift)").alias("bin")).agg(F.sum("size").alias("size")).toArrow()
+            for node, number_, size in zip(*(summed.column(c).to_pylist() for c in ("node", "bin", "size")), strict=True):
+                bins.setdefault(node, []).append((number_, size))
             for first, (low, high, goal) in list(open_.items()):
                 shift = max(0, (high - low).bit_length() - BIN_BITS)
                 share = wide[first][3] / by_first[first].shards
