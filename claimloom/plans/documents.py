@@ -55,7 +55,7 @@ def classify_signals(spark: SparkSession, folder: str) -> DataFrame:
 def classify_evidence_running_cap(spark: SparkSession, folder: str) -> DataFrame:
     """What each page's hits add until their signal's cap is reached."""
     hits = classify.signal_hits(document_pages(spark, folder), SIGNALS)
-    return classify.evidence(hits).select("document_id", "page", "signal", "hits", F.col("contribution").cast("long").alias("contribution"))
+    return classify.evidence(hits).select("document_id", F.col("page").cast("long").alias("page"), "signal", "hits", F.col("contribution").cast("long").alias("contribution"))
 
 
 _METRICS = """
