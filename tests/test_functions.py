@@ -143,6 +143,19 @@ def test_small_functions(spark):
     assert (box["x0"], box["y0"], box["x1"], box["y1"]) == (1.0, 1.0, 5.0, 6.0)
 
 
+def test_small_inputs_are_dealt_to_all_cores(spark, small):
+    from claimloom.session import spread
+
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    assert spread(orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(orders).count() == orders.count()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert "Repartition" not in spread(orders)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sharpness_and_spans(spark):
     flat, sharp = [[5.0] * 4] * 4, [[0.0, 9.0, 0.0, 9.0], [9.0, 0.0, 9.0, 0.0], [0.0, 9.0, 0.0, 9.0], [9.0, 0.0, 9.0, 0.0]]
     rows = spark.createDataFrame([(0, flat), (1, sharp), (2, None), (3, [[1.0]])], "i int, g array<array<double>>").select("i", text.sharpness("g").alias("s")).orderBy("i").collect()
