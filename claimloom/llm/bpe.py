@@ -32,7 +32,7 @@ from claimloom.session import spread
 #: Bytes from which on a word's pairs are held in a heap.
 LONG = 256
 #: Distinct words in a generation of those whose ids a worker keeps.
-KNOWN = 200_000
+KNOWN = 100_000
 #: Fixed values of the byte-level format: how a text is cut, and which bytes stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -189,6 +189,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             for batch in slices(whole, text_col):
                 ids = pa.array([_little(coder.encode(x or "")) for x in batch.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
+        coder.known.older = {}  # the worker waits for other work
 
     return spread(docs).mapInArrow(of, _with(docs, ids_col, T.BinaryType()))
 
@@ -219,6 +220,7 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_co
                 ids = [coder.encode(x or "") for x in batch.column(at).to_pylist()]
                 columns = [*batch.columns, pa.array(map(_little, ids), pa.binary()), pa.array(map(coder.decode, ids), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, ids_col, decoded_col])
+        coder.known.older = {}  # the worker waits for other work
 
     schema = _with(docs, ids_col, T.BinaryType())
     return spread(docs).mapInArrow(of, T.StructType([*schema.fields, T.StructField(decoded_col, T.StringType())]))

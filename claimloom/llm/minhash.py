@@ -33,6 +33,8 @@ from claimloom.session import spread
 MINIMA, BANDS, ROWS, BATCH = 128, 24, 4, 32
 #: Rows of one bucket that meet each other at once.
 CHUNK = 512
+#: Shingles that a block keeps at once.
+HELD = 1_000_000
 _rng = np.random.default_rng(7919)
 _MULTIPLY = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
@@ -218,22 +220,44 @@ def _hopeful(least: tuple[int, ...]):
     return of
 
 
+class _Sets:
+    """Shingle sets of a block's rows, as numbers of the block's shingles; forgotten when they hold more than HELD."""
+
+    def __init__(self, texts: pa.ChunkedArray, k: int):
+        self.texts, self.k = texts, k
+        self.numbers: dict[tuple, int] = {}
+        self.sets: dict[int, frozenset] = {}
+        self.held = 0
+
+    def _of(self, row: int) -> frozenset:
+        if row not in self.sets:
+            number = self.numbers.setdefault
+            self.sets[row] = frozenset(number(s, len(self.numbers)) for s in _shingle_set(self.texts[row].as_py(), self.k))
+            self.held += len(self.sets[row])
+        return self.sets[row]
+
+    def shared(self, a: int, b: int) -> tuple[int, int]:
+        """Sizes of the intersection and the union of two rows' sets."""
+        if self.held > HELD:
+            self.numbers, self.sets, self.held = {}, {}, 0
+        left, right = self._of(a), self._of(b)
+        both = len(left & right)
+        return both, len(left) + len(right) - both
+
+
 def _linked(least: tuple[int, ...], k: int, percent: int):
     """Of each block, links that join its components, confirmed on full sets."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            ids, text = group.column("id").to_pylist(), group.column("text")
-            roots, sets, links = group.column("comp").to_pylist(), {}, []
+            ids, sets = group.column("id").to_pylist(), _Sets(group.column("text"), k)
+            roots, links = group.column("comp").to_pylist(), []
             for i, later in _candidates(group, least, list(roots)):
                 for j in later.tolist():
                     if roots[i] == roots[j]:
                         continue
-                    for x in (i, j):
-                        if x not in sets:
-                            sets[x] = _shingle_set(text[x].as_py(), k)
-                    both = len(sets[i] & sets[j])
-                    if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    both, union = sets.shared(i, j)
+                    if both and 100 * both >= percent * union:
                         links.append((ids[i], ids[j]))
                         old, new = roots[j], roots[i]
                         roots = [new if x == old else x for x in roots]

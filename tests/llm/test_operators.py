@@ -601,3 +601,16 @@ def test_fingerprints_odd(odd, empty, spark):
     assert syncmers.fingerprints(empty).count() == 0
     lone = syncmers.fingerprints(spark.createDataFrame([(5, "ab cd")], "doc_id long, text string")).first()
     assert (lone["near_next"], lone["edited_sha256"]) == (1.0, hashlib.sha256(b"ab ab").hexdigest())
+
+
+def test_sets_that_are_forgotten_come_back(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(minhash, "HELD", 5)
+    texts = [" ".join(f"w{j}" for j in range(i, i + 9)) for i in range(6)]
+    sets = minhash._Sets(pa.chunked_array([texts]), 2)
+    for a in range(6):
+        for b in range(6):
+            if a != b:
+                x, y = shingles(texts[a], 2), shingles(texts[b], 2)
+                assert sets.shared(a, b) == (len(x & y), len(x | y))
