@@ -7,7 +7,6 @@ made once per application.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import tempfile
 import uuid
@@ -32,11 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _removed_at_the_end(spark: SparkSession, path: str) -> None:
+    """Marks a path for removal when the driver's JVM ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 @contextlib.contextmanager
@@ -56,5 +54,5 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/claimloom-{uuid.uuid4().hex}"
     with _small_batches(spark):
         df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _removed_at_the_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
