@@ -1,8 +1,8 @@
 """Document fingerprints of closed syncmers. DataFrame and SQL functions only.
 
 A k-mer is K consecutive words. It is an anchor when the smallest of its S-word substrings lies at one of its two edges. That
-depends on the k-mer alone, so the same words give the same anchors wherever they stand. A fingerprint is the LEAST smallest
-distinct anchor hashes, and the likeness of two is the Jaccard similarity estimated from the smallest of both.
+depends on the k-mer alone, so the same words give the same anchors wherever they stand. A fingerprint is every anchor with its
+place, and the likeness of two texts is the Jaccard similarity of their whole sets of anchor hashes.
 
 Edited texts need the next document. Documents are dealt to ranges of ids (bounds from an approximate percentile, some
 thousand rows each); the first document of a range is also sent to the range before, the very first to the last. The next
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-K, S, LEAST = 4, 2, 64
+K, S = 4, 2
 #: Rows of a range, about, and the most ranges: bounds are literals of the plan.
 RANGE_ROWS, RANGES = 1_000, 4_096
 
@@ -50,22 +50,17 @@ def anchors(text: str) -> Column:
     return F.expr(sql.replace("{kind}", "struct<place:int,hash:bigint>"))
 
 
-def sketch(text: str) -> Column:
-    """The smallest distinct anchor hashes of a text column, ascending."""
-    sql = _anchors(f"coalesce({text}, '')", _HASH).replace("{kind}", "bigint")
-    return F.slice(F.sort_array(F.array_distinct(F.expr(sql))), 1, LEAST)
-
-
-def fingerprint(hashes: str) -> Column:
-    """A sketch as text: 16 hexadecimal digits for each hash."""
-    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+def fingerprint(hashes: str, places: str) -> Column:
+    """Anchors as text, by place: 16 hexadecimal digits of the hash and 8 of the place for each."""
+    digits = F.zip_with(hashes, places, lambda h, p: F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(p), 8, "0")))
+    return F.lower(F.array_join(digits, ""))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard similarity of the anchor sets, estimated from two sketches."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, LEAST)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+    """Jaccard similarity of two arrays of distinct hashes; 1 where both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
 def dealt(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
@@ -102,18 +97,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     sent, order = dealt(plain)
-    sent = sent.withColumn("sketch", sketch("text"))
-    paired = sent.select("id", "text", "sketch", "lent", F.lead("text").over(order).alias("next_text"), F.lead("sketch").over(order).alias("next_sketch")).where("lent = 0")
+    sent = _split(sent.withColumn("anchors", anchors("text")), "")
+    paired = sent.select("id", "text", "hashes", "places", "lent", F.lead("text").over(order).alias("next_text"), F.lead("hashes").over(order).alias("next_hashes")).where("lent = 0")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
-    paired = paired.select("id", F.length("text").cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    paired = paired.select("id", "n_chars", "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch("edited").alias("edited_sketch"))
+    paired = paired.select("id", F.length("text").cast("long").alias("n_chars"), "hashes", "places", "next_hashes", edited.alias("edited"))
+    paired = paired.select("id", "n_chars", "hashes", "places", "next_hashes", F.sha2("edited", 256).alias("edited_sha256"), anchors("edited").alias("anchors"))
+    paired = _split(paired, "edited_").withColumns({f"{x}set": F.array_distinct(f"{x}hashes") for x in ("", "next_", "edited_")})
     return paired.select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
-        fingerprint("sketch").alias("fingerprint"),
-        fingerprint("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        fingerprint("hashes", "places").alias("fingerprint"),
+        fingerprint("edited_hashes", "edited_places").alias("edited_fingerprint"),
+        likeness("set", "edited_set").alias("near_edited"),
+        likeness("set", "next_set").alias("near_next"),
     )
+
+
+def _split(df: DataFrame, name: str) -> DataFrame:
+    """df with the column anchors as two flat arrays, which are a third of its size."""
+    return df.withColumns({f"{name}hashes": F.col("anchors.hash"), f"{name}places": F.col("anchors.place")}).drop("anchors")

@@ -594,6 +594,25 @@ def test_closed_syncmers_by_definition(spark):
     assert {a["hash"] for a in row["a"]} <= {a["hash"] for a in shifted["a"]}
 
 
+def test_fingerprints_hold_every_anchor(spark):
+    """Two texts of 3,000 words that share a passage of 30: the 64 smallest hashes of each would tell nothing of it."""
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([f"{x}{i}" for i in range(2_000)] + passage + [f"{x}{i}" for i in range(2_000, 2_970)]) for x in "ab"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(syncmers.fingerprints(frame).collect())
+    found = [r["a"] for r in frame.orderBy("doc_id").select(syncmers.anchors("text").alias("a")).collect()]
+    for row, every in zip(rows, found, strict=True):
+        assert len(every) > 1_500
+        assert row["fingerprint"] == "".join(f"{a['hash'] % 2**64:016x}{a['place']:08x}" for a in every)
+    left, right = ({a["hash"] for a in every} for every in found)
+    assert left & right and all(r["near_next"] == pytest.approx(len(left & right) / len(left | right)) for r in rows)
+    half = len(texts[0]) // 2
+    edited = spark.createDataFrame([(texts[0][: len(texts[0]) - half] + texts[1][:half],)], "text string").select(syncmers.anchors("text").alias("a")).first()["a"]
+    other = {a["hash"] for a in edited}
+    assert rows[0]["near_edited"] == pytest.approx(len(left & other) / len(left | other))
+    assert len(rows[0]["edited_fingerprint"]) == 24 * len(edited)
+
+
 def test_fingerprints_odd(odd, empty, spark):
     whole = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     check_fingerprints(syncmers.fingerprints(whole).collect(), {r["doc_id"]: r["text"] for r in whole.select("doc_id", "text").collect()})
