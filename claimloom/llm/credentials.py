@@ -4,11 +4,14 @@ Base matches stand alone: assignments to a password-like name, access identifier
 (user-like names with a value, short or unlabelled tokens, hosts and addresses) prove nothing alone. They are joined by
 interval, within scopes: a scope is a paragraph, and two parts meet when the gap between them is at most REACH code points.
 A weak secret is reported when an identifier is in reach, a weak identifier when a secret is, and an endpoint when both are.
+Candidates are linked before overlaps are resolved, so the parts of one URL are found. Parts whose values overlap are one
+piece of text and do not prove each other.
 
 A text is one row, whole; nothing is shuffled. Offsets are code points, end exclusive.
 
-Defined cases: a null text counts as empty and has no spans. A weak candidate that overlaps a base match is left out, and so
-is one that overlaps an earlier weak one. Repeated rows are judged alike. An empty table gives an empty result. Columns
+Defined cases: a null text counts as empty and has no spans. A weak identifier or secret that overlaps a base match is left
+out, and so is an endpoint that lies within one. A linked candidate that lies within a reported identifier or secret is left
+out too; other overlaps are all reported, an endpoint beside the parts that it holds. Repeated rows are judged alike. An empty table gives an empty result. Columns
 other than id and text are not read.
 """
 
@@ -18,6 +21,8 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,18 +60,20 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token)
 
 
-def weak_spans(text: str, base: list[Span]) -> list[Span]:
-    """Candidates that are reported only beside complementary parts; none overlaps a base match or another."""
-    found = [(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(text)]
-    found += [(m.start(), m.end(), "secret") for m in _ASSIGN.finditer(text) if 6 <= len(m[2]) < 12]
-    found += [(m.start(), m.end(), "secret") for m in _TOKEN.finditer(text) if _mixed(m[0])]
-    found += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    out: list[Span] = []
+def weak_spans(text: str, base: list[Span]) -> list[tuple[Span, int]]:
+    """Candidates that are reported only beside complementary parts, and where the value of each begins. They may overlap."""
+    found = [((m.start(), m.end(), "identifier"), m.start(1) if m[1] else m.start()) for m in _IDENTIFIER.finditer(text)]
+    found += [((m.start(), m.end(), "secret"), m.start(2)) for m in _ASSIGN.finditer(text) if 6 <= len(m[2]) < 12]
+    found += [((m.start(), m.end(), "secret"), m.start()) for m in _TOKEN.finditer(text) if _mixed(m[0])]
+    found += [((m.start(), m.end(), "endpoint"), m.start()) for m in _ENDPOINT.finditer(text)]
     taken = [(s, e) for s, e, _ in base]
-    for span in _sorted(found):
-        if all(span[1] <= s or e <= span[0] for s, e in _near(taken, span)) and (not out or out[-1][1] <= span[0]):
-            out.append(span)
-    return out
+
+    def free(span: Span) -> bool:
+        start, end, kind = span
+        clear = (lambda s, e: start < s or e < end) if kind == "endpoint" else (lambda s, e: end <= s or e <= start)
+        return all(clear(s, e) for s, e in _near(taken, span))
+
+    return sorted((x for x in found if free(x[0])), key=lambda x: (x[0][0], KINDS.index(x[0][2]), x[0][1]))
 
 
 def _near(taken: list[tuple[int, int]], span: Span) -> list[tuple[int, int]]:
@@ -76,32 +83,53 @@ def _near(taken: list[tuple[int, int]], span: Span) -> list[tuple[int, int]]:
 
 
 class _Parts:
-    """Parts of one role, for the interval join: which of them lies within reach of an interval, in its scope?"""
+    """Parts of one role, as spans and the starts of their values, for the interval join. A value ends with its span."""
 
-    def __init__(self, spans: list[Span]):
-        self.starts = sorted(s for s, _, _ in spans)
-        self.ends = sorted(e for _, e, _ in spans)
+    def __init__(self, parts: list[tuple[Span, int]]):
+        parts = sorted(parts)
+        self.starts = [span[0] for span, _ in parts]
+        self.values = list(accumulate((value for _, value in parts), max))
+        self.ends = sorted(span[1] for span, _ in parts)
 
     def met(self, low: int, high: int) -> bool:
         """Whether a part overlaps [low, high]: more have begun by its end than have ended before its start."""
         return bisect_right(self.starts, high) > bisect_left(self.ends, low)
 
+    def last(self, high: int) -> float:
+        """The last start of a value among the parts that begin by high."""
+        i = bisect_right(self.starts, high)
+        return self.values[i - 1] if i else -inf
+
+    def first(self, low: int) -> float:
+        """The first end among the parts that end at low or later."""
+        i = bisect_left(self.ends, low)
+        return self.ends[i] if i < len(self.ends) else inf
+
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """The weak candidates whose complementary parts co-occur in their scope."""
+    """The weak candidates whose complementary parts co-occur in their scope, less those within a reported one."""
     weak = weak_spans(text, base)
     if not weak:
         return []
     breaks = [0, *(m.end() for m in _BREAK.finditer(text)), len(text) + 1]
-    of = lambda kinds: _Parts([s for s in base + weak if s[2] in kinds])
-    secrets, identifiers = of(("assign", "hex", "secret")), of(("access", "identifier"))
-    out = []
-    for start, end, kind in weak:
+    assigned = {m.start(): m.start(2) for m in _ASSIGN.finditer(text)}
+    proof = [(span, assigned[span[0]] if span[2] == "assign" else span[0]) for span in base]
+    of = lambda parts, kinds: _Parts([x for x in parts if x[0][2] in kinds])
+    sure = [of(proof, kinds) for kinds in (("assign", "hex"), ("access",))]
+    secrets, identifiers = (of(proof + weak, kinds) for kinds in (("assign", "hex", "secret"), ("access", "identifier")))
+    out, covered = [], 0
+    for (start, end, kind), value in weak:
         i = bisect_right(breaks, start) - 1
         low, high = max(breaks[i], start - REACH), min(breaks[i + 1] - 1, end + REACH)
-        wanted = {"secret": (identifiers,), "identifier": (secrets,), "endpoint": (secrets, identifiers)}[kind]
-        if all(parts.met(low, high) for parts in wanted):
+        if kind == "endpoint":
+            # a secret and an identifier, of two values; matches that stand alone need not be two
+            linked = all(parts.met(low, high) for parts in sure) or secrets.first(low) <= identifiers.last(high) or identifiers.first(low) <= secrets.last(high)
+        else:
+            others = identifiers if kind == "secret" else secrets
+            linked = others.first(low) <= value or others.last(high) >= end
+        if linked and end > covered:
             out.append((start, end, kind))
+            covered = covered if kind == "endpoint" else end
     return out
 
 

@@ -507,6 +507,47 @@ def test_weak_parts_need_complements():
     assert credentials.spans_of(None) == ([], [])
 
 
+def test_parts_inside_one_url():
+    text = "see https://api.example.com/x?user=bob&token=abc12345 now"
+    spans = credentials.spans_of(text)[1]
+    assert [(k, text[s:e]) for s, e, k in spans] == [("endpoint", text[4:53]), ("identifier", "user=bob"), ("secret", "token=abc12345")]
+    assert credentials.redacted(text, spans) == "see <endpoint> now"
+    kinds = lambda text: [k for _, _, k in credentials.spans_of(text)[1]]
+    assert kinds("see https://api.example.com/x?user=bob now") == kinds("see https://api.example.com/x?token=abc12345 now") == []
+    assert kinds("user=bob+token=abc12345") == ["identifier", "secret"]  # matches that overlap, values that do not
+    assert kinds("https://a.example/x?user=Zx9aB3Zx9aB3Zx9aB3Zx9") == []  # one value in two roles proves nothing
+    assert kinds("https://a.example/x?user=bob&token=abcdefghijkl0123") == ["endpoint", "identifier", "assign"]
+    assert kinds("AKIA" + "A" * 16 + " https://a.example/x") == ["access"]
+
+
+def test_linking_equals_every_pair():
+    """Random texts of parts against all pairs: reach, paragraph, and values apart."""
+    rng = np.random.default_rng(5)
+    bits = ["user=bob", "login: al.ice", "token=abc12345", "password = hunter22", "https://h.example/", "?", "&", "+", " ", "\n\n", " x" * 60, "Zx9" + "aB3" * 6, "AKIA" + "B" * 16, "deadbeef" * 3, "10.0.0.1", "secret: abcdefghijklmn", "/", "user="]
+    for _ in range(3_000):
+        text = "".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(2, 12)))
+        base = credentials.base_spans(text)
+        weak = credentials.weak_spans(text, base)
+        values = {m.start(): m.start(2) for m in credentials._ASSIGN.finditer(text)}
+        parts = [(s, values[s[0]] if s[2] == "assign" else s[0]) for s in base] + weak
+        scope = lambda at: sum(m.end() <= at for m in credentials._BREAK.finditer(text))
+        meets = lambda a, b: scope(a[0]) == scope(b[0]) and max(a[0], b[0]) - min(a[1], b[1]) <= credentials.REACH
+        apart = lambda a, b: a[0][1] <= b[1] or b[0][1] <= a[1]
+        want, covered = [], 0
+        for part in weak:
+            near = [p for p in parts if meets(part[0], p[0])]
+            secrets, names = ([p for p in near if p[0][2] in kinds] for kinds in (("assign", "hex", "secret"), ("access", "identifier")))
+            pairs = [(a, b) for a in secrets for b in names]
+            if part[0][2] == "endpoint":
+                linked = any(apart(a, b) or (a[0][2] != "secret" and b[0][2] == "access") for a, b in pairs)
+            else:
+                linked = any(apart(part, p) for p in (names if part[0][2] == "secret" else secrets))
+            if linked and part[0][1] > covered:
+                want.append(part[0])
+                covered = covered if part[0][2] == "endpoint" else part[0][1]
+        assert credentials.linked_spans(text, base) == want, text
+
+
 def test_secrets_odd(odd, empty):
     rows = {r["doc_id"]: r for r in credentials.find_secrets(odd).collect()}
     assert (rows[0]["spans"], rows[1]["spans"], rows[13]["n_assign"]) == ("", "", 1)
