@@ -118,13 +118,13 @@ def shard_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     return grouped.select("place", F.expr("transform(parts, (p, i) -> aggregate(slice(parts, 1, i + 1), 0L, (t, x) -> t + x.blocks))").alias("ends"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, turn_col: str | None = None) -> DataFrame:
     """id, source, size, source_size, target, taken, draws for each row of docs.
 
     A draw is a run of words of one block: epoch, block, first_word (in the document), words, shard, and sort_key, which
-    orders the draws of a shard.
+    orders the draws of a shard. Documents are ordered by a hash of turn_col, or else of id.
     """
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col))
+    hashed = F.xxhash64(F.lit(seed), F.col(turn_col or id_col))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("turn"))
     sized = stored(sized.withColumn("range", F.shiftrightunsigned("turn", 64 - RANGE_BITS)))
     ranges = stored(sized.groupBy("source", "range").agg(F.sum("size").alias("words")))
@@ -151,7 +151,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def materialised(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs as often as the mix takes them, a row for each epoch; a part that is taken is the words of that part.
 
-    Rows of docs that share an id get the draws of one of them.
+    Rows of docs that share an id get the draws of one of them, and rows without one are not taken: id_col is to be a key.
     """
     own = "filter(draws, d -> d.epoch = e)"
     run = f"named_struct('epoch', e, 'from_word', array_min(transform({own}, d -> d.first_word)), 'words', aggregate({own}, 0L, (t, d) -> t + d.words), 'size', size)"

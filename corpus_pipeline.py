@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before has kept; all but the last return the columns
 of documents. Null texts, and texts without a letter, are rejected by the first stage; empty tables stay empty; extra columns
-are carried along.
+are carried along. Ids may be null or shared: stages that join rows give each row an own key.
 """
 
 from __future__ import annotations
@@ -21,6 +21,15 @@ def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+#: An own key of each row, and a hash of its id and text that reruns agree on.
+ROW, TURN = "claimloom_row", "claimloom_turn"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW and TURN, as a table, so that a row has one key wherever it is read."""
+    return stored(docs.withColumns({ROW: F.monotonically_increasing_id(), TURN: F.xxhash64("doc_id", "text")}))
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells; those that it rejects go."""
     return langid.keep_identified(docs, langid.learn(docs))
@@ -29,10 +38,14 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    Rows that share an id are one document, and one of them stays.
+    Null ids come last, and rows of one id that are no near duplicates all stay.
     """
-    kept = near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    keyed = _keyed(docs)
+    groups = near_duplicates(keyed, ROW, k=5, percent=80).select(F.col(ROW).alias("of_row"), "component_id")
+    members = keyed.select(ROW, TURN, "doc_id").join(groups, F.col(ROW) == F.col("of_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", TURN, ROW))
+    kept = members.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias("kept_row"))
+    return keyed.join(kept, F.col(ROW) == F.col("kept_row"), "left_semi").drop(ROW, TURN)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +55,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix by source weights takes them; the last draw of a source may take part of a document."""
-    return _recounted(mixing.materialised(docs, mixing.mix(docs)))
+    keyed = _keyed(docs)
+    return _recounted(mixing.materialised(keyed, mixing.mix(keyed, ROW, turn_col=TURN), ROW).drop(ROW, TURN))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,6 +90,27 @@ def test_odd_inputs(spark, small):
         assert bool(docs.count()) == bool(data)
 
 
+def test_null_and_shared_ids_stay(spark, small):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    story = "the old harbour was quiet that morning and the boats lay still while {} carried the bread from the house to the market"
+    other = "every winter the teachers of this small school read long letters about the {} and the rivers of the north to their children"
+    texts = [(None, story.format("Anna")), (None, other.format("mountains")), (7, "when the rain had stopped the two brothers walked slowly along the road to the station"), (7, "a good answer is short and clear and it does not leave the most important question open")]
+    copies = [(None, texts[0][1]), (9, texts[1][1]), (7, texts[2][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts + copies], schema)
+    kept = pipeline.drop_near_duplicates(spark, docs, small)
+    assert kept.columns == docs.columns
+    rows = sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()))
+    # the copy with an id stays for the one without; equal rows without an id are one document
+    assert rows == sorted([(0, texts[0][1]), (9, texts[1][1]), (7, texts[2][1]), (7, texts[3][1])])
+    mixed = stored(pipeline.mix_sources(spark, stored(kept), small))
+    assert mixed.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in mixed.collect()) == rows
+    for _, stage in pipeline.STAGES:
+        docs = stored(stage(spark, docs, small))
+    assert docs.count() == len(rows)
+    assert docs.where("doc_id is null").count() == 1 and docs.where("doc_id = 7").count() == 2
+
+
 def test_shared_folder_is_the_cluster_s(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     folder = shared_folder(spark)
