@@ -181,12 +181,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _candidates(group: pa.Table, least: tuple[int, ...], roots: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row, later rows of another root whose signatures pass and share no earlier band; most matches first.
+    """For each row, later rows of another root whose signatures pass and share no earlier bucket; most matches first.
 
     Rows of two different chunks meet in one block, rows of one chunk only in that chunk's own block.
     """
     signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(-1, MINIMA)
-    bands = np.ascontiguousarray(signature[:, : BANDS * ROWS]).view("<u8").reshape(len(signature), BANDS)
+    bands = np.concatenate([x.flatten().to_numpy() for x in group.column("bands").chunks]).reshape(len(signature), BANDS)
     chunk, place = group.column("chunk").to_numpy(), int(group.column("place")[0].as_py())
     two = len(np.unique(chunk)) > 1
     for i in range(len(signature) - 1):
@@ -281,13 +281,13 @@ def links_across(named: DataFrame, reps: DataFrame, texts: DataFrame, k: int, pe
     other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda o: F.least("chunk", o) * F.col("chunks") + F.greatest("chunk", o)))
     sides = reps.select(F.col("id").alias("rep_id"), "signature", "bands")
     open_ = open_.join(sides, F.col("id") == F.col("rep_id")).withColumn("place", (F.array_position("bands", F.col("band")) - 1).cast("long"))
-    open_ = open_.where("place >= 0").select("band", other.alias("block"), "chunk", "place", "id", "comp", "signature")
+    open_ = open_.where("place >= 0").select("band", other.alias("block"), "chunk", "place", "id", "comp", "signature", "bands")
     grouped = lambda df: df.repartition("band", "block").sortWithinPartitions("band", "block", "id")
     schema = "band long, block long, chunk long, place long, id long, comp long"
     rows = stored(grouped(open_).mapInArrow(_hopeful(least), schema))
-    rows = rows.join(reps.select(F.col("id").alias("rep_id"), "signature"), F.col("id") == F.col("rep_id"))
+    rows = rows.join(sides, F.col("id") == F.col("rep_id"))
     rows = rows.join(texts.select(F.col("id").alias("text_id"), "text"), F.col("id") == F.col("text_id"))
-    rows = grouped(rows.select("band", "block", "chunk", "place", "id", "comp", "signature", "text"))
+    rows = grouped(rows.select("band", "block", "chunk", "place", "id", "comp", "signature", "bands", "text"))
     return stored(rows.mapInArrow(_linked(least, k, percent), "a long, b long").distinct())
 
 

@@ -138,6 +138,18 @@ def test_minhash_in_small_blocks(spark, monkeypatch):
     test_minhash_on_near_copies(spark)
 
 
+def test_bands_that_agree_in_low_bits_only_did_not_meet():
+    """Rows whose earlier band has equal 16-bit minima but another bucket meet in the bucket that they do share."""
+    import pyarrow as pa
+
+    signature = np.arange(minhash.MINIMA, dtype="<u2").tobytes()
+    keys = [[100 + i, *range(1, minhash.BANDS)] for i in range(2)]
+    group = lambda place: pa.table({"chunk": [0, 0], "place": [place] * 2, "signature": [signature] * 2, "bands": pa.array(keys, pa.list_(pa.int64()))})
+    met = lambda place: [(i, later.tolist()) for i, later in minhash._candidates(group(place), minhash.least_matches(0.8, 1e-5), [0, 1])]
+    assert met(1) == [(0, [1])]
+    assert met(2) == []  # they shared bucket 1
+
+
 def test_posterior_bounds_are_safe():
     fewest = minhash.least_matches(0.8, 1e-5)
     assert fewest == tuple(sorted(fewest)) and all(f < 0.8 * 32 * (i + 1) for i, f in enumerate(fewest))
