@@ -3,11 +3,14 @@
 Signatures of 128 minima come from whole texts. 24 bands of 4 minima propose pairs: a pair at similarity 0.8 shares no
 band with probability (1 - 0.8^4)^24 < 4e-6. A proposed pair's signatures are compared in batches of 32; after each batch
 the posterior of its similarity, under a uniform prior, says whether the pair may still reach the threshold, and a pair
-falls when that probability is under ``miss``. Survivors are confirmed on their full shingle sets.
+falls when that probability is under a quarter of ``miss``, so that the four looks together lose at most that share of the
+pairs at the threshold. Survivors are confirmed on their full shingle sets.
 
-Groups of copies stay cheap: documents with equal shingle sets form one class and only its smallest id goes on; a member
-is first compared with one hub, the smallest id of its buckets; then members of one bucket that are still in different
-components meet in blocks of bounded size, which only let out links that join components.
+Groups of copies stay cheap: documents with the same words in the same order, by their SHA-256, form one class and only its
+smallest id goes on; a member is first compared with one hub, the smallest id of its buckets. Members of one bucket that are
+still in different components then meet in blocks of bounded size, which only let out links that join components: rows of
+the bucket's largest component do not meet each other, so one stranger in a large group costs one look at each member.
+No bucket, class or hub is held by one task: hot buckets and classes are joined by broadcast, hubs are salted.
 
 Defined cases: null or wordless texts have no shingles, are linked with nothing and are kept. A text of fewer than k words
 has its whole word sequence as its one shingle. Rows that share an id count as one document. Ties go to the smaller id.
@@ -16,6 +19,7 @@ An empty table gives an empty result. Columns other than id and text are not rea
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
@@ -26,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.graph import components
-from claimloom.llm.storage import stored
+from claimloom.llm.storage import HOT_ROWS, joined, stored
 from claimloom.llm.words import Words, mix, slices
 from claimloom.session import spread
 
 MINIMA, BANDS, ROWS, BATCH = 128, 24, 4, 32
-#: Rows of one bucket that meet each other at once.
-CHUNK = 512
+#: Rows of one bucket that meet each other at once, and shingles of their texts, about.
+CHUNK, CHUNK_SHINGLES = 512, 1_000_000
 #: Shingles that a block keeps at once.
 HELD = 1_000_000
 _rng = np.random.default_rng(7919)
@@ -42,7 +46,7 @@ _ADD = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
 @lru_cache
 def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
-    """For each number of compared batches, the fewest matches with which P(similarity >= threshold) is miss or more.
+    """For each number of compared batches, the fewest matches with which P(similarity >= threshold) is that look's share of miss or more.
 
     With m of n matches and a uniform prior the posterior is Beta(m + 1, n - m + 1), whose upper tail at t is the
     probability of at most m successes in n + 1 trials of chance t.
@@ -50,7 +54,7 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     out = []
     for n in range(BATCH, MINIMA + 1, BATCH):
         tail, m = 0.0, -1
-        while tail < miss:
+        while tail < miss * BATCH / MINIMA:
             m += 1
             tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
         out.append(m)
@@ -58,7 +62,7 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, n (distinct shingles), s0, s1 (hash of the set), signature (128 16-bit minima), bands (24 bucket keys)."""
+    """id, n (distinct shingles), sha (of the lower-case words), signature (128 16-bit minima), bands (24 bucket keys)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -74,11 +78,9 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 n = np.bincount(doc, minlength=batch.num_rows)[rows]
                 at = np.cumsum(n) - n
                 minima = np.zeros((len(rows), MINIMA), np.uint32)
-                s0 = s1 = np.zeros(0, np.uint64)
                 if len(rows):
                     for p in range(MINIMA):
                         minima[:, p] = np.minimum.reduceat((value * _MULTIPLY[p] + _ADD[p]) >> np.uint64(32), at)
-                    s0, s1 = np.add.reduceat(mix(value ^ _ADD[0]), at), np.add.reduceat(mix(value ^ _ADD[1]), at)
                 keys = np.zeros((len(rows), BANDS), np.uint64)
                 for j in range(ROWS):
                     keys = mix(keys + minima[:, j : BANDS * ROWS : ROWS].astype(np.uint64) + np.uint64(j + 1))
@@ -87,42 +89,36 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 counts[rows] = n
                 has = np.zeros(batch.num_rows, bool)
                 has[rows] = True
-                full = lambda x, has=has: _spread(x, has)
                 signature = (minima & np.uint32(0xFFFF)).astype("<u2")
+                edges = words.offsets.tolist()
+                shas = [hashlib.sha256(b" ".join(words.data[edges[i] : edges[i + 1]].tobytes().split())).digest() if has[i] else None for i in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array(counts),
-                        pa.array(full(s0).view(np.int64)),
-                        pa.array(full(s1).view(np.int64)),
+                        pa.array(shas, pa.binary()),
                         pa.array([signature[i].tobytes() if i >= 0 else None for i in np.where(has, np.cumsum(has) - 1, -1)], pa.binary()),
                         pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(has * BANDS))).astype(np.int32), keys.reshape(-1).view(np.int64)),
                     ],
-                    ["id", "n", "s0", "s1", "signature", "bands"],
+                    ["id", "n", "sha", "signature", "bands"],
                 )
 
-    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(of, "id long, n long, s0 long, s1 long, signature binary, bands array<long>")
-
-
-def _spread(values: np.ndarray, has: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(has), np.uint64)
-    out[has] = values
-    return out
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(of, "id long, n long, sha binary, signature binary, bands array<long>")
 
 
 def _posterior(threshold: float, miss: float):
-    """Keeps the pairs whose signatures may belong to a similarity of threshold or more."""
+    """Keeps the pairs (a, b, salt) whose signatures may belong to a similarity of threshold or more."""
     least = least_matches(threshold, miss)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, MINIMA) for i in (2, 3))
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, MINIMA) for i in (3, 4))
             alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for step, fewest in enumerate(least):
                 part = slice(step * BATCH, (step + 1) * BATCH)
                 matches[alive] += (left[alive, part] == right[alive, part]).sum(1)
                 alive = alive[matches[alive] >= fewest]
-            yield batch.select([0, 1]).take(pa.array(alive))
+            yield batch.select([0, 1, 2]).take(pa.array(alive))
 
     return of
 
@@ -153,14 +149,21 @@ def _confirm(k: int, percent: int):
 
 
 def links_among(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
-    """The pairs (a, b) that are linked. Sizes, then signature batches, then full sets decide."""
-    left, right = (reps.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
-    near = pairs.join(right, F.col("b") == F.col("id_b")).join(left, F.col("a") == F.col("id_a"))
+    """The pairs (a, b, salt) that are linked, as (a, b). Sizes, then signature batches, then full sets decide.
+
+    The salt deals the pairs of one a, which may be a hub of very many, to several tasks.
+    """
+
+    def sides(of: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+        left, right = (of.select(F.col("id").alias(f"id_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
+        asked = wanted.select(F.col("a").alias("a_"), F.col("salt").alias("salt_")).distinct().join(left, F.col("a_") == F.col("id_a"))
+        return wanted.join(right, F.col("b") == F.col("id_b")).join(asked, (F.col("a") == F.col("a_")) & (F.col("salt") == F.col("salt_")))
+
+    near = sides(reps, pairs, ["n", "signature"])
     near = near.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    near = stored(near.select("a", "b", "s_a", "s_b").mapInArrow(_posterior(percent / 100, miss), "a long, b long").distinct())
-    left, right = (texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"t_{x}")) for x in "ab")
-    both = near.join(right, F.col("b") == F.col("id_b")).join(left, F.col("a") == F.col("id_a"))
-    return stored(both.select("a", "b", "t_a", "t_b").mapInArrow(_confirm(k, percent), "a long, b long").distinct())
+    near = stored(near.select("a", "b", "salt", "signature_a", "signature_b").mapInArrow(_posterior(percent / 100, miss), "a long, b long, salt long").distinct())
+    both = sides(texts, near, ["text"])
+    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long").distinct())
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -180,21 +183,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches([x for _, x in held])
 
 
-def _candidates(group: pa.Table, least: tuple[int, ...], roots: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row, later rows of another root whose signatures pass and share no earlier bucket; most matches first.
+def _candidates(group: pa.Table, least: tuple[int, ...], roots: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row, later rows of another root whose sizes and signatures pass and that share no earlier bucket; most matches first.
 
-    Rows of two different chunks meet in one block, rows of one chunk only in that chunk's own block.
+    Rows of two different chunks meet in one block, rows of one chunk only in that chunk's own block. Roots may change meanwhile.
     """
     signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(-1, MINIMA)
     bands = np.concatenate([x.flatten().to_numpy() for x in group.column("bands").chunks]).reshape(len(signature), BANDS)
-    chunk, place = group.column("chunk").to_numpy(), int(group.column("place")[0].as_py())
+    chunk, n, place = group.column("chunk").to_numpy(), group.column("n").to_numpy(), int(group.column("place")[0].as_py())
     two = len(np.unique(chunk)) > 1
     for i in range(len(signature) - 1):
-        later = np.arange(i + 1, len(signature))
-        own = np.fromiter((roots[j] != roots[i] for j in later), bool, len(later))
+        own = (roots[i + 1 :] != roots[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent)
         if two:
-            own &= chunk[later] != chunk[i]
-        later = later[own]
+            own &= chunk[i + 1 :] != chunk[i]
+        later = np.flatnonzero(own) + i + 1
         if place and len(later):
             later = later[~(bands[later, :place] == bands[i, :place]).any(1)]
         matches = np.zeros(len(later), np.int64)
@@ -206,16 +208,16 @@ def _candidates(group: pa.Table, least: tuple[int, ...], roots: list[int]) -> It
             yield i, later[np.argsort(-matches, kind="stable")]
 
 
-def _hopeful(least: tuple[int, ...]):
+def _hopeful(least: tuple[int, ...], percent: int):
     """Of each block, the rows that have a candidate."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             found: set[int] = set()
-            for i, later in _candidates(group, least, group.column("comp").to_pylist()):
+            for i, later in _candidates(group, least, group.column("comp").to_numpy(), percent):
                 found.update([i, *later.tolist()])
             if found:
-                yield from group.take(pa.array(sorted(found))).select(["band", "block", "chunk", "place", "id", "comp"]).combine_chunks().to_batches()
+                yield from group.take(pa.array(sorted(found))).select(["band", "block", "chunk", "place", "id", "n", "comp"]).combine_chunks().to_batches()
 
     return of
 
@@ -251,66 +253,81 @@ def _linked(least: tuple[int, ...], k: int, percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             ids, sets = group.column("id").to_pylist(), _Sets(group.column("text"), k)
-            roots, links = group.column("comp").to_pylist(), []
-            for i, later in _candidates(group, least, list(roots)):
+            roots, links = np.array(group.column("comp").to_numpy()), []
+            for i, later in _candidates(group, least, roots, percent):
                 for j in later.tolist():
                     if roots[i] == roots[j]:
                         continue
                     both, union = sets.shared(i, j)
                     if both and 100 * both >= percent * union:
                         links.append((ids[i], ids[j]))
-                        old, new = roots[j], roots[i]
-                        roots = [new if x == old else x for x in roots]
+                        roots[roots == roots[j]] = roots[i]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
     return of
 
 
-def links_across(named: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) between members of one bucket that are in different components. named: band, id, comp.
+def links_across(named: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, miss: float, total: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components. named, of `total` rows at most: band, id, n, comp.
 
-    A bucket is cut into chunks of CHUNK rows, and every two chunks meet in a block, so no task holds a large bucket.
-    Blocks first meet with signatures alone; the rows that have a candidate meet again with their texts. Only links that
-    join components leave a block.
+    A bucket is cut into chunks of about CHUNK rows and CHUNK_SHINGLES shingles, those of its largest component apart from
+    the rest. Each chunk of the rest meets every chunk in a block, so no task holds a large bucket and members of the largest
+    component do not meet. Blocks first meet with signatures alone; the rows that have a candidate meet again with their
+    texts. Only links that join components leave a block.
     """
     least = least_matches(percent / 100, miss)
-    mixed = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("long")
-    open_ = named.join(mixed.select("band", chunks.alias("chunks")), "band").select("band", "id", "comp", "chunks", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
-    other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda o: F.least("chunk", o) * F.col("chunks") + F.greatest("chunk", o)))
+    parts = named.groupBy("band", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("rows", "comp", "shingles")).alias("top"), F.sum("rows").alias("size"), F.sum("shingles").alias("every"), F.count("*").alias("comps")).where("comps > 1")
+    chunks = lambda rows, shingles: F.greatest(F.ceil(rows / CHUNK), F.ceil(shingles / CHUNK_SHINGLES)).cast("long")
+    whole = (F.col("size") <= CHUNK) & (F.col("every") <= CHUNK_SHINGLES)
+    mixed = mixed.select(
+        "band",
+        "size",
+        F.when(~whole, F.col("top.comp")).alias("top"),
+        F.when(whole, F.lit(1)).otherwise(chunks(F.col("size") - F.col("top.rows"), F.col("every") - F.col("top.shingles"))).cast("long").alias("rest"),
+        F.when(whole, F.lit(0)).otherwise(chunks(F.col("top.rows"), F.col("top.shingles"))).cast("long").alias("tops"),
+    )
+    open_ = joined(named, stored(mixed), ["band"], "size", total)
+    in_top = F.coalesce(F.col("comp") == F.col("top"), F.lit(False))
+    open_ = open_.withColumn("chunk", F.when(in_top, F.col("rest") + F.pmod(F.xxhash64("id"), F.greatest("tops", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), "rest")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(in_top, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1)
+    block = F.explode(F.transform(others, lambda o: F.least("chunk", o) * (F.col("rest") + F.col("tops")) + F.greatest("chunk", o)))
     sides = reps.select(F.col("id").alias("rep_id"), "signature", "bands")
     open_ = open_.join(sides, F.col("id") == F.col("rep_id")).withColumn("place", (F.array_position("bands", F.col("band")) - 1).cast("long"))
-    open_ = open_.where("place >= 0").select("band", other.alias("block"), "chunk", "place", "id", "comp", "signature", "bands")
+    open_ = open_.where("place >= 0").select("band", block.alias("block"), "chunk", "place", "id", "n", "comp", "signature", "bands")
     grouped = lambda df: df.repartition("band", "block").sortWithinPartitions("band", "block", "id")
-    schema = "band long, block long, chunk long, place long, id long, comp long"
-    rows = stored(grouped(open_).mapInArrow(_hopeful(least), schema))
+    schema = "band long, block long, chunk long, place long, id long, n long, comp long"
+    rows = stored(grouped(open_).mapInArrow(_hopeful(least, percent), schema))
     rows = rows.join(sides, F.col("id") == F.col("rep_id"))
     rows = rows.join(texts.select(F.col("id").alias("text_id"), "text"), F.col("id") == F.col("text_id"))
-    rows = grouped(rows.select("band", "block", "chunk", "place", "id", "comp", "signature", "bands", "text"))
+    rows = grouped(rows.select("band", "block", "chunk", "place", "id", "n", "comp", "signature", "bands", "text"))
     return stored(rows.mapInArrow(_linked(least, k, percent), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
     """id_col, n_shingles, component_id (smallest id that links reach), kept (id_col = component_id), a row for each row of docs."""
     every = stored(profiles(docs, id_col, text_col, k))
+    total = every.count()
     some = every.where("n > 0")
-    classes = stored(some.groupBy("s0", "s1").agg(F.min("id").alias("rep")))
-    reps = stored(some.join(classes.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").select("id", "n", "signature", "bands").dropDuplicates(["id", "signature"]))
-    rows = reps.select("id", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("band", "hub")
-    members = stored(rows.join(buckets, "band").select("band", "id", "hub"))
+    classes = stored(some.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
+    reps = stored(some.join(classes.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id", "sha"]).select("id", "n", "signature", "bands"))
+    rows = reps.select("id", "n", F.explode("bands").alias("band"))
+    buckets = stored(rows.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("size")).where("hub < last").select("band", "hub", "size"))
+    members = stored(joined(rows, buckets, ["band"], "size", BANDS * total).select("band", "id", "n", "hub", "size"))
     involved = members.select(F.col("id").alias("node")).distinct()
     texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, F.col("id") == F.col("node"), "left_semi"))
 
-    first = members.where("id > hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    first = members.where("id > hub").groupBy(F.col("id").alias("b")).agg(F.min(F.struct("hub", "size")).alias("first"))
+    first = first.select(F.col("first.hub").alias("a"), "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("first.size") / HOT_ROWS).cast("long")).alias("salt"))
     links = links_among(first, reps, texts, k, percent, miss)
     labels = components(links).select(F.col("node").alias("labelled"), F.col("label").alias("comp"))
-    named = members.join(labels, F.col("id") == F.col("labelled"), "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    more = links_across(named, reps, texts, k, percent, miss)
+    named = members.join(labels, F.col("id") == F.col("labelled"), "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    more = links_across(stored(named), reps, texts, k, percent, miss, BANDS * total)
     labels = components(links.unionByName(more))
 
-    to_rep = every.join(classes, ["s0", "s1"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
-    out = to_rep.join(labels.select("node", "label"), F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("label", "rep", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    # a class's component is looked up once, not once for each of its rows
+    found = classes.join(labels, F.col("rep") == F.col("node"), "left").select("sha", "size", F.coalesce("label", "rep").alias("component_id"))
+    out = joined(some.select("id", "n", "sha"), stored(found), ["sha"], "size", total).select("id", "n", "component_id")
+    out = out.unionByName(every.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -1,22 +1,27 @@
 """Intermediate tables in the folder that the cluster shares.
 
 ``stored`` cuts lineage: it writes a frame as Parquet below ``spark.checkpoint.dir`` and reads it back, so a lost
-executor costs a read and not the work before it. Where that setting is absent (tests, a laptop) a temporary folder is
-made once per application.
+executor costs a read and not the work before it. Where that setting is absent a local session (tests, a laptop) gets a
+temporary folder, once per application; on a cluster, whose machines share no such folder, it is an error.
 """
 
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-BATCH_ROWS = 2_000
+#: Rows and bytes that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+#: Keys that are broadcast at most, see `joined`.
+HOT_KEYS, HOT_ROWS = 100_000, 1_000
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: dict[str, str] = {}
 
 
@@ -25,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="claimloom-")
@@ -39,13 +46,19 @@ def _removed_at_the_end(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile Python workers get at most BATCH_ROWS rows at once: both sides of the pipe hold whole batches of texts."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS)) if int(before) > 0 else str(BATCH_ROWS))
+    """Meanwhile Python workers get at most BATCH_ROWS rows or BATCH_BYTES bytes (one row at least) at once: both sides of the pipe hold whole batches."""
+    before = {key: spark.conf.get(key, None) for key in (_BATCH, _BYTES)}
+    for key, most in ((_BATCH, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        own = int(re.sub(r"\D", "", before[key] or "") or 0) if key == _BATCH else 0
+        spark.conf.set(key, str(min(own, most) if own > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -56,3 +69,15 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     _removed_at_the_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows and the columns of groups, a table with one row for each set of keys and how many rows have it in `size`.
+
+    Groups of more than a HOT_KEYS-th of `total` rows (HOT_ROWS at least) are broadcast: there are fewer than HOT_KEYS of
+    them, whatever the data, and their rows stay where they are. The rest meets in a shuffle, where no key is hot.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = groups.where(F.col(size) > most), groups.where(F.col(size) <= most)
+    known = F.broadcast(hot.select(*keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(known, keys, "left_anti").join(cold, keys))

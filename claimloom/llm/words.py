@@ -21,7 +21,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[:, SPACE] = 0
-_STEP = _rng.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEED = _rng.integers(1, 1 << 63, 2, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -74,14 +74,18 @@ class Words:
         self.count = np.diff(self.first)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; ``which`` (0 or 1) picks one of two independent functions."""
+        """A 64-bit hash of each word's bytes; ``which`` (0 or 1) picks one of two independent functions.
+
+        A byte's random number times a random number of its place, added up. The numbers of the places are unrelated, not
+        powers of one base, so no pattern of letters makes words collide more often than by chance.
+        """
         if not len(self.start):
             return np.zeros(0, np.uint64)
         longest = int((self.end - self.start).max())
-        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(longest, _STEP[which], np.uint64))))
+        factor = mix(np.arange(1, longest + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _SEED[which]) | np.uint64(1)
         spans = np.diff(np.append(self.start, len(self.data)))
         place = np.arange(self.start[0], len(self.data)) - np.repeat(self.start, spans)
-        values = _BYTE[which][self.data[self.start[0] :]] * power[np.minimum(place, longest)]
+        values = _BYTE[which][self.data[self.start[0] :]] * factor[np.minimum(place, longest)]
         return mix(np.add.reduceat(values, self.start - self.start[0]) + (self.end - self.start).astype(np.uint64))
 
     def shingles(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

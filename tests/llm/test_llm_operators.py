@@ -144,12 +144,43 @@ def test_bands_that_agree_in_low_bits_only_did_not_meet():
 
     signature = np.arange(minhash.MINIMA, dtype="<u2").tobytes()
     keys = [[100 + i, *range(1, minhash.BANDS)] for i in range(2)]
-    group = lambda place: pa.table({"chunk": [0, 0], "place": [place] * 2, "signature": [signature] * 2, "bands": pa.array(keys, pa.list_(pa.int64()))})
-    met = lambda place: [(i, later.tolist()) for i, later in minhash._candidates(group(place), minhash.least_matches(0.8, 1e-5), [0, 1])]
+    group = lambda place: pa.table({"chunk": [0, 0], "place": [place] * 2, "n": [9] * 2, "signature": [signature] * 2, "bands": pa.array(keys, pa.list_(pa.int64()))})
+    met = lambda place: [(i, later.tolist()) for i, later in minhash._candidates(group(place), minhash.least_matches(0.8, 1e-5), np.array([0, 1]), 80)]
     assert met(1) == [(0, [1])]
     assert met(2) == []  # they shared bucket 1
 
 
+def thue_morse(n, a, b):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_words_and_texts_that_collide_modulo_powers_of_two_stay_apart(spark):
+    """Thue-Morse sequences and their complements have equal polynomial hashes modulo 2^64, whatever the base."""
+    words = ["".join(thue_morse(2048, *x)) for x in ("ab", "ba")]
+    sequences = [" ".join(thue_morse(2048, *x)) for x in (("aa", "bb"), ("bb", "aa"))]
+    frame = spark.createDataFrame(list(enumerate(words + sequences)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, k=2).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}  # the two sequences have the same three pairs of words
+    filler = " ".join(f"w{i}" for i in range(49))
+    frame = spark.createDataFrame([(0, f"{filler} {words[0]}"), (1, f"{filler} {words[1]}"), (2, sequences[0][: 3 * 64]), (3, sequences[1][: 3 * 64])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(frame).collect()}
+    assert got == brute_removed({r["doc_id"]: r["text"] for r in frame.collect()}, 50)
+    assert got[1][1] == 0
+
+
+def test_hot_buckets_and_classes(spark, monkeypatch):
+    """The same components when every bucket and class of more than two rows is hot, and chunks are tiny."""
+    from claimloom.llm import storage
+
+    monkeypatch.setattr(storage, "HOT_ROWS", 2)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 2)
+    monkeypatch.setattr(minhash, "CHUNK_SHINGLES", 300)
+    test_minhash_on_near_copies(spark)
+    texts = {i: "one text that many rows repeat" if i % 3 else f"own text number {i} of {i}" for i in range(30)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=2).collect()}
+    assert got == brute_components(texts, 2)
+
+
 def test_posterior_bounds_are_safe():
     fewest = minhash.least_matches(0.8, 1e-5)
     assert fewest == tuple(sorted(fewest)) and all(f < 0.8 * 32 * (i + 1) for i, f in enumerate(fewest))
