@@ -1,16 +1,22 @@
 """Passages that repeat across documents, by level-wise doubling.
 
-Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. The first level has windows of half the target length; only where such windows
-repeat in another document are windows of twice that length formed, and only those that repeat again count. A window of
-the target length holds a run of half-length windows, and the one with the smallest hash is the same wherever the window
-stands, so the first level needs just these smallest ones (about 2 in 27 words): no repeated window is lost.
+Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. The first level has windows of a quarter of the target length; only where such a
+window repeats in another document is it extended to twice its length, and only where that repeats again are windows of the
+target length formed. The levels end there, or before, when no candidate survives. Longer windows would remove nothing more;
+`repeat_levels` goes on doubling beyond the target for those who ask how long passages are.
 
-Documents with the same word sequence form a class and only the smallest id goes on; every window of the others starts in
-it. Window hashes have 128 bits, from two independent functions.
+A level needs few of its windows. Of the quarter windows in a target window the one with the smallest hash is the same
+wherever the target window stands, and so is its extension (to the right where that stays inside the target window, else to
+the left). A target window that repeats has therefore both of them repeated: no repeated window is lost.
+
+Documents with the same word sequence, by its SHA-256, form a class and only the smallest id goes on; every window of the
+others starts in it. Target windows are named by 128 bits: two hashes with unrelated random numbers, each a tree of mixed
+pairs, so that no pattern of words collides more often than by chance. Keys that very many rows share are joined by broadcast.
 
 Defined cases: null and wordless texts have no words and lose none. Windows never cross documents. A window that repeats in
 its own document alone is no repeat. Rows that share id and text are judged alike; a window must start under a strictly
-smaller id. An empty table gives an empty result. Columns other than id and text are not read.
+smaller id, and rows without an id lose nothing. An empty table gives an empty result. Columns other than id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -23,31 +29,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.storage import stored
+from claimloom.llm.storage import joined, stored
 from claimloom.llm.words import Words, mix, slices
 from claimloom.session import spread
 
-_BASE = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64) | np.uint64(1)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n - 1, 0), base, np.uint64))))
+#: Odd random numbers, a pair for each of the two hash functions.
+_PAIR = np.array([[0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], [0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]], np.uint64)
 
 
-def _sums(hashes: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of hash * base^place, and base^-place."""
-    inverse = np.uint64(pow(int(_BASE[which]), -1, 1 << 64))
-    n = len(hashes)
-    return np.concatenate(([np.uint64(0)], np.cumsum(hashes * _powers(_BASE[which], n)))), _powers(inverse, n + 1)
+def _paired(left: np.ndarray, right: np.ndarray, which: int) -> np.ndarray:
+    return mix(left * _PAIR[which, 0] + right * _PAIR[which, 1])
 
 
 def window_hashes(hashes: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """Hash of each run of `length` words; place i has words i to i + length - 1, across rows too."""
-    if len(hashes) < length:
-        return np.zeros(0, np.uint64)
-    sums, inverse = _sums(hashes, which)
-    n = len(hashes) - length + 1
-    return mix((sums[length:] - sums[:n]) * inverse[:n])
+    """Hash of each run of `length` words; place i has words i to i + length - 1, across rows too.
+
+    Runs of 1, 2, 4 ... words are paired with their neighbours, and those that make up `length` with each other.
+    """
+    out, width, size, run = hashes[:0], 0, 1, hashes
+    while size <= length:
+        if length & size:
+            n = max(0, len(hashes) - width - size + 1)
+            out = _paired(out[:n], run[width : width + n], which) if width else run[:n]
+            width += size
+        run, size = _paired(run[:-size], run[size:], which), 2 * size
+    return out
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,52 +71,113 @@ def _places(words: Words, length: int) -> np.ndarray:
     return np.flatnonzero(np.arange(len(words.doc)) + length <= words.first[words.doc + 1]) if len(words.doc) else np.zeros(0, np.int64)
 
 
+def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first minimum of each run of `width` values."""
+
+    def lower(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.where(values[left] <= values[right], left, right)
+
+    size, at = 1, np.arange(len(values))
+    while 2 * size <= width:
+        at = lower(at[:-size], at[size:])
+        size *= 2
+    rest = width - size
+    return lower(at[: len(at) - rest], at[rest:]) if rest else at
+
+
+def quarter(length: int) -> int:
+    """Words of a window of the first level."""
+    return max(1, length // 4)
+
+
 def _anchors(words: Words, length: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the target windows, and for each the smallest hash of its half-length windows."""
-    at, half = _places(words, length), length // 2
+    """Places of the target windows, and for each the smallest hash of its quarter windows."""
+    at, base = _places(words, length), quarter(length)
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    return at, _smallest(window_hashes(hashes, half), length - half + 1)[at]
+    return at, _smallest(window_hashes(hashes, base), length - base + 1)[at]
+
 
+def _extensions(words: Words, length: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the target windows, the smallest hash of each's quarter windows, and the hash of that one's extension."""
+    at, base = _places(words, length), quarter(length)
+    if not len(at):
+        return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    quarters = window_hashes(hashes, base)
+    low = _first_smallest(quarters, length - base + 1)[at]
+    start = np.where(low - at + 2 * base <= length, low, low - base)
+    return at, quarters[low], window_hashes(hashes, 2 * base)[start]
+
+
+def _sha(text: str | None) -> bytes:
+    """SHA-256 of the words joined by one space."""
+    return hashlib.sha256(b" ".join((text or "").encode().split())).digest()
 
-def _sequence(words: Words, which: int) -> np.ndarray:
-    """A hash of each row's whole word sequence."""
-    sums, inverse = _sums(words.hashes(which), which)
-    return mix((sums[words.first[1:]] - sums[words.first[:-1]]) * inverse[words.first[:-1]] + words.count.astype(np.uint64))
+
+def _tag(sha: bytes) -> int:
+    return int.from_bytes(sha[:4], "little")
 
 
 def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The rows (id, tag, text, ...) whose tag is their text's: rows that share an id with another text meet its tag too."""
-    tags = (_sequence(Words(batch.column(2)), 0).view(np.int64)) >> 32
-    return batch.filter(pa.array(tags == batch.column(1).to_numpy()))
+    tags = [_tag(_sha(x)) for x in batch.column(2).to_pylist()]
+    return batch.filter(pa.array(np.array(tags, np.int64) == batch.column(1).to_numpy()))
+
+
+def _distinct(values: np.ndarray, doc: np.ndarray, rows: int) -> pa.ListArray:
+    """The distinct values of each row, as lists."""
+    order = np.lexsort((values, doc))
+    values, doc = values[order], doc[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
+    ends = np.concatenate(([0], np.cumsum(np.bincount(doc[fresh], minlength=rows))))
+    return pa.ListArray.from_arrays(ends.astype(np.int32), values[fresh].view(np.int64))
+
+
+def _among(values: np.ndarray, doc: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Whether each value is in the list of its row."""
+    known = lists.flatten().to_numpy().view(np.uint64)
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    salt = _PAIR[0, 0]
+    pairs, asked = np.sort(mix(known) + owner.astype(np.uint64) * salt), mix(values) + doc.astype(np.uint64) * salt
+    found = np.searchsorted(pairs, asked)
+    return (found < len(pairs)) & (pairs[np.minimum(found, len(pairs) - 1)] == asked) if len(pairs) else np.zeros(len(values), bool)
 
 
 def profiles(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each of docs (id, text): n_words, hash of the word sequence, sha of the joined words, its anchors."""
+    """A row for each of docs (id, text): n_words, sha and tag of the joined words, its anchors."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 words = Words(batch.column(1))
-                keys = [_sequence(words, which) for which in (0, 1)]
                 at, low = _anchors(words, length, words.hashes())
-                doc = words.doc[at]
-                order = np.lexsort((low, doc))
-                low, doc = low[order], doc[order]
-                fresh = np.ones(len(low), bool)
-                fresh[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-                ends = np.concatenate(([0], np.cumsum(np.bincount(doc[fresh], minlength=batch.num_rows))))
-                shas = [hashlib.sha256(b" ".join((x or "").encode().split())).hexdigest() for x in batch.column(1).to_pylist()]
+                shas = [_sha(x) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(words.count, pa.int64()), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(shas, pa.string()), pa.ListArray.from_arrays(ends.astype(np.int32), low[fresh].view(np.int64))],
-                    ["id", "n_words", "q0", "q1", "sha", "anchors"],
+                    [batch.column(0), pa.array(words.count, pa.int64()), pa.array(shas, pa.binary()), pa.array(map(_tag, shas), pa.int64()), _distinct(low, words.doc[at], batch.num_rows)],
+                    ["id", "n_words", "sha", "tag", "anchors"],
                 )
 
-    return spread(docs).mapInArrow(of, "id long, n_words long, q0 long, q1 long, sha string, anchors array<long>")
+    return spread(docs).mapInArrow(of, "id long, n_words long, sha binary, tag long, anchors array<long>")
 
 
-def _candidate_windows(length: int):
-    """For rows (id, tag, text, hs), the target windows whose anchor is among hs."""
+def _extended(length: int):
+    """For rows (id, tag, text, hs), the extensions of their anchors among hs."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in map(_own, slices(whole, "text")):
+                if batch.num_rows:
+                    words = Words(batch.column(2))
+                    at, low, longer = _extensions(words, length, words.hashes())
+                    hit = _among(low, words.doc[at], batch.column(3))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _distinct(longer[hit], words.doc[at][hit], batch.num_rows)], ["id", "tag", "hs"])
+
+    return of
+
+
+def _target_windows(length: int):
+    """For rows (id, tag, text, hs), the target windows whose extended anchor is among hs."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -119,16 +186,8 @@ def _candidate_windows(length: int):
                     continue
                 words = Words(batch.column(2))
                 hashes = words.hashes()
-                at, low = _anchors(words, length, hashes)
-                lists = batch.column(3)
-                known = lists.flatten().to_numpy().view(np.uint64)
-                owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-                # an anchor counts in its own row alone
-                pairs = np.sort(mix(known) + owner.astype(np.uint64) * _BASE[0])
-                asked = mix(low) + words.doc[at].astype(np.uint64) * _BASE[0]
-                found = np.searchsorted(pairs, asked)
-                hit = (found < len(pairs)) & (pairs[np.minimum(found, len(pairs) - 1)] == asked) if len(pairs) else np.zeros(len(at), bool)
-                at = at[hit]
+                at, _, longer = _extensions(words, length, hashes)
+                at = at[_among(longer, words.doc[at], batch.column(3))]
                 if not len(at):
                     continue
                 w0, w1 = window_hashes(hashes, length)[at], window_hashes(words.hashes(1), length, 1)[at]
@@ -167,23 +226,44 @@ def _without(length: int):
 
 
 def classes(prof: DataFrame) -> DataFrame:
-    """q0, q1 and rep, the smallest id with that word sequence."""
-    return stored(prof.groupBy("q0", "q1").agg(F.min("id").alias("rep")))
+    """sha, rep (the smallest id with that word sequence), size (its rows)."""
+    return stored(prof.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
+
+
+def _again(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, which are a table, whose keys stand under several ids, the smallest of which is low."""
+    groups = stored(rows.groupBy(*keys).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high").drop("high"))
+    return joined(rows, groups, keys, "size", rows.count()).drop("size")
+
+
+def _windows(listed: DataFrame) -> DataFrame:
+    """(id, tag, h) from (id, tag, hs), each once."""
+    return stored(listed.select("id", "tag", F.explode("hs").alias("h")).distinct())
+
+
+def _survivors(windows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of texts (id, text, and tag if it is known) that have windows which repeat under another id, as (id, tag, text, hs).
+
+    An id that several texts share meets the windows of all of them, and `_own` tells them apart by the tag.
+    """
+    hits = _again(windows, ["h"]).groupBy(F.col("id").alias("hit_id"), F.col("tag").alias("hit_tag")).agg(F.collect_list("h").alias("hs"))
+    met = F.col("id") == F.col("hit_id")
+    if "tag" in texts.columns:
+        met &= F.col("tag") == F.col("hit_tag")
+    return stored(texts.select("id", "text", *(["tag"] if "tag" in texts.columns else [])).join(hits, met).select("id", F.col("hit_tag").alias("tag"), "text", "hs"))
 
 
 def repeated_windows(docs: DataFrame, prof: DataFrame, same: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Texts (id, tag, text, hs) with a repeated half-length window, and (w0, w1, id, tag, places, low) of the target windows
-    that start under several ids, the smallest of which is low.
+    """Texts (id, tag, text, hs) with a repeated window of half the length, and (w0, w1, id, tag, places, low) of the target
+    windows that start under several ids, the smallest of which is low.
     """
-    reps = prof.join(same, ["q0", "q1"]).where((F.col("id") == F.col("rep")) & (F.size("anchors") > 0))
-    grams = stored(reps.select("id", F.shiftright("q0", 32).alias("tag"), F.explode("anchors").alias("h")).distinct())
-    twice = grams.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
-    hits = grams.join(twice, "h").groupBy("id", "tag").agg(F.collect_list("h").alias("hs"))
-    of = hits.select(F.col("id").alias("hit_id"), "tag", "hs")
-    texts = stored(docs.join(of, F.col("id") == F.col("hit_id")).select("id", "tag", "text", "hs"))
-    windows = stored(texts.mapInArrow(_candidate_windows(length), "w0 long, w1 long, id long, tag long, places array<int>"))
-    again = stored(windows.groupBy("w0", "w1").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w0", "w1", "low"))
-    return texts, windows.join(again, ["w0", "w1"])
+    reps = joined(prof, same, ["sha"], "size", prof.count()).where((F.col("id") == F.col("rep")) & (F.size("anchors") > 0))
+    listed = reps.select("id", "tag", F.col("anchors").alias("hs"))
+    names = "id long, tag long, hs array<long>"
+    texts = _survivors(_windows(listed), docs)
+    texts = _survivors(_windows(texts.mapInArrow(_extended(length), names)), texts)
+    windows = stored(texts.mapInArrow(_target_windows(length), "w0 long, w1 long, id long, tag long, places array<int>"))
+    return texts, _again(windows, ["w0", "w1"])
 
 
 def repeat_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -218,13 +298,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = places.where("id > low").groupBy("id", "tag").agg(F.flatten(F.collect_list("places")).alias("places")).withColumnsRenamed({"id": "of_id", "tag": "of_tag"})
     cut = texts.select("id", "tag", "text").distinct().join(held, (F.col("id") == F.col("of_id")) & (F.col("tag") == F.col("of_tag"))).select("id", "tag", "text", "places")
     cut = cut.mapInArrow(_without(length), "id long, tag long, n_removed long, kept_text string").withColumnsRenamed({"id": "cut_id", "tag": "cut_tag"})
-    rows = prof.select("id", "n_words", "q0", "q1", "sha").join(same, ["q0", "q1"])
-    rows = rows.join(cut, (F.col("id") == F.col("cut_id")) & (F.shiftright("q0", 32) == F.col("cut_tag")), "left")
+    rows = joined(prof.drop("anchors"), same, ["sha"], "size", prof.count())
+    rows = rows.join(cut, (F.col("id") == F.col("cut_id")) & (F.col("tag") == F.col("cut_tag")), "left")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_words") >= length)
     return rows.select(
         F.col("id").alias(id_col),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).when(F.col("n_removed") > 0, F.sha2("kept_text", 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(copy, F.sha2(F.lit(""), 256)).when(F.col("n_removed") > 0, F.sha2("kept_text", 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),
         F.when(copy, F.lit("")).when(F.col("n_removed") > 0, F.col("kept_text")).alias("kept_text"),
     )
