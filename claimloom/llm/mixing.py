@@ -3,19 +3,22 @@
 1. Sources share all words by weight; a target stops at `cap` times its source's size and the excess is reshared by weight
    among the others until none is above. That is one level for all: target = least(cap * size, level * weight).
 2. A source's documents, in the order of a hash, laid end to end and repeated, are its stream. Its first `target` words are
-   taken, in blocks of `block` words: every block of the quota is drawn, none twice.
+   taken, in blocks of `block` words: every block of the quota is drawn, none twice. A document belongs to the block in which
+   it starts, so documents stay whole, but for the one that the quota ends in.
 3. The quotas are split among output shards by a binary tree. A node halves its shards and draws how many blocks of each
    source go left from the multivariate hypergeometric distribution, given that both sides fill: source after source, each
    from the hypergeometric distribution that the sources before it leave. Quotas stay exact at every node.
-4. A source's blocks are permuted, and its shards take consecutive ranges of the permuted order, so their draws are disjoint.
-   Within a shard, draws are ordered by a hash.
+4. A source's blocks are permuted (swap-or-not rounds, a bijection of any number of blocks), and its shards take consecutive
+   ranges of the permuted order, so their draws are disjoint. Within a shard, draws are ordered by a hash.
 
-A document's place in its stream is a prefix sum: over the sums of 4096 hash ranges of its source, then within its range. No
-task holds a source. The tree's state is a row for each node with one number for each source.
+What a document gives to the mix is what the shards draw of it: a block that no shard drew would be missing from `taken`.
+A document's place in its stream is a prefix sum: over the sums of hash ranges of its source, each of RANGE_ROWS documents or
+less, then within its range. No task holds a source. The tree's state is a row for each node with one number for each source,
+and targets are settled in one task over one row for each source: sources are to be few (a million, say) beside documents.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order. Repeated rows
 are documents of their own. A source of no words has target 0. An empty table gives an empty result. Everything follows
-from hashes with a fixed seed, so reruns agree. Columns other than id, text and source are not read.
+from hashes of id and text with a fixed seed, so reruns agree. Columns other than id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +29,13 @@ from pyspark.sql import functions as F
 from claimloom.llm.storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, CAP, SHARDS, BLOCK, RANGE_BITS, SEED = (5, 2, 1), 3, 16, 1024, 12, 17
-#: A prime; multiplied by it, block numbers are permuted.
-STRIDE = 2_147_483_647
+WEIGHTS, CAP, SHARDS, BLOCK, SEED = (5, 2, 1), 3, 16, 1024, 17
+#: Rows of a hash range, about, and the fewest ranges.
+RANGE_ROWS, RANGES = 1 << 16, 1 << 12
+#: Rounds of the permutation of blocks.
+SWAPS = 32
+#: Standard deviations from the mode beyond which a draw's chances, under 1e-30 together, are below a double's resolution.
+REACH = 12
 
 
 def word_count(text: Column) -> Column:
@@ -57,10 +64,10 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _drawn(uniform: str, normal: str) -> str:
+def _drawn(uniform: str) -> str:
     """SQL for a hypergeometric draw: of h.pop blocks h.own are the source's, h.draws go left. Inverse CDF outward from the mode.
 
-    Where the spread is over 2000 blocks the normal limit takes its place, within the same bounds.
+    It walks as far as chances count in double precision, so its length grows with the root of the number of blocks.
     """
     up = "p * cast((h.own - i) as double) * (h.draws - i) / ((i + 1.0d) * (h.pop - h.own - h.draws + i + 1))"
     down = "p * cast(i as double) * (h.pop - h.own - h.draws + i) / ((h.own - i + 1.0d) * (h.draws - i + 1))"
@@ -87,14 +94,22 @@ def _drawn(uniform: str, normal: str) -> str:
     )
     spread = "sqrt(greatest(0.0d, cast(h.draws as double) * h.own / h.pop * (1 - cast(h.own as double) / h.pop) * (h.pop - h.draws) / greatest(1, h.pop - 1)))"
     bounds = (
-        "named_struct('mode', f.mode, 'sd', f.sd, 'low', greatest(f.low, f.mode - cast(12 * f.sd as bigint) - 10), 'high', least(f.high, f.mode + cast(12 * f.sd as bigint) + 10))"
+        f"named_struct('mode', f.mode, 'low', greatest(f.low, f.mode - cast({REACH} * f.sd as bigint) - 10), 'high', least(f.high, f.mode + cast({REACH} * f.sd as bigint) + 10))"
     )
     frame = (
         "named_struct('low', greatest(0L, h.draws - (h.pop - h.own)), 'high', least(h.own, h.draws), "
         f"'mode', greatest(greatest(0L, h.draws - (h.pop - h.own)), least(least(h.own, h.draws), cast(floor((h.draws + 1.0d) * (h.own + 1) / (h.pop + 2)) as bigint))), 'sd', {spread})"
     )
-    normally = f"greatest(f.low, least(f.high, cast(round(cast(h.draws as double) * h.own / h.pop + f.sd * {normal}) as bigint)))"
-    return f"if(h.pop = 0, 0L, {_let('f', frame, f'if(f.sd > 2000, {normally}, {_let("g", bounds, walk)})')})"
+    return f"if(h.pop = 0, 0L, {_let('f', frame, _let('g', bounds, walk))})"
+
+
+def permuted(block: str, blocks: str, seed: int) -> str:
+    """SQL for the place of a block among the permuted blocks of the source numbered `place`: a bijection for any number of blocks.
+
+    Each round pairs x with key - x and swaps the two, or not, by a hash of the pair (the swap-or-not shuffle).
+    """
+    other = f"pmod(pmod(xxhash64({seed}, place, t), {blocks}) + {blocks} - x, {blocks})"
+    return f"aggregate(sequence(0, {SWAPS - 1}), {block}, (x, t) -> {_let('y', other, f'if((xxhash64({seed}, place, t, greatest(x, y)) & 1) = 1, y, x)')})"
 
 
 def shard_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -104,8 +119,7 @@ def shard_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     while shards > 1:
         shards = (shards + 1) // 2
         chance = lambda salt: f"((shiftrightunsigned(xxhash64({seed}, first, shards, q.place, '{salt}'), 11) + 0.5d) / 9007199254740992.0d)"
-        normal = f"(sqrt(-2 * ln({chance('r')})) * cos(2 * pi() * {chance('a')}))"
-        step = _let("x", _let("h", "named_struct('pop', s.pop, 'own', q.blocks, 'draws', s.draws)", _drawn(chance("u"), normal)), "named_struct('pop', s.pop - q.blocks, 'draws', s.draws - x, 'left', concat(s.left, array(x)))")
+        step = _let("x", _let("h", "named_struct('pop', s.pop, 'own', q.blocks, 'draws', s.draws)", _drawn(chance("u"))), "named_struct('pop', s.pop - q.blocks, 'draws', s.draws - x, 'left', concat(s.left, array(x)))")
         pop = "aggregate(quota, 0L, (t, q) -> t + q.blocks)"
         start = f"named_struct('pop', {pop}, 'draws', cast(round(cast({pop} as double) * (shards div 2) / shards) as bigint), 'left', cast(array() as array<bigint>))"
         halved = nodes.withColumn("left", F.expr(f"if(shards > 1, aggregate(quota, {start}, (s, q) -> {step}, s -> s.left), transform(quota, q -> 0L))"))
@@ -121,12 +135,14 @@ def shard_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, turn_col: str | None = None) -> DataFrame:
     """id, source, size, source_size, target, taken, draws for each row of docs.
 
-    A draw is a run of words of one block: epoch, block, first_word (in the document), words, shard, and sort_key, which
-    orders the draws of a shard. Documents are ordered by a hash of turn_col, or else of id.
+    A draw is what one shard takes of a document in one epoch (repetition of the stream): epoch, block, shard, sort_key, which
+    orders the draws of a shard, and words, from the document's first on. Documents are ordered by a hash of turn_col, or else
+    of id and text.
     """
-    hashed = F.xxhash64(F.lit(seed), F.col(turn_col or id_col))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("turn"))
-    sized = stored(sized.withColumn("range", F.shiftrightunsigned("turn", 64 - RANGE_BITS)))
+    hashed = F.xxhash64(F.lit(seed), *([F.col(turn_col)] if turn_col else [F.col(id_col), F.col(text_col)]))
+    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("turn")))
+    bits = max(RANGES, sized.count() // RANGE_ROWS).bit_length() - 1
+    sized = sized.withColumn("range", F.shiftrightunsigned("turn", 64 - bits))
     ranges = stored(sized.groupBy("source", "range").agg(F.sum("size").alias("words")))
     sources = stored(targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap).withColumn("blocks", F.ceil(F.col("quota") / block)))
     ends = shard_quotas(sources, shards, seed)
@@ -139,26 +155,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("source_")) & (F.col("range") == F.col("range_")))
     placed = placed.withColumn("start", F.col("range_start") + F.col("inner"))
-    rank = f"(({STRIDE} % blocks) * b + {seed}) % blocks"
-    shard = "size(filter(ends, x -> x <= r))"
-    piece = _let("r", rank, f"named_struct('epoch', e, 'block', b, 'first_word', greatest(lo, b * {block}) - lo, 'words', least(hi, (b + 1) * {block}) - greatest(lo, b * {block}), 'shard', {shard}, 'sort_key', xxhash64({seed}, place, r, id))")
-    run = _let("lo", "start + e * source_size", _let("hi", "least(lo + size, quota)", f"if(hi > lo, transform(sequence(lo div {block}, (hi - 1) div {block}), b -> {piece}), cast(array() as array<struct<epoch:bigint,block:bigint,first_word:bigint,words:bigint,shard:int,sort_key:bigint>>))"))
-    drawn = placed.withColumn("draws", F.expr(f"flatten(transform(sequence(0L, {cap - 1}L), e -> {run}))"))
+    draw = _let("r", permuted("b", "blocks", seed), f"named_struct('epoch', e, 'block', b, 'shard', size(filter(ends, x -> x <= r)), 'sort_key', xxhash64({seed}, turn, id, e), 'words', least(lo + size, quota) - lo)")
+    run = _let("lo", "start + e * source_size", f"if(size > 0 and lo < quota, array({_let('b', f'lo div {block}', draw)}), array())")
+    # blocks beyond the last end are no shard's
+    drawn = placed.withColumn("draws", F.expr(f"filter(flatten(transform(sequence(0L, {cap - 1}L), e -> {run})), d -> d.shard < {shards})"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda t, d: t + d["words"])
     return drawn.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
+def digest(draws: str) -> Column:
+    """Draws as text: epoch:block:shard:words of each, comma-joined."""
+    return F.array_join(F.transform(draws, lambda d: F.concat_ws(":", d["epoch"], d["block"], d["shard"], d["words"])), ",")
+
+
+#: Columns of `materialised` that no table is to have.
+_OF, _SIZE, _DRAWS, _DRAW, _TEXT = (f"claimloom_mix_{x}" for x in ("of", "size", "draws", "draw", "text"))
+
+
 def materialised(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as often as the mix takes them, a row for each epoch; a part that is taken is the words of that part.
+    """The mix itself: a row of docs for each draw, shard after shard, shuffled within each shard.
 
-    Rows of docs that share an id get the draws of one of them, and rows without one are not taken: id_col is to be a key.
+    A draw of part of a document is its first words, joined by one space. Partitions hold consecutive ranges of (shard, sort
+    key). Rows of docs that share an id get the draws of one of them, and rows without one are not taken: id_col is to be a key.
     """
-    own = "filter(draws, d -> d.epoch = e)"
-    run = f"named_struct('epoch', e, 'from_word', array_min(transform({own}, d -> d.first_word)), 'words', aggregate({own}, 0L, (t, d) -> t + d.words), 'size', size)"
-    runs = mixed.select(F.col(id_col).alias("of_id"), F.expr(f"transform(array_distinct(transform(draws, d -> d.epoch)), e -> {run})").alias("runs"))
-    listed = runs.where(F.size("runs") > 0).groupBy("of_id").agg(F.max("runs").alias("runs"))
-    joined = docs.join(listed, F.col(id_col) == F.col("of_id"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    part = lambda r: F.array_join(F.slice(words, (r["from_word"] + 1).cast("int"), r["words"].cast("int")), " ")
-    texts = F.transform("runs", lambda r: F.when(r["words"] >= r["size"], F.col(text_col)).otherwise(part(r)))
-    return joined.select(*(F.explode(texts).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    listed = mixed.where(F.size("draws") > 0).select(F.col(id_col).alias(_OF), F.struct("draws", "size").alias(_DRAWS)).groupBy(_OF).agg(F.max(_DRAWS).alias(_DRAWS))
+    joined = docs.join(listed, F.col(id_col) == F.col(_OF)).select(*(F.col(c) for c in docs.columns), F.col(f"{_DRAWS}.size").alias(_SIZE), F.explode(f"{_DRAWS}.draws").alias(_DRAW))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col(f"{_DRAW}.words").cast("int")), " ")
+    text = F.when(F.col(f"{_DRAW}.words") >= F.col(_SIZE), F.col(text_col)).otherwise(first)
+    order = [F.col(f"{_DRAW}.shard"), F.col(f"{_DRAW}.sort_key")]
+    placed = joined.withColumn(_TEXT, text).repartitionByRange(*order).sortWithinPartitions(*order)
+    return placed.select(*(F.col(_TEXT).alias(c) if c == text_col else F.col(c) for c in docs.columns))

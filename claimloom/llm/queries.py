@@ -55,9 +55,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of every document a mix by source weights takes."""
+    """How many words of every document a mix by source weights takes, and which shards draw them."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", mixing.digest("draws").alias("draws"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -462,18 +462,95 @@ def test_mixing(table, documents):
     check_mix(rows, [r["text"] for r in documents.values()])
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(table.repartition(7)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in rows}
-    draws = [(r["source"], d) for r in rows for d in r["draws"]]
-    shards, where, words = defaultdict(int), defaultdict(set), defaultdict(int)
-    for source, d in draws:
-        shards[d["shard"]] += 1
-        where[source, d["block"]].add(d["shard"])
-        words[source, d["block"]] += d["words"]
+    where = defaultdict(set)
+    for r in rows:
+        assert [d["epoch"] for d in r["draws"]] == sorted({d["epoch"] for d in r["draws"]})  # once an epoch
+        assert sum(d["words"] for d in r["draws"]) == r["taken"]
+        assert all(0 < d["words"] <= r["size"] and 0 <= d["shard"] < mixing.SHARDS for d in r["draws"])
+        for d in r["draws"]:
+            where[r["source"], d["block"]].add(d["shard"])
     assert all(len(x) == 1 for x in where.values())  # a block is drawn into one shard
-    assert max(words.values()) <= mixing.BLOCK
-    blocks = defaultdict(int)
-    for key in where:
-        blocks[next(iter(where[key]))] += 1
-    assert max(blocks.values()) - min(blocks.values()) <= 4
+    assert {s for x in where.values() for s in x} == set(range(mixing.SHARDS))
+
+
+def test_mixing_by_hand(spark, table):
+    """Size, source size and target against SQL; places, blocks, shards and words against a walk along each stream."""
+    import duckdb
+
+    rows = mixing.mix(table).collect()
+    sources = spark.createDataFrame([(p, -(-round(t) // mixing.BLOCK)) for p, t in enumerate(brute_targets(_sizes(rows)).values())], "place int, blocks long")
+    names = list(brute_targets(_sizes(rows)))
+    ends = {names[r["place"]]: r["ends"] for r in mixing.shard_quotas(sources, mixing.SHARDS, mixing.SEED).collect()}
+    keyed = table.select("doc_id", "source", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("turn")).collect()
+    turns = {r["doc_id"]: r["turn"] % 2**64 for r in keyed}
+    asked = [(i, b, e[-1]) for i, e in enumerate(ends[n] for n in names) for b in range(e[-1])]
+    rank = spark.createDataFrame(asked, "place int, b long, blocks long").select("place", "b", F.expr(mixing.permuted("b", "blocks", mixing.SEED)).alias("r")).collect()
+    rank = {(names[r["place"]], r["b"]): r["r"] for r in rank}
+    for name in names:
+        own = sorted((r for r in rows if r["source"] == name), key=lambda r: turns[r["doc_id"]])
+        quota, at, want = round(own[0]["target"]), 0, defaultdict(list)
+        for epoch in range(3):
+            for r in own:
+                if r["size"] and at < quota:
+                    block = at // mixing.BLOCK
+                    shard = sum(x <= rank[name, block] for x in ends[name])
+                    want[r["doc_id"]].append((epoch, block, shard, min(r["size"], quota - at)))
+                at += r["size"]
+        assert all([(d["epoch"], d["block"], d["shard"], d["words"]) for d in r["draws"]] == want[r["doc_id"]] for r in own)
+    frame = [(r["doc_id"], r["source"], r["size"]) for r in rows]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t (doc_id BIGINT, source VARCHAR)")
+    duck.executemany("INSERT INTO t VALUES (?, ?)", [f[:2] for f in frame])
+    texts = table.select("doc_id", "text").toPandas()  # noqa: F841
+    sql = r"""
+        WITH d AS (SELECT t.*, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM t JOIN texts USING (doc_id)),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
+        r AS (SELECT *, 3 * source_size / weight AS ratio FROM s),
+        levels AS (SELECT a.ratio, ((SELECT sum(source_size) FROM r) - 3 * coalesce((SELECT sum(source_size) FROM r b WHERE b.ratio < a.ratio), 0)) / ((SELECT sum(weight) FROM r) - coalesce((SELECT sum(weight) FROM r b WHERE b.ratio < a.ratio), 0)) AS level FROM r a),
+        it AS (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio LIMIT 1)
+        SELECT doc_id, size, source_size, least(3 * source_size, weight * level) FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, it"""
+    want = {r[0]: r[1:] for r in duck.execute(sql).fetchall()}
+    assert len(want) == len(rows)
+    for r in rows:
+        assert (r["size"], r["source_size"]) == want[r["doc_id"]][:2] and r["target"] == pytest.approx(want[r["doc_id"]][2], abs=1e-6)
+
+
+def _sizes(rows):
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    return sizes
+
+
+def test_mix_comes_from_the_tree(table, monkeypatch):
+    """Without the tree's quotas nothing is taken: shards that draw no blocks give no words."""
+    real = mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda sources, shards, seed: real(sources, shards, seed).withColumn("ends", F.transform("ends", lambda _: F.lit(0).cast("long"))))
+    assert mixing.mix(table).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_materialised_shards_are_shuffled(spark, table):
+    mixed = mixing.mix(table)
+    made = mixing.materialised(table, mixed).withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()).select("doc_id", "text", "line").orderBy("line").collect()
+    keys = sorted((d["shard"], d["sort_key"], r["doc_id"], d["words"]) for r in mixed.collect() for d in r["draws"])
+    assert [(r["doc_id"], len(WORD.findall(r["text"]))) for r in made] == [k[2:] for k in keys]
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 7, 1000])
+def test_blocks_are_permuted(spark, blocks):
+    got = [r[0] for r in spark.range(blocks).select(F.expr("3 as place"), F.col("id").alias("b")).select(F.expr(mixing.permuted("b", f"{blocks}L", 5))).collect()]
+    assert sorted(got) == list(range(blocks)) and (blocks < 10 or got != sorted(got))
+
+
+def test_sixteen_thousand_million_blocks(spark):
+    """Quotas stay exact, draws follow the hypergeometric spread, and permuted places stay in bounds."""
+    n = [8_000_000_000, 7_999_999_000, 1_000]
+    got = {r["place"]: r["ends"] for r in mixing.shard_quotas(spark.createDataFrame(list(enumerate(n)), "place int, blocks long"), 4, 5).collect()}
+    assert [got[i][-1] for i in range(3)] == n and all(e == sorted(e) for e in got.values())
+    left = got[0][1]
+    assert 0 < abs(left - 4_000_000_000) < 6 * 31_623
+    places = spark.range(1000).select(F.expr("0 as place"), (F.col("id") * 15_999_983).alias("b")).select(F.expr(mixing.permuted("b", "16000000000L", 5)).alias("r")).agg(F.min("r"), F.max("r"), F.countDistinct("r")).first()
+    assert 0 <= places[0] and 8_000_000_000 < places[1] < 16_000_000_000 and places[2] == 1000
 
 
 def test_mixing_caps_and_hot_sources(spark):
