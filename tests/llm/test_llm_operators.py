@@ -78,6 +78,15 @@ def brute_components(texts, k, percent=80):
     return {i: (len(sets[i]), find(i)) for i in texts}
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_equal_their_sql(spark, small, duck, name):
+    got = QUERIES[name](spark, small)
+    want = duck.execute(ORACLE[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(tuple(r) for r in got.select(columns).collect()) == sorted(want.fetchall())
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
@@ -225,11 +234,30 @@ def test_top_k_stops_on_proof_and_ties(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
     got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()}
     assert got == brute_top(rows)[0]
+    twice = topk.top_k(frame.where("vec_id < 200").unionByName(frame.where("vec_id = 50")), F.col("vec_id") % 50 == 0).where("query_id = 50").collect()
+    once = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame.where("vec_id < 200"), F.col("vec_id") % 50 == 0).where("query_id = 50").collect()]
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in twice) == sorted(once * 2)  # each of the two rows has its own
     few = frame.where("vec_id < 3")
     assert topk.top_k(few, F.col("vec_id") == 0).count() == 2
     assert topk.top_k(frame.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0**25, 2.0**30, 1e300])
+def test_top_k_of_large_numbers(spark, size):
+    """Exact beyond 53 bits; scores beyond a long rank exactly and are given as the nearest long."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.integers(-1000, 1000, 3) / 8 * size / 1000 + rng.integers(-9, 9, 3)).tolist()) for i in range(60)]
+    exact = lambda x: int(x) * 256 if abs(x) > 2**52 else int(np.floor(x * 256))
+    vectors = [(i, [exact(x) for x in v]) for i, v in rows]
+    want = []
+    for i, v in vectors:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in vectors if j != i)[:5]
+            want += [(i, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -x))) for n, (x, j) in enumerate(scored)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_top_k_stops_early():
     """Vectors near their queries are proved best before all postings are read."""
     rng = np.random.default_rng(1)
