@@ -3,9 +3,8 @@
 Each language has a zstandard raw-content dictionary of labelled text. A text is encoded, whole, with every dictionary, and
 the language with the smallest result wins; the margin to the second says how sure that is, and narrow margins are rejected.
 
-The dictionaries are learned from a bounded sample: about SAMPLE rows of each language, those whose crc32 falls under a bound
-that follows from the language's row count, at most EXCERPT bytes of each and DICTIONARY bytes in all. Everything else
-covers all rows and whole texts.
+The dictionaries are learned from a bounded sample: the whole texts of at most SAMPLE different ones of each of the LANGUAGES
+most frequent languages, those with the smallest hashes of id and text. Everything else covers all rows and whole texts.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0 and rejected. Ties go to the language with
 the most learned rows, then to the one that sorts first. With one learned language that one is predicted, with score 1; with none every text is `und`. Rows without a language
@@ -20,18 +19,21 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.llm.words import slices
 from claimloom.session import spread
 
-SAMPLE, EXCERPT, DICTIONARY = 400, 2_048, 256 << 10
+SAMPLE, LANGUAGES = 100, 256
 #: Texts are encoded in pieces of so many characters, so that what a long text has said before doesn't replace the dictionary.
 PIECE = 4_096
 LEVEL = 6
 #: Below this margin a prediction is rejected.
 MARGIN = 0.002
 UNKNOWN = "und"
+#: Draws are numbers below this.
+DRAWS = 1 << 40
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -44,18 +46,18 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionaries by language, the most frequent first, from the rows of docs that are not held out."""
     rows = docs.where(~F.coalesce(held_out(id_col), F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.crc32(F.concat_ws("/", F.lit("sample"), F.col(id_col).cast("string")).cast("binary")).alias("draw"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(DRAWS)).alias("draw"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("different"))
+    counts = {r["lang"]: r["different"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return {}
-    bound = F.lit(0)
-    for lang, n in counts.items():
-        bound = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE / n) * 2**32)).otherwise(bound)
-    drawn = rows.where(F.col("draw") < bound).select("lang", F.substring("text", 1, EXCERPT).alias("text")).groupBy("lang", "text").agg(F.min(F.lit(0))).select("lang", "text", F.xxhash64("text").alias("place"))
-    parts: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts, key=lambda x: (-counts[x], x))}
-    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
-        have = sum(map(len, parts[r["lang"]]))
-        parts[r["lang"]].append(r["text"].lower().encode()[: max(0, DICTIONARY - have)])
+    # twice as many as are wanted, so that hardly ever too few are drawn
+    bounds = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * SAMPLE / max(1, n)) * DRAWS))))
+    drawn = rows.where(F.col("draw") < F.coalesce(F.try_element_at(bounds, F.col("lang")), F.lit(0))).groupBy("lang", "text").agg(F.min("draw").alias("draw"))
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("place") <= SAMPLE)
+    parts: dict[str, list[bytes]] = {lang: [] for lang in counts}
+    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["place"])):
+        parts[r["lang"]].append(r["text"].lower().encode())
     return {lang: b"\n".join(filter(None, x)) for lang, x in parts.items()}
 
 
@@ -103,12 +105,13 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _classifier(number, sent)
-        for batch in batches:
-            found = [tool.predict(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [id_col, "lang_pred", "score"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [tool.predict(x) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = spread(docs.select(id_col, text_col)).mapInArrow(of, f"`{id_col}` {kind}, lang_pred string, score double")
+    out = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(of, f"`{id_col}` {kind}, lang_pred string, score double")
     return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < margin))
 
 
@@ -119,9 +122,10 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: s
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _classifier(number, sent)
-        for batch in batches:
-            found = [tool.predict(x) for x in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= margin for lang, score in found], pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                found = [tool.predict(x) for x in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array([lang != UNKNOWN and score >= margin for lang, score in found], pa.bool_()))
 
     return spread(docs).mapInArrow(of, docs.schema)
 
