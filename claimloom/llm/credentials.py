@@ -2,8 +2,8 @@
 
 Base matches stand alone: assignments to a password-like name, access identifiers and long hexadecimal runs. Weak candidates
 (user-like names with a value, short or unlabelled tokens, hosts and addresses) prove nothing alone. They are joined by
-interval, within scopes: a scope is a paragraph, and two parts meet when the gap between them is at most REACH code points.
-A weak secret is reported when an identifier is in reach, a weak identifier when a secret is, and an endpoint when both are.
+interval, within scopes: a scope is a paragraph. A weak secret is reported when its scope holds an identifier, a weak
+identifier when it holds a secret, and an endpoint when it holds both.
 Candidates are linked before overlaps are resolved, so the parts of one URL are found. Parts whose values overlap are one
 piece of text and do not prove each other.
 
@@ -26,10 +26,11 @@ from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from claimloom.llm.words import slices
 from claimloom.session import spread
 
-REACH = 200
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -120,7 +121,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     out, covered = [], 0
     for (start, end, kind), value in weak:
         i = bisect_right(breaks, start) - 1
-        low, high = max(breaks[i], start - REACH), min(breaks[i + 1] - 1, end + REACH)
+        low, high = breaks[i], breaks[i + 1] - 1
         if kind == "endpoint":
             # a secret and an identifier, of two values; matches that stand alone need not be two
             linked = all(parts.met(low, high) for parts in sure) or secrets.first(low) <= identifiers.last(high) or identifiers.first(low) <= secrets.last(high)
@@ -157,17 +158,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_linked for each row of docs."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [spans_of(x) for x in batch.column(1).to_pylist()]
-            counts = [pa.array([sum(s[2] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS[:3]]
-            shas = [hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array(shas, pa.string()), pa.array([_written(every) for _, every in found], pa.string()), pa.array([len(every) - len(base) for base, every in found], pa.int64())],
-                [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"],
-            )
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [spans_of(x) for x in batch.column(1).to_pylist()]
+                counts = [pa.array([sum(s[2] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS[:3]]
+                shas = [hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *counts, pa.array(shas, pa.string()), pa.array([_written(every) for _, every in found], pa.string()), pa.array([len(every) - len(base) for base, every in found], pa.int64())],
+                    [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return spread(docs.select(id_col, text_col)).mapInArrow(of, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(of, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -175,10 +177,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x if x is None else redacted(x, spans_of(x)[1]) for x in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                texts = [x if x is None else redacted(x, spans_of(x)[1]) for x in batch.column(at).to_pylist()]
+                columns = list(batch.columns)
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return spread(docs).mapInArrow(of, docs.schema)

@@ -375,6 +375,20 @@ def test_language_never_reads_held_out_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(frame).collect()} == {"en", "de"}
 
 
+def test_learned_rows_are_bounded_and_whole(spark, monkeypatch):
+    """Rows without an id, equal ids, equal texts and many languages: at most SAMPLE different texts of LANGUAGES languages, each whole."""
+    monkeypatch.setattr(langid, "SAMPLE", 5)
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    long = "word after word " * 1000
+    rows = [(None if i % 2 else 2, f"{long}{i % 40}", f"l{i % 2 if i < 300 else i}", "s", 0) for i in range(320)]
+    learned = langid.learn(spark.createDataFrame(rows, DOC))
+    assert len(learned) == 3 and list(learned)[:2] in (["l0", "l1"], ["l1", "l0"])
+    for text in learned.values():
+        lines = text.decode().split("\n")
+        assert len(lines) == len(set(lines)) <= 5 and all(x.startswith(long) for x in lines)
+    assert len(learned["l1"].decode().split("\n")) == 5
+
+
 def test_language_odd(odd, empty, spark):
     rows = {r["doc_id"]: r for r in langid.identify(odd).collect()}
     assert [(rows[i]["lang_pred"], rows[i]["score"]) for i in (0, 1, 2)] == [("und", 0.0)] * 3
@@ -649,7 +663,7 @@ def test_weak_parts_need_complements():
     assert kinds("user = alice\npassword = hunter22") == ["identifier", "secret"]
     assert kinds("user = alice\npassword = hunter22\nhost = db.internal:5432") == ["identifier", "secret", "endpoint"]
     assert kinds("user = alice\n\npassword = hunter22") == []  # another scope
-    assert kinds("user = alice" + " x" * 300 + " password = hunter22") == []  # out of reach
+    assert kinds("user = alice" + " x" * 300 + " password = hunter22") == ["identifier", "secret"]  # however far apart in a scope
     assert kinds("AKIA" + "A" * 16 + " Zx9" + "aB3" * 9) == ["access", "secret"]
     assert credentials.redacted("a token = " + "f" * 20 + " b", credentials.spans_of("a token = " + "f" * 20 + " b")[1]) == "a <assign> b"
     assert credentials.spans_of(None) == ([], [])
@@ -669,7 +683,7 @@ def test_parts_inside_one_url():
 
 
 def test_linking_equals_every_pair():
-    """Random texts of parts against all pairs: reach, paragraph, and values apart."""
+    """Random texts of parts against all pairs: paragraph, and values apart."""
     rng = np.random.default_rng(5)
     bits = ["user=bob", "login: al.ice", "token=abc12345", "password = hunter22", "https://h.example/", "?", "&", "+", " ", "\n\n", " x" * 60, "Zx9" + "aB3" * 6, "AKIA" + "B" * 16, "deadbeef" * 3, "10.0.0.1", "secret: abcdefghijklmn", "/", "user="]
     for _ in range(3_000):
@@ -679,7 +693,7 @@ def test_linking_equals_every_pair():
         values = {m.start(): m.start(2) for m in credentials._ASSIGN.finditer(text)}
         parts = [(s, values[s[0]] if s[2] == "assign" else s[0]) for s in base] + weak
         scope = lambda at: sum(m.end() <= at for m in credentials._BREAK.finditer(text))
-        meets = lambda a, b: scope(a[0]) == scope(b[0]) and max(a[0], b[0]) - min(a[1], b[1]) <= credentials.REACH
+        meets = lambda a, b: scope(a[0]) == scope(b[0])
         apart = lambda a, b: a[0][1] <= b[1] or b[0][1] <= a[1]
         want, covered = [], 0
         for part in weak:
