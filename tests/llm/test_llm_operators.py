@@ -339,6 +339,52 @@ def test_quotes(spark):
     assert quotes.link_quotes(frame.where("conv_id = 99")).count() == 0
 
 
+def brute_replies(rows):
+    """(conv, turn) -> (reply_to, thread, depth, n_linked) by looking through all that was said before."""
+    said = {(c, t): {h for level, h, _ in quotes.passages(quotes.levels(x or "")) if not level} for c, t, x in rows}
+    out = {}
+    for c, t, text in sorted(rows, key=lambda r: r[:2]):
+        weights, linked = defaultdict(int), 0
+        for level, h, letters in quotes.passages(quotes.levels(text or "")):
+            sources = [s for k, s in said if k == c and s < t and h in said[k, s]]
+            if level and sources:
+                weights[level, max(sources)] += letters
+                linked += 1
+        best = min(weights, key=lambda w: (w[0], -weights[w], -w[1]))[1] if weights else None
+        _, thread, depth, _ = out[c, best] if weights else (None, t, -1, 0)
+        out[c, t] = (best, thread, depth + 1, linked)
+    return out
+
+
+@pytest.mark.parametrize("span", [3, 4096])
+def test_quotes_against_every_earlier_message(spark, monkeypatch, span):
+    """Random conversations of few lines, so that passages are said and quoted often, nested, cut and mixed."""
+    monkeypatch.setattr(quotes, "SPAN", span)
+    rng = np.random.default_rng(8)
+    lines = ["Yes.", "No.", "The harbour was quiet that morning", "the boats  lay STILL", "Shall we meet at noon?", "a", "We carried the bread home", ""]
+    rows = []
+    for conv in range(6):
+        for turn in range(30):
+            own = [lines[i] for i in rng.integers(0, len(lines), rng.integers(1, 4))]
+            quoted = []
+            for level in (1, 2):
+                earlier = [r for r in rows if r[0] == conv]
+                if earlier and rng.random() < 0.6:
+                    source = earlier[rng.integers(len(earlier))][2].split("\n")
+                    quoted += ["> " * level + x for x in source[: rng.integers(1, 5)] if not x.startswith(">")] + ["> " * level + "Yes."] * int(rng.integers(0, 2))
+            rows.append((conv, turn, "\n".join([*quoted, "", *own])))
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"], r["n_linked"]) for r in quotes.link_quotes(frame).collect()}
+    want = brute_replies(rows)
+    assert got == want and sum(w[0] is not None for w in want.values()) > 60
+
+
+def test_a_paragraph_weighs_more_than_a_yes(spark):
+    rows = [(1, 0, "user", "Shall we carry the bread from the house to the market?\nYes."), (1, 1, "user", "Yes."), (1, 2, "user", "> Shall we carry the bread from the house to the market?\n\n> Yes.\nFine")]
+    got = {r["turn"]: r["reply_to"] for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 0}
+
+
 def test_quote_levels():
     text = "On Monday Bo wrote:\n>> deep\n> shallow\n> still\n\nown"
     lines = quotes.levels(text)
@@ -738,12 +784,52 @@ def test_kd_shards(spark):
     assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(texts[r["doc_id"]].encode()) + 8, zlib.crc32(texts[r["doc_id"]].encode()), "bytes", None) for r in rows)
     sizes = check_shards(rows)
     assert max(sizes) - min(sizes) < 0.12 * sum(sizes) / 24  # a document has up to a third of a shard here
+    groups = defaultdict(list)
+    for r in rows:
+        groups[texts[r["doc_id"]]].append(r)
+    groups = [g for g in groups.values() if len(g) > 1]
+    small = [g for g in groups if sum(r["size"] for r in g) <= kdshards.GROUP * sum(sizes) / 24]
+    assert len(small) > len(groups) / 2 and all(len({r["shard"] for r in g}) == 1 for g in small)
+
+
+def test_kd_tree_by_its_definition(spark):
+    """Every node is split along its widest dimension, as near the bytes that its sides are to have as keys and PART allow."""
+    rows, dims = kdshards.keyed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text", ("source", "lang"), 24)
+    root = kdshards.grow(rows, dims, 24)
+    seen = []
+
+    def walk(node, inside):
+        if node.left is None:
+            seen.append(node.first)
+            assert node.shards == 1
+            return
+        ranges = {k: max(r[k] for r in inside) - min(r[k] for r in inside) for k in dims}
+        assert ranges[node.key] == max(ranges.values())
+        total = sum(r["size"] for r in inside)
+        goal = total * node.left.shards / node.shards
+        sides = [r for r in inside if r[node.key] <= node.bound], [r for r in inside if r[node.key] > node.bound]
+        weights = defaultdict(int)
+        for r in inside:
+            weights[r[node.key]] += r["size"]
+        reached, best = 0, total
+        for key in sorted(weights):
+            reached += weights[key]
+            best = min(best, abs(reached - goal))
+        assert abs(sum(r["size"] for r in sides[0]) - goal) <= best + 2 * kdshards.PART * total / node.shards
+        assert (node.left.shards, node.right.shards) == (node.shards // 2, node.shards - node.shards // 2)
+        walk(node.left, sides[0])
+        walk(node.right, sides[1])
+
+    walk(root, rows.collect())
+    assert seen == list(range(24))
 
 
 def test_kd_shards_of_small_documents(spark):
     frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy of one text").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"), F.lit("s").alias("source"))
-    sizes = check_shards(kdshards.shard(frame).collect())
+    rows = kdshards.shard(frame).collect()
+    sizes = check_shards(rows)
     assert max(sizes) < 1.01 * min(sizes)
+    assert len({r["shard"] for r in rows if r["doc_id"] % 3 == 0}) > 5  # a group of a third of all rows is split
 
 
 def test_kd_shards_odd(odd, empty):
