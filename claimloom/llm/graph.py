@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.storage import stored
+from claimloom.llm.storage import forget, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours costs its task one row for each map task.
     """
     both = stored(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    table = labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("of")).agg(F.min("label").alias("near"))
         met = labels.join(near, F.col("node") == F.col("of"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         met = stored(met)
         jump = met.select(F.col("node").alias("via"), F.col("label").alias("far"))
         new = stored(met.join(jump, F.col("label") == F.col("via"), "left").select("node", "was", F.least("label", "far").alias("label")))
-        labels = new.select("node", "label")
+        forget(met, table)
+        table, labels = new, new.select("node", "label")
         if not new.where("was <> label").limit(1).count():
+            forget(both)
             return labels

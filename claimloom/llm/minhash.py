@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.graph import components
-from claimloom.llm.storage import HOT_ROWS, joined, stored
+from claimloom.llm.storage import HOT_ROWS, forget, joined, stored
 from claimloom.llm.words import Words, mix, slices
 from claimloom.session import spread
 
@@ -163,7 +163,9 @@ def links_among(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per
     near = near.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     near = stored(near.select("a", "b", "salt", "signature_a", "signature_b").mapInArrow(_posterior(percent / 100, miss), "a long, b long, salt long").distinct())
     both = sides(texts, near, ["text"])
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long").distinct())
+    linked = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long").distinct())
+    forget(near)
+    return linked
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -288,7 +290,8 @@ def links_across(named: DataFrame, reps: DataFrame, texts: DataFrame, k: int, pe
         F.when(whole, F.lit(1)).otherwise(chunks(F.col("size") - F.col("top.rows"), F.col("every") - F.col("top.shingles"))).cast("long").alias("rest"),
         F.when(whole, F.lit(0)).otherwise(chunks(F.col("top.rows"), F.col("top.shingles"))).cast("long").alias("tops"),
     )
-    open_ = joined(named, stored(mixed), ["band"], "size", total)
+    mixed = stored(mixed)
+    open_ = joined(named, mixed, ["band"], "size", total)
     in_top = F.coalesce(F.col("comp") == F.col("top"), F.lit(False))
     open_ = open_.withColumn("chunk", F.when(in_top, F.col("rest") + F.pmod(F.xxhash64("id"), F.greatest("tops", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), "rest")))
     others = F.sequence(F.lit(0).cast("long"), F.when(in_top, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1)
@@ -298,11 +301,13 @@ def links_across(named: DataFrame, reps: DataFrame, texts: DataFrame, k: int, pe
     open_ = open_.where("place >= 0").select("band", block.alias("block"), "chunk", "place", "id", "n", "comp", "signature", "bands")
     grouped = lambda df: df.repartition("band", "block").sortWithinPartitions("band", "block", "id")
     schema = "band long, block long, chunk long, place long, id long, n long, comp long"
-    rows = stored(grouped(open_).mapInArrow(_hopeful(least, percent), schema))
-    rows = rows.join(sides, F.col("id") == F.col("rep_id"))
+    hopeful = stored(grouped(open_).mapInArrow(_hopeful(least, percent), schema))
+    rows = hopeful.join(sides, F.col("id") == F.col("rep_id"))
     rows = rows.join(texts.select(F.col("id").alias("text_id"), "text"), F.col("id") == F.col("text_id"))
     rows = grouped(rows.select("band", "block", "chunk", "place", "id", "n", "comp", "signature", "bands", "text"))
-    return stored(rows.mapInArrow(_linked(least, k, percent), "a long, b long").distinct())
+    linked = stored(rows.mapInArrow(_linked(least, k, percent), "a long, b long").distinct())
+    forget(mixed, hopeful)
+    return linked
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
@@ -322,12 +327,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = first.select(F.col("first.hub").alias("a"), "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("first.size") / HOT_ROWS).cast("long")).alias("salt"))
     links = links_among(first, reps, texts, k, percent, miss)
     labels = components(links).select(F.col("node").alias("labelled"), F.col("label").alias("comp"))
-    named = members.join(labels, F.col("id") == F.col("labelled"), "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    more = links_across(stored(named), reps, texts, k, percent, miss, BANDS * total)
+    named = stored(members.join(labels, F.col("id") == F.col("labelled"), "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp")))
+    forget(buckets, members)
+    more = links_across(named, reps, texts, k, percent, miss, BANDS * total)
+    forget(named, reps, texts)
     labels = components(links.unionByName(more))
 
     # a class's component is looked up once, not once for each of its rows
-    found = classes.join(labels, F.col("rep") == F.col("node"), "left").select("sha", "size", F.coalesce("label", "rep").alias("component_id"))
-    out = joined(some.select("id", "n", "sha"), stored(found), ["sha"], "size", total).select("id", "n", "component_id")
-    out = out.unionByName(every.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    found = stored(classes.join(labels, F.col("rep") == F.col("node"), "left").select("sha", "size", F.coalesce("label", "rep").alias("component_id")))
+    out = joined(some.select("id", "n", "sha"), found, ["sha"], "size", total).select("id", "n", "component_id")
+    out = stored(out.unionByName(every.where("n = 0").select("id", "n", F.col("id").alias("component_id"))))
+    forget(links, more, classes, found, every)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

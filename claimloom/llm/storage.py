@@ -62,13 +62,23 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder; it is removed when the application ends."""
+    """df as a table in the shared folder; it is removed when the application ends, or before by `forget`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/claimloom-{uuid.uuid4().hex}"
     with _small_batches(spark):
         df.write.parquet(path)
     _removed_at_the_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.claimloom_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that `stored` made, as it returned them, and that no plan in use reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.claimloom_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.storage import joined, stored
+from claimloom.llm.storage import forget, joined, stored
 from claimloom.llm.words import Words, mix, slices
 from claimloom.session import spread
 
@@ -230,10 +230,10 @@ def classes(prof: DataFrame) -> DataFrame:
     return stored(prof.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
 
 
-def _again(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows, which are a table, whose keys stand under several ids, the smallest of which is low."""
+def _again(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows, which are a table, whose keys stand under several ids, the smallest of which is low; and the table of such keys."""
     groups = stored(rows.groupBy(*keys).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high").drop("high"))
-    return joined(rows, groups, keys, "size", rows.count()).drop("size")
+    return joined(rows, groups, keys, "size", rows.count()).drop("size"), groups
 
 
 def _windows(listed: DataFrame) -> DataFrame:
@@ -246,11 +246,14 @@ def _survivors(windows: DataFrame, texts: DataFrame) -> DataFrame:
 
     An id that several texts share meets the windows of all of them, and `_own` tells them apart by the tag.
     """
-    hits = _again(windows, ["h"]).groupBy(F.col("id").alias("hit_id"), F.col("tag").alias("hit_tag")).agg(F.collect_list("h").alias("hs"))
+    again, groups = _again(windows, ["h"])
+    hits = again.groupBy(F.col("id").alias("hit_id"), F.col("tag").alias("hit_tag")).agg(F.collect_list("h").alias("hs"))
     met = F.col("id") == F.col("hit_id")
     if "tag" in texts.columns:
         met &= F.col("tag") == F.col("hit_tag")
-    return stored(texts.select("id", "text", *(["tag"] if "tag" in texts.columns else [])).join(hits, met).select("id", F.col("hit_tag").alias("tag"), "text", "hs"))
+    out = stored(texts.select("id", "text", *(["tag"] if "tag" in texts.columns else [])).join(hits, met).select("id", F.col("hit_tag").alias("tag"), "text", "hs"))
+    forget(windows, groups)
+    return out
 
 
 def repeated_windows(docs: DataFrame, prof: DataFrame, same: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
@@ -260,10 +263,11 @@ def repeated_windows(docs: DataFrame, prof: DataFrame, same: DataFrame, length:
     reps = joined(prof, same, ["sha"], "size", prof.count()).where((F.col("id") == F.col("rep")) & (F.size("anchors") > 0))
     listed = reps.select("id", "tag", F.col("anchors").alias("hs"))
     names = "id long, tag long, hs array<long>"
-    texts = _survivors(_windows(listed), docs)
-    texts = _survivors(_windows(texts.mapInArrow(_extended(length), names)), texts)
+    some = _survivors(_windows(listed), docs)
+    texts = _survivors(_windows(some.mapInArrow(_extended(length), names)), some)
+    forget(some)
     windows = stored(texts.mapInArrow(_target_windows(length), "w0 long, w1 long, id long, tag long, places array<int>"))
-    return texts, _again(windows, ["w0", "w1"])
+    return texts, _again(windows, ["w0", "w1"])[0]
 
 
 def repeat_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
