@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from claimloom.llm import bpe, credentials, langid, mixing
 from claimloom.llm.minhash import near_duplicates
 from claimloom.llm.queries import tokenizer_path
-from claimloom.llm.storage import stored
+from claimloom.llm.storage import forget, stored
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -81,7 +81,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as a table and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
