@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,13 @@ def _group(text: Column, pattern: str, n: int) -> Column:
     return F.regexp_extract(text, pattern, n).try_cast("int")
 
 
+def date_text(text: str) -> str | None:
+    """The part of a text that parse_date reads its date from."""
+    named = re.search(TEXTUAL_DATE, text)
+    found = named if named and named[2].lower() in MONTHS else re.search(NUMERIC_DATE, text)
+    return found[0] if found else None
+
+
 def parse_date(text: Column) -> Column:
     """The first date: value and ambiguous; null if there is none.
 

@@ -23,10 +23,11 @@ def normalise_name(raw: Column) -> Column:
 
 
 def split_name(name: Column) -> Column:
-    """Lower-case tokens before a relation marker, without honorifics."""
+    """Lower-case tokens before a relation marker, without honorifics. Dots inside a token stay (`r.k.sharma` is one), those at its ends go."""
     own = F.get(F.split(F.coalesce(name, F.lit("")), RELATION, 2), F.lit(0))
-    words = F.split(F.lower(F.regexp_replace(own, r"(?U)[^\w\s]", " ")), r"\s+")
-    return F.filter(words, lambda w: (w != "") & ~w.isin(*HONORIFICS))
+    words = F.split(F.lower(F.regexp_replace(own, r"(?U)[^\w\s.]", " ")), r"\s+")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
+    return F.filter(bare, lambda w: (w != "") & ~w.isin(*HONORIFICS))
 
 
 def phonetic_key(token: Column) -> Column:

@@ -60,9 +60,14 @@ def cer(reference: Column, hypothesis: Column) -> Column:
 
 
 def encode_tokens(tokens: Column, vocabulary: Column) -> Column:
-    """Each token as one character, by its place in vocabulary (at most 40,000 tokens)."""
-    letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, t) + 0x33FF), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(tokens, letter), "")
+    """Each token as one character beyond the basic plane, by its place in vocabulary; an error above MOST_TOKENS tokens."""
+    letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, t) + 0xFFFF), 8, "0")), "UTF-32")
+    named = F.array_join(F.transform(tokens, letter), "")
+    return F.when(F.size(vocabulary) <= MOST_TOKENS, named).otherwise(F.raise_error(F.lit(f"over {MOST_TOKENS} different tokens")))
+
+
+#: Characters beyond the basic plane, one for each different token of two texts.
+MOST_TOKENS = 0x100000
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:

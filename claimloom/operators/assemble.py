@@ -23,22 +23,26 @@ def party_claims(claims: DataFrame) -> DataFrame:
 def merge_parties(claims: DataFrame) -> DataFrame:
     """A row for each party of each case and attribute: party_no, variants, claim_ids; and what was kept apart for review.
 
-    Names are taken in order. A name joins the first party with a variant that matches it; a partial match is recorded and
-    the name becomes a party of its own, so similarity never spreads from one variant to the next. Names of one case and
-    attribute are few, so the fold stays within a row.
+    Names are taken in order. A name joins the first party whose best variant matches it; partial matches with the parties
+    before that one, or with any if there is none, are recorded and kept apart, so similarity never spreads from one variant
+    to the next. Names of one case and attribute are few, so the fold stays within a row.
     """
     held = party_claims(claims).groupBy("case_id", "attribute").agg(F.array_sort(F.collect_list(F.struct("ord", "display", "claim_id"))).alias("names"))
     start = F.struct(F.array().cast(f"array<{_PARTY}>").alias("parties"), F.array().cast(f"array<{_KEPT}>").alias("kept"))
 
     def best(party: Column, tokens: Column) -> Column:
         """The best match of a name with a party's variants: score, then the variant's place."""
-        return F.array_max(F.transform(party["tokens"], lambda v, i: F.struct(match_tokens(tokens, v).alias("m"), (-i).alias("at"))))
+
+        def ranked(v: Column, i: Column) -> Column:
+            return let(match_tokens(tokens, v), lambda m: F.struct(m["score"].alias("score"), (-i).alias("at"), m.alias("m")))
+
+        return F.array_max(F.transform(party["tokens"], ranked))
 
     def step(state: Column, x: Column) -> Column:
         return let(split_name(x["display"]), lambda tokens: let(F.transform(state["parties"], lambda p: best(p, tokens)), lambda ranked: placed(state, x, tokens, ranked)))
 
     def placed(state: Column, x: Column, tokens: Column, ranked: Column) -> Column:
-        at = F.array_position(F.transform(ranked, lambda r: r["m"]["score"] >= MERGE_AT), F.lit(True))
+        at = F.array_position(F.transform(ranked, lambda r: (r["m"]["determination"] == "MATCH") & (r["m"]["score"] >= MERGE_AT)), F.lit(True))
 
         def joined(p: Column, i: Column) -> Column:
             here, new = i + 1 == at, ~F.array_contains(p["variants"], x["display"])
@@ -51,8 +55,9 @@ def merge_parties(claims: DataFrame) -> DataFrame:
         own = F.struct(F.array(x["display"]).alias("variants"), F.array(tokens).alias("tokens"), F.array(x["claim_id"]).alias("ids")).cast(_PARTY)
         parties = F.when(at > 0, F.transform(state["parties"], joined)).otherwise(F.concat(state["parties"], F.array(own)))
         close = F.transform(F.arrays_zip(state["parties"].alias("p"), ranked.alias("r")), lambda z: F.struct(x["display"].alias("left"), F.get(z["p"]["variants"], -z["r"]["at"]).alias("right"), z["r"]["m"]["score"].alias("score"), z["r"]["m"]["determination"].alias("d")))
-        partial = F.transform(F.filter(close, lambda c: c["d"] == "PARTIAL_MATCH"), lambda c: F.struct(c["left"], c["right"], c["score"]).cast(_KEPT))
-        return F.struct(parties.cast(f"array<{_PARTY}>").alias("parties"), F.when(at > 0, state["kept"]).otherwise(F.concat(state["kept"], partial)).cast(f"array<{_KEPT}>").alias("kept"))
+        met = F.when(at > 0, F.slice(close, F.lit(1), at.cast("int"))).otherwise(close)
+        partial = F.transform(F.filter(met, lambda c: c["d"] == "PARTIAL_MATCH"), lambda c: F.struct(c["left"], c["right"], c["score"]).cast(_KEPT))
+        return F.struct(parties.cast(f"array<{_PARTY}>").alias("parties"), F.concat(state["kept"], partial).cast(f"array<{_KEPT}>").alias("kept"))
 
     folded = held.select("case_id", "attribute", F.aggregate("names", start, step).alias("s"))
     return folded.select("case_id", "attribute", F.col("s.kept").alias("kept_separate"), F.posexplode("s.parties").alias("party_no", "p")).select(

@@ -90,14 +90,14 @@ def type_scores(scores: DataFrame, keys: tuple[str, ...] = ("document_id",)) ->
 def decide(documents: DataFrame, types: DataFrame, keys: tuple[str, ...] = ("document_id",), degraded: Column | None = None) -> DataFrame:
     """keys, doc_type, reason, confidence, best, runner_up, needs_human for each of documents (keys, has_text).
 
-    No text, too few points, or a runner-up too close each give `unknown` with the reason.
+    No text, too few points, or a runner-up too close each give `unknown` with the reason and insufficient confidence.
     """
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("points")).alias("less"), "first_ord", "doc_type")))
     top = types.groupBy(*keys).agg(ranked.alias("r"))
     out = documents.join(top, list(keys), "left")
     best, second = F.coalesce(-F.get("r", F.lit(0))["less"], F.lit(0)), F.coalesce(-F.get("r", F.lit(1))["less"], F.lit(0))
     reason = F.when(~F.col("has_text"), "NO_TEXT").when(best < MINIMUM, "WEAK").when((second > 0) & (best < second * LEAD), "AMBIGUOUS")
-    sure = F.when(reason == "NO_TEXT", "INSUFFICIENT").when(reason.isNotNull(), "LOW").when(best >= HIGH, "HIGH").otherwise("MEDIUM")
+    sure = F.when(reason.isNotNull(), "INSUFFICIENT").when(best >= HIGH, "HIGH").otherwise("MEDIUM")
     if degraded is not None:
         sure = F.when(degraded & (sure == "HIGH"), "MEDIUM").otherwise(sure)
     return out.select(

@@ -50,6 +50,7 @@ def compare_to_truth(field: Column, kind: Column, expected: Column, actual: Colu
         .when(kind == "parcel", same(squeezed(expected["text"]), squeezed(actual["raw"])))
         .when(kind == "area", area)
         .when(kind == "text", F.when(field.isin(*NAME_FIELDS), name).otherwise(text))
+        .when(kind == "bool", same(F.lower(F.trim(expected["text"])).isin("true", "yes", "1"), actual["cmp_key"] == "true"))
         .otherwise("NOT_EVALUATED")
     )
 

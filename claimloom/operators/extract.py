@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import ground_tier
+from claimloom.functions.text import exact_span, ground_tier, located_span
 from claimloom.model import STRENGTH_OF_DOCUMENT, mapped
 from claimloom.operators import finders
 from claimloom.operators.pages import block_at
@@ -98,8 +98,9 @@ def candidates(pages: DataFrame) -> DataFrame:
 def extract(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Fields of documents (case_id, document_id, document_type) from pages (case_id, document_id, page, text[, confidence]).
 
-    A row for each candidate that the field's selection keeps, grounded or not: field, attribute, value columns, page, tier.
-    Selection precedes grounding, so a first candidate that is not on the page yields nothing.
+    A row for each candidate that the field's selection keeps, grounded or not: field, attribute, value columns, page, tier and
+    provenance (span and the words around it). Selection precedes grounding, so a first candidate that is not on the page
+    yields nothing.
     """
     spark = documents.sparkSession
     scoped = in_scope(pages)
@@ -114,6 +115,7 @@ def extract(documents: DataFrame, pages: DataFrame) -> DataFrame:
     met = met.withColumns({"_first": first, "_same": same})
     kept = met.where((F.col("select") == "ALL") | ((F.col("select") == "FIRST") & (F.col("_first") == 1)) | ((F.col("select") == "DISTINCT") & (F.col("_same") == 1)))
     kept = kept.withColumn("tier", ground_tier(F.col("page_text"), F.col("raw")))
+    kept = kept.withColumn("provenance", provenance(F.col("page_text"), F.col("start"), F.col("end")))
     return kept.withColumn("field_confidence", field_confidence(F.col("confidence"), F.col("note"))).drop("_first", "_same", "is_first", "is_last", "scope", "select", "page_text")
 
 
@@ -121,6 +123,23 @@ def grounded(fields: DataFrame) -> DataFrame:
     return fields.where("tier is not null")
 
 
+def ground_anywhere(values: DataFrame, pages: DataFrame) -> DataFrame:
+    """values (case_id, document_id, page, raw, ...), as an outside extractor claims them, with tier, found_page, start and end.
+
+    A value is looked for on the page that is claimed for it, then on the document's other pages in order; the first page that
+    holds it in any way counts. What stands nowhere in its document has no tier. A document's pages meet its own values alone.
+    """
+    rows = values.withColumn("_value", F.monotonically_increasing_id())
+    met = rows.select("_value", *DOC, F.col("page").alias("_claimed"), F.col("raw").alias("_raw")).join(pages.select(*DOC, F.col("page").alias("_page"), F.col("text").alias("_text")), DOC)
+    held = met.withColumn("tier", ground_tier(F.col("_text"), F.col("_raw"))).where("tier is not null")
+    order = F.struct((F.col("_page") != F.coalesce("_claimed", F.lit(-1))).alias("away"), F.col("_page"))
+    best = held.groupBy("_value").agg(F.min_by(F.struct("_page", "tier", "_text", "_raw"), order).alias("b"))
+    exact = exact_span(F.col("b._text"), F.col("b._raw"))
+    best = best.withColumn("span", F.when(F.col("b.tier") == "exact", F.struct(exact["start"].cast("int").alias("start"), exact["end"].cast("int").alias("end"))).otherwise(located_span("b._text", "b._raw")))
+    found = best.select("_value", "b.tier", F.col("b._page").alias("found_page"), "span.start", "span.end")
+    return rows.join(found, "_value", "left").drop("_value")
+
+
 def rejected_ungrounded(fields: DataFrame) -> DataFrame:
     return fields.where("tier is null")
 

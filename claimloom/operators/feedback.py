@@ -23,7 +23,7 @@ def calibration(latest: DataFrame) -> DataFrame:
 
 
 def parse_correction(kind: Column, text: Column, original_basis: Column) -> Column:
-    """A correction read as the field's own kind: key, sq_m, basis, error. What can't be read is refused, not guessed."""
+    """A correction read as the field's own kind: key, paise, sq_m, basis, date_value, error. What can't be read is refused, not guessed."""
     figure = F.coalesce(money.money_figures(text)["paise"], money.figure_paise(F.when(text.rlike(r"^[\d,]+(\.\d{1,2})?$"), text)))
     day = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), dates.parse_date(text)["value"])
     area = areas.parse_area(text)
@@ -31,15 +31,22 @@ def parse_correction(kind: Column, text: Column, original_basis: Column) -> Colu
         F.when(kind == "money", figure.cast("string")).when(kind == "date", day.cast("string")).when(kind == "area", area["sq_m"].cast("string")).when(kind == "bool", F.when(F.lower(F.trim(text)).isin("true", "yes", "1"), "true").when(F.lower(F.trim(text)).isin("false", "no", "0"), "false")).otherwise(F.nullif(F.lower(F.trim(text)), F.lit("")))
     )
     basis = F.when(kind == "area", F.when(area["basis"] != "unspecified", area["basis"]).otherwise(original_basis))
-    return F.struct(key.alias("cmp_key"), F.when(kind == "area", area["sq_m"]).alias("sq_m"), basis.alias("basis"), F.when(key.isNull(), F.concat(F.lit("unreadable as "), kind)).alias("error"))
+    return F.struct(key.alias("cmp_key"), F.when(kind == "money", figure).alias("paise"), F.when(kind == "area", area["sq_m"]).alias("sq_m"), basis.alias("basis"), F.when(kind == "date", day).alias("date_value"), F.when(key.isNull(), F.concat(F.lit("unreadable as "), kind)).alias("error"))
 
 
 def overlaid(fields: DataFrame, latest: DataFrame) -> DataFrame:
-    """fields with accepted corrections in place: high confidence, human provenance; unreadable ones leave the field as it is."""
+    """fields with accepted corrections in place: every value column that fields has, high confidence, human provenance and a
+    note of what the document said; unreadable ones leave the field as it is.
+    """
     fixed = latest.where("action = 'correct'").select("document_id", "field", "corrected_value")
     met = fields.join(fixed, ["document_id", "field"], "left").withColumn("c", parse_correction(F.col("kind"), F.col("corrected_value"), F.col("basis")))
     ok = F.col("corrected_value").isNotNull() & F.col("c.error").isNull()
-    out = met.withColumns({"cmp_key": F.when(ok, F.col("c.cmp_key")).otherwise(F.col("cmp_key")), "confidence": F.when(ok, "HIGH").otherwise(F.col("confidence")), "provenance": F.when(ok, "human").otherwise("document")})
+    values = {c: F.col(f"c.{c}") for c in ("cmp_key", "paise", "sq_m", "basis", "date_value")}
+    values |= {"display": F.trim("corrected_value"), "raw": F.trim("corrected_value"), "confidence": F.lit("HIGH")}
+    said = F.concat(F.lit("corrected from "), F.coalesce(F.col("display") if "display" in fields.columns else F.col("cmp_key"), F.lit("nothing")))
+    new = {c: F.when(ok, v).otherwise(F.col(c)) for c, v in values.items() if c in fields.columns}
+    new["note"] = F.when(ok, said).otherwise(F.col("note") if "note" in fields.columns else F.lit(None).cast("string"))
+    out = met.withColumns(new | {"provenance": F.when(ok, "human").otherwise("document")})
     return out.drop("c", "corrected_value")
 
 

@@ -80,7 +80,12 @@ def finder_spans(pages: DataFrame, finders: tuple[str, ...] = tuple(PATTERNS), k
             elif finder == "parties":
                 role = m[2].lower()
             elif finder == "execution_date":
-                start, end = m.span(1)
+                # the date itself, not the phrase that announces it
+                if not (value := dates.date_text(m[1])):
+                    continue
+                start = m.start(1) + m[1].find(value)
+                yield (finder, value, value, value, None, start, start + len(value), None)
+                continue
             yield (finder, m[0].strip() if finder not in TEXT_IDS and finder != "parties" else value.strip(), value, context, role, start, end, None)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

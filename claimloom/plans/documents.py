@@ -44,7 +44,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY points DESC
 d AS (SELECT doc_id AS document_id, bool_or(length(trim(text, ' ')) > 0) AS has_text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) GROUP BY 1),
 w AS (SELECT d.document_id, has_text, coalesce(a.points, 0) AS best, coalesce(b.points, 0) AS second, a.doc_type AS first FROM d LEFT JOIN r a ON a.document_id = d.document_id AND a.rn = 1 LEFT JOIN r b ON b.document_id = d.document_id AND b.rn = 2),
 x AS (SELECT *, CASE WHEN NOT has_text THEN 'NO_TEXT' WHEN best < 8000 THEN 'WEAK' WHEN second > 0 AND best < second * 1.5 THEN 'AMBIGUOUS' END AS reason FROM w)
-SELECT document_id, CASE WHEN reason IS NULL THEN first ELSE 'unknown' END AS doc_type, reason, CASE WHEN reason = 'NO_TEXT' THEN 'INSUFFICIENT' WHEN reason IS NOT NULL THEN 'LOW' WHEN best >= 16000 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+SELECT document_id, CASE WHEN reason IS NULL THEN first ELSE 'unknown' END AS doc_type, reason, CASE WHEN reason IS NOT NULL THEN 'INSUFFICIENT' WHEN best >= 16000 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
  best, second AS runner_up, reason IS NOT NULL AS needs_human FROM x""")
 def classify_signals(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by weighted phrases, or unknown with a reason."""

@@ -8,6 +8,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.functions import text
+from claimloom.functions.names import match_names, split_name
 from claimloom.model import DETERMINACIES, DETERMINATIONS, DISPOSITIONS, EQUITABLE, SEVERITIES
 from claimloom.operators import assemble, classify, claims, evaluate, extract, feedback, finders, ingest, integrity, pages, rules, survey, verify
 from claimloom.plans import bundle
@@ -351,12 +353,86 @@ def test_feedback(spark):
     got = {r["field"]: r for r in feedback.overlaid(fields, last).collect()}
     assert (got["area"]["cmp_key"], got["area"]["confidence"], got["area"]["provenance"]) == ("111.483648", "HIGH", "human")
     assert (got["price"]["cmp_key"], got["price"]["provenance"]) == ("5", "document")
+    every = "document_id string, field string, kind string, cmp_key string, display string, paise long, sq_m double, basis string, date_value date, note string, confidence string"
+    fields = spark.createDataFrame([("d", "price", "money", "5", "Rs. 5", 5, None, None, None, None, "LOW"), ("d", "day", "date", "2020-01-01", "1/1/2020", None, None, None, date(2020, 1, 1), None, "LOW")], every)
+    fixes = spark.createDataFrame([("d", "price", "correct", "Rs. 12,00,000"), ("d", "day", "correct", "14/03/2024")], "document_id string, field string, action string, corrected_value string")
+    got = {r["field"]: r for r in feedback.overlaid(fields, fixes).collect()}
+    assert (got["price"]["cmp_key"], got["price"]["paise"], got["price"]["display"], got["price"]["note"]) == ("120000000", 120000000, "Rs. 12,00,000", "corrected from Rs. 5")
+    assert (got["day"]["cmp_key"], got["day"]["date_value"], got["day"]["paise"]) == ("2024-03-14", date(2024, 3, 14), None)
     checks = spark.range(1).select(*(feedback.box_check(F.lit(a), F.lit(b)).alias(f"c{i}") for i, (a, b) in enumerate((("deed", "deed"), ("deed", "unknown"), ("deed", "tax"), ("other", "tax"))))).first()
     assert list(checks) == ["OK", "ATTENTION", "BLOCKED", "OK"]
     view = feedback.regulatory_view(spark.createDataFrame([("r", "i", "RULE_READY")], "id string, source string, status string"), spark.createDataFrame([("i", "t", "VERIFIED")], "id string, title string, verification_status string"))
     assert view.first()["blocked_because"] is None
 
 
+def test_unknown_types_have_no_confidence(spark):
+    for text in ("", "lorem ipsum", "DEED OF SALE and AGREEMENT FOR SALE"):
+        got = classified(spark, text)
+        assert (got["doc_type"], got["confidence"], got["needs_human"]) == ("unknown", "INSUFFICIENT", True)
+    assert spark.range(1).select(classify.confidence_value(F.lit("INSUFFICIENT"))).first()[0] == 0.0
+
+
+def test_a_partial_match_before_a_merge_stays_for_review(spark):
+    names = ["Ramesh Kumar Patil", "Rajesh Patil", "R. Patil"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").select("a", "b", match_names(F.col("a"), F.col("b")).alias("m")).collect()
+    met = {(r["a"], r["b"]): (r["m"]["determination"], r["m"]["score"]) for r in pairs}
+    claims = spark.createDataFrame([("c", "party.owner", i, n, f"k{i}") for i, n in enumerate(names)], "case_id string, attribute string, ord int, display string, claim_id string")
+    got = assemble.merge_parties(claims).collect()
+    parties, kept = [], []
+    for name in names:  # the rule, name by name
+        chosen = None
+        for variants in parties:
+            at = max(range(len(variants)), key=lambda i: (met[name, variants[i]][1], -i))
+            what, score = met[name, variants[at]]
+            if what == "MATCH" and score >= assemble.MERGE_AT:
+                chosen = variants
+                break
+            if what == "PARTIAL_MATCH":
+                kept.append((name, variants[at]))
+        if chosen is None:
+            parties.append([name])
+        elif name not in chosen:
+            chosen.append(name)
+    assert [r["variants"] for r in sorted(got, key=lambda r: r["party_no"])] == parties
+    assert [(k["left"], k["right"]) for k in got[0]["kept_separate"]] == kept == [(n, names[0]) for n in names[1:]]
+    assert assemble.distinct_parties(assemble.merge_parties(claims)).first()["needs_identity_review"]
+
+
+def test_execution_date_is_the_date_itself(spark):
+    page = "This deed is executed at Pune on this 14th day of\nMarch 2024 between the parties named here, of whom each has signed below; the second copy was made on 3/4/2021."
+    spans = finders.finder_spans(spark.createDataFrame([("c", "d", 1, page)], "case_id string, document_id string, page int, text string"), ("execution_date",))
+    rows = finders.valued(spans).orderBy("start").collect()
+    assert [(r["raw"], page[r["start"] : r["end"]]) for r in rows] == [("14th day of\nMarch 2024",) * 2, ("3/4/2021",) * 2]
+    assert [str(r["date_value"]) for r in rows] == ["2024-03-14", "2021-04-03"]
+
+
+def test_values_are_grounded_on_other_pages(spark):
+    pages = spark.createDataFrame([("c", "d", 1, "nothing here"), ("c", "d", 2, "the price is Rs.  5,000 only"), ("c", "d", 3, "Rs. 5,000"), ("c", "e", 1, "Rs. 5,000")], "case_id string, document_id string, page int, text string")
+    values = spark.createDataFrame([("c", "d", 1, "Rs. 5,000"), ("c", "d", 3, "Rs. 5,000"), ("c", "d", 2, "Rs. 7"), ("c", "d", None, "nothing")], "case_id string, document_id string, page int, raw string")
+    got = {(r["page"], r["raw"]): (r["tier"], r["found_page"], r["start"], r["end"]) for r in extract.ground_anywhere(values, pages).collect()}
+    assert got == {(1, "Rs. 5,000"): ("collapsed", 2, 13, 23), (3, "Rs. 5,000"): ("exact", 3, 0, 9), (2, "Rs. 7"): (None, None, None, None), (None, "nothing"): ("exact", 1, 0, 7)}
+
+
+def test_dots_inside_a_name_stay(spark):
+    got = spark.range(1).select(split_name(F.lit("Mr. R.K.Sharma, Jr. s/o B. Rao")).alias("t")).first()["t"]
+    assert got == ["r.k.sharma", "jr"]
+
+
+def test_truth_of_booleans(spark):
+    truth = lambda want, got: evaluate.compare_to_truth(F.lit("f"), F.lit("bool"), F.struct(*(F.lit(x).alias(n) for n, x in (("text", want), ("paise", None), ("date_value", None), ("sq_m", None), ("basis", None)))), F.struct(F.lit("x").alias("raw"), F.lit(got).alias("cmp_key"), F.lit(None).alias("paise"), F.lit(None).alias("date_value"), F.lit(None).alias("sq_m"), F.lit(None).alias("basis")))
+    row = spark.range(1).select(truth("Yes", "true").alias("a"), truth("no", "true").alias("b"), truth("0", "false").alias("c")).first()
+    assert list(row) == ["CORRECT", "WRONG", "CORRECT"]
+
+
+def test_word_errors_of_many_tokens(spark):
+    a = [f"w{i}" for i in range(45_000)]
+    b = a[:44_990] + ["x"] * 10
+    # a long vocabulary costs its square: the renaming alone is tested, on the last tokens
+    frame = spark.createDataFrame([(a, a[-3:], b[-3:])], "v array<string>, a array<string>, b array<string>")
+    row = frame.select(text.encode_tokens(F.col("a"), F.col("v")).alias("x"), F.levenshtein(text.encode_tokens(F.col("a"), F.array_append("v", F.lit("x"))), text.encode_tokens(F.col("b"), F.array_append("v", F.lit("x")))).alias("d")).first()
+    assert len(set(row["x"])) == 3 and row["d"] == 3
+
+
 def test_survey(spark):
     got = spark.createDataFrame([(1.0,), (2.0,), (5.0,), (9.0,), (None,)], "x double").agg(survey.spread(F.col("x")).alias("s")).first()["s"]
     assert (got["n"], got["min"], got["median"], got["p90"], got["max"]) == (4, 1.0, 3.5, 7.8, 9.0)
