@@ -132,35 +132,36 @@ def shard_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     return grouped.select("place", F.expr("transform(parts, (p, i) -> aggregate(slice(parts, 1, i + 1), 0L, (t, x) -> t + x.blocks))").alias("ends"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, turn_col: str | None = None) -> DataFrame:
-    """id, source, size, source_size, target, taken, draws for each row of docs.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, whole: bool = False) -> DataFrame:
+    """id, source, size, source_size, target, taken, draws for each row of docs, and with `whole` that row as a struct, row.
 
     A draw is what one shard takes of a document in one epoch (repetition of the stream): epoch, block, shard, sort_key, which
-    orders the draws of a shard, and words, from the document's first on. Documents are ordered by a hash of turn_col, or else
-    of id and text.
+    orders the draws of a shard, and words, from the document's first on. Documents are ordered by a hash of id and text.
     """
-    hashed = F.xxhash64(F.lit(seed), *([F.col(turn_col)] if turn_col else [F.col(id_col), F.col(text_col)]))
-    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("turn")))
+    # a key that is never null, so that the window and the join after it share one shuffle
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("turn"), *([F.struct(*docs.columns).alias("row")] if whole else []))
+    sized = stored(plain.drop("row"))
     bits = max(RANGES, sized.count() // RANGE_ROWS).bit_length() - 1
-    sized = sized.withColumn("range", F.shiftrightunsigned("turn", 64 - bits))
-    ranges = stored(sized.groupBy("source", "range").agg(F.sum("size").alias("words")))
+    ranged = lambda df: df.withColumn("range", F.shiftrightunsigned("turn", 64 - bits))
+    ranges = stored(ranged(sized).groupBy("source", "range").agg(F.sum("size").alias("words")))
     sources = stored(targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap).withColumn("blocks", F.ceil(F.col("quota") / block)))
     ends = shard_quotas(sources, shards, seed)
     known = sources.join(ends, "place")
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("range_start", F.coalesce(F.sum("words").over(before), F.lit(0)))
     starts = starts.join(known.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known"))).drop("known", "words")
-    starts = starts.withColumnsRenamed({"source": "source_", "range": "range_"})
-    within = Window.partitionBy("source", "range").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("source_")) & (F.col("range") == F.col("range_")))
+    starts = starts.withColumn("key_", named).withColumnRenamed("range", "range_").drop("source")
+    within = Window.partitionBy("key", "range").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged(plain if whole else sized).withColumn("key", named).withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = placed.join(starts, (F.col("key") == F.col("key_")) & (F.col("range") == F.col("range_")))
     placed = placed.withColumn("start", F.col("range_start") + F.col("inner"))
     draw = _let("r", permuted("b", "blocks", seed), f"named_struct('epoch', e, 'block', b, 'shard', size(filter(ends, x -> x <= r)), 'sort_key', xxhash64({seed}, turn, id, e), 'words', least(lo + size, quota) - lo)")
     run = _let("lo", "start + e * source_size", f"if(size > 0 and lo < quota, array({_let('b', f'lo div {block}', draw)}), array())")
     # blocks beyond the last end are no shard's
     drawn = placed.withColumn("draws", F.expr(f"filter(flatten(transform(sequence(0L, {cap - 1}L), e -> {run})), d -> d.shard < {shards})"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda t, d: t + d["words"])
-    return drawn.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "draws")
+    return drawn.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "draws", *(["row"] if whole else []))
 
 
 def digest(draws: str) -> Column:
@@ -168,20 +169,15 @@ def digest(draws: str) -> Column:
     return F.array_join(F.transform(draws, lambda d: F.concat_ws(":", d["epoch"], d["block"], d["shard"], d["words"])), ",")
 
 
-#: Columns of `materialised` that no table is to have.
-_OF, _SIZE, _DRAWS, _DRAW, _TEXT = (f"claimloom_mix_{x}" for x in ("of", "size", "draws", "draw", "text"))
-
-
-def materialised(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: a row of docs for each draw, shard after shard, shuffled within each shard.
+def materialised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
+    """The mix itself: a row of docs, with its columns, for each draw, shard after shard, shuffled within each shard.
 
     A draw of part of a document is its first words, joined by one space. Partitions hold consecutive ranges of (shard, sort
-    key). Rows of docs that share an id get the draws of one of them, and rows without one are not taken: id_col is to be a key.
+    key). Rows travel with their draws, so ids may be null or shared. `more` goes to `mix`.
     """
-    listed = mixed.where(F.size("draws") > 0).select(F.col(id_col).alias(_OF), F.struct("draws", "size").alias(_DRAWS)).groupBy(_OF).agg(F.max(_DRAWS).alias(_DRAWS))
-    joined = docs.join(listed, F.col(id_col) == F.col(_OF)).select(*(F.col(c) for c in docs.columns), F.col(f"{_DRAWS}.size").alias(_SIZE), F.explode(f"{_DRAWS}.draws").alias(_DRAW))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col(f"{_DRAW}.words").cast("int")), " ")
-    text = F.when(F.col(f"{_DRAW}.words") >= F.col(_SIZE), F.col(text_col)).otherwise(first)
-    order = [F.col(f"{_DRAW}.shard"), F.col(f"{_DRAW}.sort_key")]
-    placed = joined.withColumn(_TEXT, text).repartitionByRange(*order).sortWithinPartitions(*order)
-    return placed.select(*(F.col(_TEXT).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    drawn = mix(docs, id_col, text_col, source_col, whole=True, **more).select("row", "size", F.explode("draws").alias("draw"))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("row").getField(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")), " ")
+    text = F.when(F.col("draw.words") >= F.col("size"), F.col("row").getField(text_col)).otherwise(first)
+    order = [F.col("draw.shard"), F.col("draw.sort_key")]
+    placed = drawn.select("row", "draw", text.alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return placed.select(*((F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))

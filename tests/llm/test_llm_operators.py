@@ -619,7 +619,7 @@ def test_mix_comes_from_the_tree(table, monkeypatch):
 
 def test_materialised_shards_are_shuffled(spark, table):
     mixed = mixing.mix(table)
-    made = mixing.materialised(table, mixed).withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()).select("doc_id", "text", "line").orderBy("line").collect()
+    made = mixing.materialised(table).withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()).select("doc_id", "text", "line").orderBy("line").collect()
     keys = sorted((d["shard"], d["sort_key"], r["doc_id"], d["words"]) for r in mixed.collect() for d in r["draws"])
     assert [(r["doc_id"], len(WORD.findall(r["text"]))) for r in made] == [k[2:] for k in keys]
 
@@ -651,12 +651,13 @@ def test_mixing_odd(odd, empty):
     rows = mixing.mix(odd).collect()
     check_mix(rows, [r["text"] for r in odd.select("text").collect()])
     assert mixing.mix(empty).count() == 0
-    assert mixing.materialised(odd, mixing.mix(odd)).columns == odd.columns
+    assert mixing.materialised(odd).columns == odd.columns
+    assert mixing.materialised(odd).agg(F.count("*")).first()[0] == sum(len(r["draws"]) for r in rows)
 
 
 def test_materialised_words(table):
     mixed = mixing.mix(table)
-    made = mixing.materialised(table, mixed)
+    made = mixing.materialised(table)
     taken = {r["doc_id"]: r["taken"] for r in mixed.collect()}
     got = defaultdict(int)
     for r in made.select("doc_id", "text").collect():

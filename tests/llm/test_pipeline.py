@@ -10,6 +10,8 @@ import pytest
 from claimloom.llm import credentials
 from claimloom.llm.storage import shared_folder, stored
 
+#: Names that stages use inside.
+CLASHES = "of_id runs id band comp hub size row draw draws source_ range start turn_ a b node label decoded_ sha rep n signature of_row".split()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -80,10 +82,10 @@ def test_run_equals_its_stages(spark, small, steps):
 
 
 def test_odd_inputs(spark, small):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_id string"
     rows = [(1, None, None, None, None, "x"), (2, "", "en", "s", 0, None), (3, "plain english words", "en", "s", 19, "e"), (3, "plain english words", "en", "s", 19, "e"), (4, "12345", "en", None, 5, None), (5, "more plain english text and words", "en", None, 1, None)]
     for data in (rows, []):
-        docs = spark.createDataFrame(data, schema)
+        docs = spark.createDataFrame(data, schema).selectExpr("*", *(f"'{x}' AS {x}" for x in CLASHES))
         for _, stage in pipeline.STAGES:
             docs = stored(stage(spark, docs, small))
         assert {r["doc_id"] for r in docs.collect()} <= ({3, 5} if data else set())
