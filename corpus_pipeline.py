@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before has kept; all but the last return the columns
 of documents. Null texts, and texts without a letter, are rejected by the first stage; empty tables stay empty; extra columns
-are carried along. Ids may be null or shared: stages that join rows give each row an own key.
+are carried along, whatever their names. Ids may be null or shared: the stage that joins rows gives each row an own key.
 """
 
 from __future__ import annotations
@@ -54,9 +54,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix by source weights takes them; the last draw of a source may take part of a document."""
-    keyed = _keyed(docs)
-    return _recounted(mixing.materialised(keyed, mixing.mix(keyed, ROW, turn_col=TURN), ROW).drop(ROW, TURN))
+    """Documents as often as the mix by source weights takes them, shard after shard; the last draw of a source may take part of a document."""
+    return _recounted(mixing.materialised(docs))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
