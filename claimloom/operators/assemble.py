@@ -65,6 +65,15 @@ def merge_parties(claims: DataFrame) -> DataFrame:
     )
 
 
+def with_party_claims(claims: DataFrame, merged: DataFrame) -> DataFrame:
+    """claims of properties and, once more, people's claims with their party as subject: case, attribute and number name it."""
+    party = F.concat(F.lit("PARTY_"), F.left(F.sha2(F.concat_ws("|", "case_id", "attribute", "party_no"), 256), F.lit(12)))
+    owners = merged.select(F.col("case_id").alias("of_case_"), F.col("attribute").alias("of_attribute_"), party.alias("party_"), F.explode("claim_ids").alias("of_claim_"))
+    same = (F.col("case_id") == F.col("of_case_")) & (F.col("attribute") == F.col("of_attribute_")) & (F.col("claim_id") == F.col("of_claim_"))
+    theirs = party_claims(claims).join(owners, same).withColumn("subject_id", F.col("party_")).select(*claims.columns)
+    return claims.unionByName(theirs)
+
+
 def distinct_parties(merged: DataFrame) -> DataFrame:
     """How many parties a case has, and whether someone must look at similar names."""
     return merged.groupBy("case_id").agg(F.count("*").alias("n_parties"), F.bool_or(F.size("kept_separate") > 0).alias("needs_identity_review"))

@@ -27,8 +27,12 @@ def parcel_key(id_type: Column, value: Column, locality: Column) -> Column:
     return F.concat_ws("|", id_type, F.upper(plain), F.upper(F.coalesce(locality, F.lit(""))))
 
 
-def append(claims: DataFrame, more: DataFrame) -> DataFrame:
-    """Claims are only ever added."""
+def append(claims: DataFrame, more: DataFrame, subject_id: str | None = None, attribute: str | None = None) -> DataFrame:
+    """Claims are only ever added. With a subject or attribute, a claim of another set is an error."""
+    for column, held in (("subject_id", subject_id), ("attribute", attribute)):
+        if held is not None:
+            stray = F.raise_error(F.concat(F.lit(f"claim of another {column} than {held}: "), F.coalesce(column, F.lit("null"))))
+            more = more.withColumn(column, F.when(F.col(column) == held, F.col(column)).otherwise(stray))
     return claims.unionByName(more, allowMissingColumns=True)
 
 

@@ -42,7 +42,7 @@ SIGNALS = (
     ("mr_possession", r"ताबा", "possession_document", 3000, False),
     ("mr_mortgage", r"गहाण", "mortgage_deed", 3000, False),
 )
-TITLE_CHARS = 1200
+TITLE_CHARS, MATCHED_CHARS = 1200, 120
 MINIMUM, HIGH = 8_000, 16_000
 LEAD = 1.5
 CONFIDENCE_VALUE = {"HIGH": 0.9, "MEDIUM": 0.6, "LOW": 0.3, "INSUFFICIENT": 0.0}
@@ -82,6 +82,24 @@ def evidence(hits: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataF
     return hits.withColumn("contribution", F.least(points, left))
 
 
+def hit_evidence(pages: DataFrame, signals: tuple[Signal, ...] = SIGNALS, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    """keys, page, signal, doc_type, place (from 1 within page and signal), matched_text and contribution of each hit that counts.
+
+    A hit adds its weight by page until its signal's cap is reached; hits after that are left out.
+    """
+    found = []
+    for name, pattern, kind, milli, title in signals:
+        text = F.when(F.col("page") == 1, F.left("text", F.lit(TITLE_CHARS))) if title else F.col("text")
+        hits = F.regexp_extract_all(text, F.lit(f"(?iu){pattern}"), F.lit(0))
+        found.append(F.struct(F.lit(name).alias("signal"), F.lit(kind).alias("doc_type"), F.lit(milli).cast("long").alias("weight"), F.coalesce(F.transform(hits, lambda h: F.left(h, F.lit(MATCHED_CHARS))), F.array().cast("array<string>")).alias("hits")))
+    held = pages.select(*keys, "page", F.explode(F.filter(F.array(*found), lambda s: F.size(s["hits"]) > 0)).alias("s"))
+    each = held.select(*keys, "page", "s.signal", "s.doc_type", "s.weight", F.posexplode("s.hits").alias("place", "matched_text")).withColumn("place", F.col("place") + 1)
+    points = (F.col("weight") * page_factor(F.col("page")) / 20).cast("long")
+    before = Window.partitionBy(*keys, "signal").orderBy("page", "place").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(F.lit(0), F.col("weight") * 2 - F.coalesce(F.sum(points).over(before), F.lit(0)))
+    return each.withColumn("contribution", F.least(points, left)).where("contribution > 0").drop("weight")
+
+
 def type_scores(scores: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """Milli-points of each type, with first_ord, its earliest signal."""
     return scores.groupBy(*keys, "doc_type").agg(F.sum("points").alias("points"), F.min("ord").alias("first_ord"))

@@ -119,7 +119,7 @@ def trimmed_party(raw: Column) -> Column:
 
 
 def valued(spans: DataFrame) -> DataFrame:
-    """spans with kind, cmp_key, display, paise, sq_m, basis, date_value and note; matches without a value go."""
+    """spans with kind, cmp_key, display, paise, sq_m, basis, date_value, notes and note, the gravest; matches without a value go."""
     amount = money.money_figures(F.col("value"))
     check = money.cross_check(F.col("context"))
     area = areas.parse_area(F.col("value"))
@@ -138,13 +138,15 @@ def valued(spans: DataFrame) -> DataFrame:
         .when(is_("parties"), F.when(F.length(party) >= 3, F.lower(party)))
         .otherwise(F.when(ident != "", F.lower(F.regexp_replace(ident, " ", ""))))
     )
-    note = (
-        F.when(is_("consideration") & (check["agree"] == False), "figures and words differ")  # noqa: E712
-        .when(is_("consideration") & amount["suspicious"], "irregular grouping")
-        .when(is_("consideration") & check["agree"], "figures and words agree")
-        .when(is_("dates", "execution_date") & when["ambiguous"], "ambiguous date")
-        .when(is_("area") & (basis == "unspecified"), "basis not stated")
-        .when(is_("parties"), F.concat(F.lit("role="), F.col("role")))
+    notes = F.array_compact(
+        F.array(
+            F.when(is_("consideration") & (check["agree"] == False), "figures and words differ"),  # noqa: E712
+            F.when(is_("consideration") & amount["suspicious"], "irregular grouping"),
+            F.when(is_("consideration") & check["agree"], "figures and words agree"),
+            F.when(is_("dates", "execution_date") & when["ambiguous"], "ambiguous date"),
+            F.when(is_("area") & (basis == "unspecified"), "basis not stated"),
+            F.when(is_("parties"), F.concat(F.lit("role="), F.col("role"))),
+        )
     )
     out = spans.where("error is null").withColumns(
         {
@@ -155,7 +157,11 @@ def valued(spans: DataFrame) -> DataFrame:
             "sq_m": F.when(is_("area"), area["sq_m"]),
             "basis": F.when(is_("area"), basis),
             "date_value": F.when(is_("dates", "execution_date"), when["value"]),
-            "note": note,
+            "notes": notes,
+        }
+    ).withColumns(
+        {
+            "note": F.get("notes", F.lit(0)),
         }
     )
     return out.where("cmp_key is not null")

@@ -68,6 +68,27 @@ def pending_ocr(pages: DataFrame, cache: DataFrame, keys: tuple[str, ...] = ("sh
     return pages.where(F.col("source") == "ocr").join(cache.select(*keys), list(keys), "left_anti")
 
 
+def default_engine(make: Callable[[], Callable[[bytes], list[dict]]] | None) -> tuple[Callable[[bytes], list[dict]] | None, str | None]:
+    """The engine that make builds, or none and why. Never raises: digital pages need no engine."""
+    if make is None:
+        return None, "no engine is configured"
+    try:
+        return make(), None
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
+def recognised_images(images: DataFrame, engine: Callable[[bytes], list[dict]] | None, dpi: float = 200.0, key: str = "sha256") -> DataFrame:
+    """Standalone images (key, content) as documents of one page, always by the engine, boxes in points; empty without one.
+
+    key, page, source (ocr or empty), blocks, error.
+    """
+    scale = dpi / 72.0
+    found = recognised(images.withColumn("page", F.lit(1)), engine, keys=(key, "page"))
+    points = F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), *((b[c] / scale).alias(c) for c in ("x0", "y0", "x1", "y1")), b["confidence"].alias("confidence")))
+    return found.select(key, "page", F.when(F.lit(engine is not None), "ocr").otherwise("empty").alias("source"), points.alias("blocks"), "error")
+
+
 def recognised(pages: DataFrame, engine: Callable[[bytes], list[dict]] | None, content: str = "content", keys: tuple[str, ...] = ("document_id", "page")) -> DataFrame:
     """blocks of each page from an engine, a callable from page bytes to block dicts; without one, or where it fails, no blocks."""
     kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)

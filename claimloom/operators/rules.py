@@ -1,6 +1,6 @@
 """Declarative, dated rules over all cases at once.
 
-Predicates are builders from tables to (case_id, determination, detail); a rule names one with parameters. The grid of cases and
+Predicates are builders from tables to (case_id, determination, detail, vars); a rule names one with parameters. The grid of cases and
 rules is bounded by the rule set, which is small, so it is a broadcast product. A check that yields no row is a visible
 NOT_DETERMINABLE, never a pass.
 """
@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions.money import format_indian
+from claimloom.functions.text import rendered
 from claimloom.model import DETERMINATION_RANK, DISPOSITIONS, EQUITABLE, MACHINE_CERTAIN, SEVERITIES, STATUS_RANK, TIER_CEILING, UNKNOWN, mapped, rank
 from claimloom.operators.claims import SET, ownership_only, resolve
 from claimloom.operators.verify import checked
@@ -129,8 +131,10 @@ def builder(name: str) -> Builder:
     return _BUILDERS[name]
 
 
-def _row(outcome: Column, detail: Column) -> list[Column]:
-    return [F.col("case_id"), outcome.alias("determination"), detail.cast("string").alias("detail")]
+def _row(outcome: Column, detail: Column, **values: Column) -> list[Column]:
+    """case_id, determination, detail and vars, what a rule's message may name besides {detail}."""
+    named = [x for k, v in values.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))]
+    return [F.col("case_id"), outcome.alias("determination"), detail.cast("string").alias("detail"), F.create_map(*named).cast("map<string,string>").alias("vars")]
 
 
 @predicate("documents_present")
@@ -139,13 +143,13 @@ def documents_present(tables: dict[str, DataFrame], params: dict) -> DataFrame:
     expected = F.array(*map(F.lit, params["document_types"])) if params.get("document_types") else F.col("expected_documents")
     missing = F.array_sort(F.array_except(expected, F.col("present")))
     outcome = F.when(F.coalesce(F.size(expected), F.lit(0)) <= 0, "NOT_DETERMINABLE").when(F.size(missing) == 0, "MATCH").otherwise("MISSING")
-    return tables["cases"].select(*_row(outcome, F.array_join(missing, ", ")))
+    return tables["cases"].select(*_row(outcome, F.array_join(missing, ", "), missing=F.array_join(missing, ", "), expected_count=F.size(expected)))
 
 
 def _worst(resolutions: DataFrame) -> DataFrame:
     """Per case, the determination that comes first in the rank order, of the first subject among equals."""
     order = F.struct(rank(F.col("determination"), DETERMINATION_RANK), F.col("subject_id"))
-    return resolutions.groupBy("case_id").agg(F.min_by(F.struct("determination", "n_claims", "n_clusters", "value"), order).alias("w"))
+    return resolutions.groupBy("case_id").agg(F.min_by(F.struct("determination", "n_claims", "n_clusters", "dissent", "value"), order).alias("w"))
 
 
 @predicate("claim_consistency")
@@ -155,7 +159,8 @@ def claim_consistency(tables: dict[str, DataFrame], params: dict) -> DataFrame:
     held = tables["resolutions"] if pct == 2 else resolve(tables["claims"], pct=pct)
     worst = _worst(held.where(F.col("attribute") == params["attribute"]))
     out = tables["cases"].select("case_id").join(worst, "case_id", "left")
-    return out.select(*_row(F.coalesce("w.determination", F.lit("MISSING")), F.concat_ws(" ", F.coalesce("w.n_clusters", F.lit(0)), F.lit("readings of"), F.coalesce("w.n_claims", F.lit(0)), F.lit("claims"))))
+    detail = F.concat_ws(" ", F.coalesce("w.n_clusters", F.lit(0)), F.lit("readings of"), F.coalesce("w.n_claims", F.lit(0)), F.lit("claims"))
+    return out.select(*_row(F.coalesce("w.determination", F.lit("MISSING")), detail, attribute=F.lit(params["attribute"]), rationale=detail, conflicts=F.coalesce("w.dissent", F.lit(0))))
 
 
 @predicate("ownership_established")
@@ -167,7 +172,7 @@ def ownership_established(tables: dict[str, DataFrame], params: dict) -> DataFra
     weak = tables["claims"].where(F.col("attribute") == attribute).groupBy("case_id").agg(F.count("*").alias("weak"))
     out = tables["cases"].select("case_id").join(first, "case_id", "left").join(weak, "case_id", "left")
     note = F.when(F.col("d").isNull() & (F.col("weak") > 0), "only instruments that create no interest").otherwise(F.coalesce("d", F.lit("no owner claimed")))
-    return out.select(*_row(F.coalesce("d", F.lit("MISSING")), note))
+    return out.select(*_row(F.coalesce("d", F.lit("MISSING")), note, rationale=note))
 
 
 @predicate("mortgage_registration_required")
@@ -175,7 +180,7 @@ def mortgage_registration_required(tables: dict[str, DataFrame], params: dict) -
     """Unknown security is not determinable; a deposit of title deeds needs none; else a mortgage deed must be there."""
     held = F.array_contains("present", "mortgage_deed")
     outcome = F.when(F.col("security_type").isNull() | (F.col("security_type") == UNKNOWN), "NOT_DETERMINABLE").when(F.col("security_type") == EQUITABLE, "NOT_APPLICABLE").when(held, "MATCH").otherwise("MISSING")
-    return tables["cases"].select(*_row(outcome, F.col("security_type")))
+    return tables["cases"].select(*_row(outcome, F.col("security_type"), security_type=F.col("security_type")))
 
 
 @predicate("originals_held")
@@ -214,10 +219,10 @@ def external_agreement(tables: dict[str, DataFrame], params: dict) -> DataFrame:
         F.count_if((F.col("attribute") == "*") & (F.col("status") == "NOT_APPLICABLE")).alias("scoped_out"),
         F.count_if("counts").alias("answered"),
         F.count_if(able).alias("able"),
-        F.min_by(F.when(F.col("counts"), F.col("status")), F.when(F.col("counts"), rank(F.col("status"), STATUS_RANK))).alias("worst"),
-    )
+        F.min_by(F.struct("status", "source_id", "external_value"), F.when(F.col("counts"), F.struct(rank(F.col("status"), STATUS_RANK), "source_id"))).alias("w"),
+    ).withColumn("worst", F.when(F.col("answered") > 0, F.col("w.status")))
     out = tables["cases"].select("case_id").join(grouped, "case_id", "left")
-    return out.select(*_row(F.coalesce(usable_gate(), mapped(F.col("worst"), STATUS_TO_DETERMINATION, "NOT_DETERMINABLE")), F.col("worst")))
+    return out.select(*_row(F.coalesce(usable_gate(), mapped(F.col("worst"), STATUS_TO_DETERMINATION, "NOT_DETERMINABLE")), F.col("worst"), attribute=F.lit(params["attribute"]), source=F.col("w.source_id"), external=F.coalesce("w.external_value", F.lit("(none)"))))
 
 
 @predicate("external_record_presence")
@@ -227,6 +232,8 @@ def external_record_presence(tables: dict[str, DataFrame], params: dict) -> Data
         F.count("*").alias("n"),
         F.count_if(F.coalesce(F.col("external_value") != "", F.lit(False))).alias("records"),
         F.count_if(F.col("status") == "NOT_FOUND_IN_SOURCE").alias("absent"),
+        F.min("source_id").alias("source"),
+        F.min(F.nullif("external_value", F.lit(""))).alias("external"),
         F.count_if((F.col("attribute") == "*") & (F.col("status") == "NOT_APPLICABLE")).alias("scoped_out"),
     )
     out = tables["cases"].select("case_id").join(grouped, "case_id", "left")
@@ -234,18 +241,19 @@ def external_record_presence(tables: dict[str, DataFrame], params: dict) -> Data
     answer = F.when(there, "MATCH").otherwise("MISSING") if params.get("presence_means", "adverse") == "expected" else F.when(there, "MISMATCH").otherwise("MATCH")
     silent = (F.col("records") == 0) & (F.col("absent") == 0)
     outcome = F.when(F.coalesce("n", F.lit(0)) == 0, "NOT_DETERMINABLE").when(silent & (F.col("scoped_out") > 0), "NOT_APPLICABLE").when(silent, "NOT_DETERMINABLE").otherwise(answer)
-    return out.select(*_row(outcome, F.concat(F.coalesce("records", F.lit(0)), F.lit(" records"))))
+    return out.select(*_row(outcome, F.concat(F.coalesce("records", F.lit(0)), F.lit(" records")), attribute=F.lit(params["attribute"]), source=F.col("source"), external=F.coalesce("external", F.lit("(no record)"))))
 
 
 @predicate("verification_coverage")
 def verification_coverage(tables: dict[str, DataFrame], params: dict) -> DataFrame:
     """How many in-scope checks were answered: completeness, apart from passing."""
-    grouped = checked(tables["verification"]).groupBy("case_id").agg(F.count("*").alias("n"), F.count_if("counts").alias("answered"), F.count_if(F.col("status") != "NOT_APPLICABLE").alias("in_scope"))
+    grouped = checked(tables["verification"]).groupBy("case_id").agg(F.count("*").alias("n"), F.count_if("counts").alias("answered"), F.count_if(F.col("status") != "NOT_APPLICABLE").alias("in_scope"), F.count_if(F.col("status") == "PENDING_MANUAL").alias("pending"), F.count_if(F.col("status") == "SOURCE_UNAVAILABLE").alias("unavailable"))
     out = tables["cases"].select("case_id").join(grouped, "case_id", "left")
     outcome = (
         F.when(F.coalesce("n", F.lit(0)) == 0, "NOT_DETERMINABLE").when(F.col("in_scope") == 0, "NOT_APPLICABLE").when(F.col("answered") == 0, "NOT_DETERMINABLE").when(F.col("answered") == F.col("in_scope"), "MATCH").otherwise("PARTIAL_MATCH")
     )
-    return out.select(*_row(outcome, F.concat(F.coalesce("answered", F.lit(0)), F.lit(" of "), F.coalesce("in_scope", F.lit(0)))))
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("answered", "in_scope", "pending", "unavailable")}
+    return out.select(*_row(outcome, F.concat(counts["answered"], F.lit(" of "), counts["in_scope"]), **counts))
 
 
 def slab_cap(amount_paise: Column, slabs: list[list]) -> Column:
@@ -256,11 +264,20 @@ def slab_cap(amount_paise: Column, slabs: list[list]) -> Column:
     return out
 
 
+def rupees(paise: Column) -> Column:
+    """Whole rupees of an amount, as people read them."""
+    return F.concat(F.lit("Rs. "), format_indian((paise / 100).cast("long")))
+
+
+def ltv_percent(numerator: Column, value: Column) -> Column:
+    """Loan to value in percent, two places, half to even."""
+    return F.bround(F.try_divide(numerator.cast("decimal(20,0)") * 100, value.cast("decimal(20,0)")), 2)
+
+
 def within_cap(numerator: Column, value: Column, cap: Column) -> Column:
     """LTV against its cap, multiplied out; not determinable without amounts or slab."""
     known = numerator.isNotNull() & (value > 0) & cap.isNotNull()
-    percent = F.bround(F.try_divide(numerator.cast("decimal(20,0)") * 100, value.cast("decimal(20,0)")), 2)
-    return F.when(~F.coalesce(known, F.lit(False)), "NOT_DETERMINABLE").when(percent <= cap, "MATCH").otherwise("MISMATCH")
+    return F.when(~F.coalesce(known, F.lit(False)), "NOT_DETERMINABLE").when(ltv_percent(numerator, value) <= cap, "MATCH").otherwise("MISMATCH")
 
 
 @predicate("ltv_within_cap")
@@ -268,7 +285,7 @@ def ltv_within_cap(tables: dict[str, DataFrame], params: dict) -> DataFrame:
     """Loan to value against the cap of the loan's slab; the numerator is the outstanding amount where known."""
     numerator = F.coalesce("outstanding_paise", "sanctioned_paise")
     cap = slab_cap(numerator, params["slabs"])
-    return tables["cases"].select(*_row(within_cap(numerator, F.col("property_value_paise"), cap), F.concat_ws(" of ", numerator, "property_value_paise")))
+    return tables["cases"].select(*_row(within_cap(numerator, F.col("property_value_paise"), cap), F.concat_ws(" of ", numerator, "property_value_paise"), ltv=ltv_percent(numerator, F.col("property_value_paise")), cap=cap, amount=rupees(numerator)))
 
 
 def documented_cap(transaction: Column, value: Column, resolution: Column, documented: Column) -> Column:
@@ -288,7 +305,7 @@ def ltv_value_not_above_documented_consideration(tables: dict[str, DataFrame], p
     held = tables["resolutions"].where(F.col("attribute") == params["attribute"]).groupBy("case_id").agg(F.min_by(F.struct("determination", "value"), "subject_id").alias("r"))
     out = tables["cases"].join(held, "case_id", "left")
     documented = F.col("r.value").try_cast("bigint")
-    return out.select(*_row(documented_cap(F.col("transaction_type"), F.col("property_value_paise"), F.col("r.determination"), documented), F.concat_ws(" against ", "property_value_paise", documented)))
+    return out.select(*_row(documented_cap(F.col("transaction_type"), F.col("property_value_paise"), F.col("r.determination"), documented), F.concat_ws(" against ", "property_value_paise", documented), value=rupees(F.col("property_value_paise")), documented=rupees(documented)))
 
 
 # -- evaluation -----------------------------------------------------------------------------
@@ -299,28 +316,48 @@ def with_resolutions(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables if "resolutions" in tables else tables | {"resolutions": resolve(tables["claims"])}
 
 
+def _answers(checks: DataFrame, no: int) -> DataFrame:
+    """case_id and a, one plan's answer with its number."""
+    vars_ = F.col("vars") if "vars" in checks.columns else F.create_map().cast("map<string,string>")
+    return checks.select("case_id", F.struct(F.lit(no).alias("no"), F.col("determination"), F.col("detail").cast("string").alias("detail"), vars_.alias("vars")).alias("a"))
+
+
 def evaluate(tables: dict[str, DataFrame], rules: list[dict] | tuple[dict, ...] = RULES, enforce: bool = False, as_of: Column | None = None) -> DataFrame:
     """Findings: a row for each case and rule.
 
     enforce runs approved rules alone; otherwise all run and findings are advisory. Rules that share a check and parameters
-    share its plan.
+    share its plan. An adverse finding's message is its rule's template, filled with what the check tells; where it names
+    something that the check doesn't tell, the detail stands instead.
     """
     spark = tables["cases"].sparkSession
     kept = [r for r in validated(rules) if not enforce or r.get("status") == ENFORCED_STATUS]
-    grid = applicability(tables["cases"], rule_table(spark, kept) if kept else spark.createDataFrame([], RULE_SCHEMA), as_of)
     tables = with_resolutions(tables)
-    plans = {(r["check"], json.dumps(r.get("params", {}))): None for r in kept}
-    parts = [builder(check)(tables, json.loads(params)).withColumns({"check_": F.lit(check), "params_": F.lit(params)}) for check, params in plans]
-    checks = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "case_id string, determination string, detail string, check_ string, params_ string")
-    checks = checks.withColumnRenamed("case_id", "of_case")
-    met = grid.join(checks, (F.col("case_id") == F.col("of_case")) & (F.col("check") == F.col("check_")) & (F.col("params") == F.col("params_")), "left")
+    plans = list(dict.fromkeys((r["check"], json.dumps(r.get("params", {}))) for r in kept))
+    answer = "struct<no:int,determination:string,detail:string,vars:map<string,string>>"
+    cases = tables["cases"].withColumn("answers_", F.array().cast(f"array<{answer}>"))
+    if plans:
+        parts = [_answers(builder(check)(tables, json.loads(params)), no) for no, (check, params) in enumerate(plans)]
+        # one row for each case, with as many answers as there are plans, before cases meet the rules
+        told = reduce(DataFrame.unionByName, parts).groupBy(F.col("case_id").alias("of_case_")).agg(F.collect_list("a").alias("told_"))
+        cases = cases.join(told, F.col("case_id") == F.col("of_case_"), "left").withColumn("answers_", F.coalesce(F.col("told_").cast(f"array<{answer}>"), "answers_")).drop("of_case_", "told_")
+    grid = applicability(cases, rule_table(spark, kept) if kept else spark.createDataFrame([], RULE_SCHEMA), as_of)
+    of_rule = {r["rule_id"]: plans.index((r["check"], json.dumps(r.get("params", {})))) for r in kept}
+    number = F.lit(-1)
+    for rule_id, no in of_rule.items():
+        number = F.when(F.col("rule_id") == rule_id, no).otherwise(number)
+    met = grid.withColumn("no_", number).withColumn("a_", F.get(F.filter("answers_", lambda a: a["no"] == F.col("no_")), F.lit(0)))
+    met = met.withColumns({"determination": F.col("a_.determination"), "detail": F.col("a_.detail"), "vars": F.coalesce("a_.vars", F.create_map().cast("map<string,string>"))})
     outcome = F.when(F.col("why_not").isNotNull(), "NOT_APPLICABLE").otherwise(F.coalesce("determination", F.lit("NOT_DETERMINABLE")))
     detail = F.coalesce(F.col("why_not"), F.col("detail"), F.lit("the check could not be completed; this is not a pass"))
-    found = met.select("case_id", "rule_id", "title", "category", "severity", "determinacy", "citations", "message", outcome.alias("determination"), detail.alias("detail"), F.lit(not enforce).alias("advisory"))
+    found = met.select("case_id", "rule_id", "title", "category", "severity", "determinacy", "citations", "message", outcome.alias("determination"), detail.alias("detail"), "vars", F.lit(not enforce).alias("advisory"))
     adverse = F.col("determination").isin("MISMATCH", "MISSING")
-    message = F.when(adverse, F.replace("message", F.lit("{detail}"), F.col("detail"))).otherwise(F.col("detail"))
+    known = F.map_zip_with("vars", F.create_map(F.lit("detail"), F.col("detail")), lambda _, own, given: F.coalesce(own, given))
+    filled = F.lit(None).cast("string")
+    for r in kept:
+        filled = F.when(F.col("rule_id") == r["rule_id"], rendered(r["message"], known)).otherwise(filled)
+    message = F.when(adverse, F.coalesce(filled, "detail", "title")).otherwise(F.col("detail"))
     found = found.withColumns({"disposition": disposition(F.col("determination"), F.col("severity"), F.col("determinacy")), "confidence": finding_confidence(F.col("determination"), F.col("determinacy")), "message": message})
-    return found.withColumn("regulatory", F.size("citations") > 0)
+    return found.withColumn("regulatory", F.size("citations") > 0).drop("vars")
 
 
 def finding_order() -> list[Column]:

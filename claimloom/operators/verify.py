@@ -1,10 +1,13 @@
 """Checks against outside sources: what to ask, with the least disclosure, and what an answer says.
 
-Observations arrive as a table; no executor reaches out. A source that did not answer never counts for or against a case.
+Observations arrive as a table, or from adapters that a caller registers; this module reaches out to nothing. A source that did not answer never counts for or against a case.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,6 +202,63 @@ def orchestrate(planned: DataFrame, observations: DataFrame, internals: DataFram
     return skipped.unionByName(done)
 
 
+OBSERVED = "case_id string, source_id string, attribute string, record_found boolean, record_as_of timestamp, retrieved_at timestamp, external struct<kind:string,cmp_key:string,raw:string,sq_m:decimal(28,6),basis:string>, error string"
+Adapter = Callable[[str, str, str, list[str]], list[dict]]
+
+
+def not_implemented(case_id: str, lookup_key: str, lookup_value: str, attributes: list[str]) -> list[dict]:
+    """An adapter for a source that nothing can ask yet."""
+    raise NotImplementedError("no adapter for this source")
+
+
+def static_adapter(records: dict[str, dict[str, dict]]) -> Adapter:
+    """An adapter that answers from records: lookup value -> attribute -> an observation's columns."""
+
+    def ask(case_id: str, lookup_key: str, lookup_value: str, attributes: list[str]) -> list[dict]:
+        held = records.get(lookup_value)
+        return [{"attribute": a, "record_found": held is not None, **((held or {}).get(a) or {})} for a in attributes]
+
+    return ask
+
+
+def observed(planned: DataFrame, adapters: dict[str, Adapter]) -> DataFrame:
+    """OBSERVED rows of the automated part of a plan. Only the one key of a plan's row is disclosed to its adapter.
+
+    A source without an adapter, or one that fails, yields a row for each attribute with its error and no record_found, which
+    orchestrate() reads as SOURCE_UNAVAILABLE; other rows go on.
+    """
+    names = [f.split()[0] for f in OBSERVED.split(", ")]
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                asked = [str(a) for a in r.attributes]
+                try:
+                    got = adapters.get(r.source_id, not_implemented)(r.case_id, r.lookup_key, r.lookup_value, asked)
+                except Exception as e:  # one source's failure is that source's rows
+                    got = [{"attribute": a, "error": f"{type(e).__name__}: {e}"} for a in asked]
+                rows += [{"case_id": r.case_id, "source_id": r.source_id, **g} for g in got]
+            yield pd.DataFrame([[row.get(n) for n in names] for row in rows], columns=names, dtype=object)
+
+    return planned.where("execution = 'AUTOMATED'").select("case_id", "source_id", "lookup_key", "lookup_value", "attributes").mapInPandas(of, OBSERVED)
+
+
+def key_notes(planned: DataFrame) -> DataFrame:
+    """case_id, source_id and note where disputed keys were passed over, or nothing else was left."""
+    named = F.array_join("ambiguous", ", ")
+    used = F.when(F.col("lookup_key").isNotNull(), F.concat(F.lit("; asked by "), F.col("lookup_key"))).otherwise("; nothing undisputed to ask by")
+    return planned.where(F.size("ambiguous") > 0).select("case_id", "source_id", F.concat(F.lit("disputed: "), named, used).alias("note"))
+
+
+def written_back(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """cases with verification, the counts of their results; zeros where nothing was verified."""
+    counted = results_summary(results, "case_id").withColumnRenamed("case_id", "of_case_")
+    names = ("total", "answered", "adverse", "needs_review")
+    out = cases.join(counted, F.col("case_id") == F.col("of_case_"), "left")
+    return out.select(*(F.col(c) for c in cases.columns), F.struct(*(F.coalesce(n, F.lit(0)).alias(n) for n in names)).alias("verification"))
+
+
 def results_summary(results: DataFrame, *keys: str) -> DataFrame:
     rows = checked(results)
     return rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("counts").alias("answered"), F.count_if("adverse").alias("adverse"), F.count_if("needs_review").alias("needs_review"))
@@ -209,6 +269,24 @@ def manual_tasks(planned: DataFrame) -> DataFrame:
     return planned.where("execution = 'MANUAL'").select("case_id", "source_id", "priority", "lookup_key", "lookup_value", "attributes", F.lit("OPEN").alias("state")).orderBy("priority", "case_id")
 
 
+#: States of a task in which someone must still act.
+OPEN_STATES = ("OPEN", "IN_PROGRESS")
+
+
+def task_events(tasks: DataFrame, state: str, at: Column, operator: Column, artefact: Column | None = None, note: Column | None = None) -> DataFrame:
+    """Log rows that complete tasks (COMPLETED), or tell that a record couldn't be had (UNOBTAINABLE): who, what for, when."""
+    text = lambda c: (c if c is not None else F.lit(None)).cast("string")
+    return tasks.select("task_id", F.lit(state).alias("state"), at.alias("at"), text(operator).alias("operator_id"), text(artefact).alias("artefact_ref"), text(note).alias("note"))
+
+
+def task_board(tasks: DataFrame, events: DataFrame, open_only: bool = True) -> DataFrame:
+    """tasks (task_id, priority, created_at, ...) with their latest state from the log, OPEN before any; the most urgent first."""
+    last = task_states(events).select(F.col("task_id").alias("of_task_"), F.col("state").alias("state"), F.col("at").alias("changed_at"))
+    out = tasks.drop("state").join(last, F.col("task_id") == F.col("of_task_"), "left").drop("of_task_").withColumn("state", F.coalesce("state", F.lit("OPEN")))
+    out = out.where(F.col("state").isin(*OPEN_STATES)) if open_only else out
+    return out.orderBy("priority", "created_at", "task_id")
+
+
 def task_states(events: DataFrame) -> DataFrame:
     """The latest state of each task from an append-only log (task_id, state, at, ord)."""
     return events.groupBy("task_id").agg(F.max_by("state", F.struct("at", "ord")).alias("state"), F.max("at").alias("at"), F.count("*").alias("n_events"))

@@ -248,7 +248,7 @@ def originals_held(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_CASES} SELECT case_id, CASE WHEN len(missing) = 0 THEN 'MATCH' ELSE 'MISSING' END AS determination, array_to_string(missing, ', ') AS detail FROM (SELECT case_id, [x FOR x IN ['A', 'N', 'R'] IF NOT list_contains(coalesce(present, []), x)] AS missing FROM c LEFT JOIN d ON d.k = case_id)")
 def documents_present(spark: SparkSession, folder: str) -> DataFrame:
     """Which expected document types a case lacks."""
-    return rules.builder("documents_present")(lending_cases(spark, folder), {"document_types": ["A", "N", "R"]})
+    return rules.builder("documents_present")(lending_cases(spark, folder), {"document_types": ["A", "N", "R"]}).drop("vars")
 
 
 _REQUIREMENTS = [("REQ_A", "RULE_READY"), ("REQ_B", "REQUIRES_LEGAL_REVIEW")]

@@ -117,7 +117,7 @@ _BY_CUSTOMER = f"{_RESULTS}, b AS (SELECT o_custkey AS k, z.* FROM z JOIN orders
 SELECT c_custkey AS case_id, CASE WHEN k IS NULL OR answered = 0 OR able = 0 THEN 'NOT_DETERMINABLE' WHEN worst = 'NOT_FOUND_IN_SOURCE' THEN 'MISSING' WHEN worst IN ('MATCH', 'MISMATCH', 'PARTIAL_MATCH') THEN worst ELSE 'NOT_DETERMINABLE' END AS determination, worst AS detail FROM customer LEFT JOIN g ON k = c_custkey""")
 def external_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """The worst usable answer of all sources."""
-    return rules.builder("external_agreement")(_tables(spark, folder), {"attribute": "transaction.consideration"})
+    return rules.builder("external_agreement")(_tables(spark, folder), {"attribute": "transaction.consideration"}).drop("vars")
 
 
 @query(f"""WITH {_BY_CUSTOMER}, g AS (SELECT k, count(*) FILTER (coalesce(external_value, '') <> '') AS records, count(*) FILTER (status = 'NOT_FOUND_IN_SOURCE') AS absent FROM b WHERE source_id = 'SRC_1' GROUP BY 1)
@@ -132,7 +132,7 @@ SELECT c_custkey AS case_id, CASE WHEN k IS NULL THEN 'NOT_DETERMINABLE' WHEN in
  coalesce(answered, 0) || ' of ' || coalesce(in_scope, 0) AS detail FROM customer LEFT JOIN g ON k = c_custkey""")
 def verification_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """How many in-scope checks were answered."""
-    return rules.builder("verification_coverage")(_tables(spark, folder), {})
+    return rules.builder("verification_coverage")(_tables(spark, folder), {}).drop("vars")
 
 
 @query("""SELECT user_id AS task_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events FROM events GROUP BY 1""")

@@ -33,13 +33,14 @@ def load_rules(path: str) -> list[dict]:
 
 
 def load_sources(spark: SparkSession, path: str) -> DataFrame:
-    """A source registry as rows: the worse tier of a range, verified terms as attributes."""
+    """A source registry as rows: the worse tier of a range, verified terms as attributes, the authority's name (else its id)."""
     data = load(path)
+    names = {a["id"]: a.get("name", a["id"]) for a in data.get("authorities") or []}
     rows = [
-        (s["id"], int(s.get("priority", 99)), worse_tier(str(s.get("tier_preliminary", "T6"))), list(s.get("keyed_by") or []), mapped_terms(s.get("verifies") or [], VERIFIED_ATTRIBUTE), list(s.get("blocked_on") or []), FRESHNESS.get(s["id"]))
+        (s["id"], int(s.get("priority", 99)), worse_tier(str(s.get("tier_preliminary", "T6"))), list(s.get("keyed_by") or []), mapped_terms(s.get("verifies") or [], VERIFIED_ATTRIBUTE), list(s.get("blocked_on") or []), FRESHNESS.get(s["id"]), names.get(s.get("authority"), s.get("authority") or "unknown"))
         for s in data.get("verification_sources") or []
     ]
-    return spark.createDataFrame(rows, SOURCE_SCHEMA)
+    return spark.createDataFrame(rows, f"{SOURCE_SCHEMA}, authority string")
 
 
 def load_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from claimloom.functions.text import collapsed
+
 CONTEXT, HITS = 320, 40
 
 
@@ -27,9 +29,14 @@ def put_content(files: DataFrame, path: str) -> None:
     new.write.mode("append").parquet(path)
 
 
+def stored_once(spark: SparkSession, path: str) -> DataFrame:
+    """The store's contents, one of each hash: two writers at once may both have added one."""
+    return spark.read.parquet(path).dropDuplicates(["sha256"])
+
+
 def get_content(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """Contents of keys (sha256); null where the store has none."""
-    return keys.join(spark.read.parquet(path), "sha256", "left")
+    return keys.join(stored_once(spark, path), "sha256", "left")
 
 
 def cache_key(sha: str = "sha256", page: str = "page", engine: str = "engine", dpi: str = "dpi"):
@@ -37,9 +44,9 @@ def cache_key(sha: str = "sha256", page: str = "page", engine: str = "engine", d
 
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Cached pages; an absent or unreadable cache is an empty one."""
+    """Cached pages; an absent or unreadable cache is an empty one, and a corrupt file holds no pages."""
     try:
-        return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
@@ -58,6 +65,24 @@ def markdown(title: str, rows: list[dict]) -> str:
     return "\n".join([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *(f"| {b} |" for b in body), ""])
 
 
+#: A document with more characters than this has a text layer.
+LAYER_CHARS, HEAD_CHARS = 1000, 400
+
+
+def dumped(pages: DataFrame, first: int, last: int | None = None, key: str = "doc") -> DataFrame:
+    """Pages first to last (first alone without last) of each document, with n_pages."""
+    counted = pages.groupBy(F.col(key).alias("of_")).agg(F.max("page").alias("n_pages"))
+    kept = pages.where(F.col("page").between(max(1, first), last or first))
+    return kept.join(counted, F.col(key) == F.col("of_")).select(key, "page", "n_pages", "text")
+
+
+def identified(pages: DataFrame, key: str = "doc") -> DataFrame:
+    """key, n_pages, text_chars, text_layer and head, the first page's beginning, of each document."""
+    head = F.left(collapsed(F.coalesce(F.min_by("text", "page"), F.lit(""))), F.lit(HEAD_CHARS))
+    chars = F.coalesce(F.sum(F.length("text")), F.lit(0))
+    return pages.groupBy(key).agg(F.max("page").alias("n_pages"), chars.alias("text_chars"), (chars > LAYER_CHARS).alias("text_layer"), head.alias("head"))
+
+
 def search(pages: DataFrame, pattern: str, keys: tuple[str, ...], limit: int | None = HITS) -> DataFrame:
     """Matches of a pattern in pages, white space collapsed, with context to either side; the limit is the caller's."""
     kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)

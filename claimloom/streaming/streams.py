@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.operators.verify import is_stale
+
 
 def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """A folder of parquet files as a stream; `path` may be one table."""
@@ -47,6 +49,25 @@ def answered_tasks(tasks: DataFrame, observations: DataFrame, key: str, wait: st
     return a.join(b, cond, "leftOuter").select(F.col(f"t.{key}").alias(key), "opened_at", "seen_at", F.when(F.col("seen_at").isNull(), "EXPIRED").otherwise("ANSWERED").alias("state"))
 
 
+def freshness(observations: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
+    """Observations (retrieved_at, record_as_of) with `stale`: older when fetched than their source allows. No state is kept.
+
+    sources is the registry, of fixed size, so it is the side that is broadcast.
+    """
+    limits = F.broadcast(sources.select(F.col(key).alias("of_source_"), "freshness_days"))
+    met = observations.join(limits, F.col(key) == F.col("of_source_"), "left")
+    return met.withColumn("stale", is_stale(F.col("retrieved_at"), F.col("record_as_of"), F.col("freshness_days"))).drop("of_source_", "freshness_days")
+
+
+def lapsed(records: DataFrame, key: str, seen: str, allowed, late: str = "1 hour") -> DataFrame:
+    """key, since, lapsed_at and n of records that weren't renewed in time, once event time has passed that moment.
+
+    allowed is how long a record stays fresh, an interval as text or a column. A session that ends is a record that has lapsed.
+    """
+    out = timed(records, seen).withWatermark(seen, late).groupBy(key, F.session_window(seen, allowed).alias("w")).agg(F.count("*").alias("n"))
+    return out.select(key, F.col("w.start").alias("since"), F.col("w.end").alias("lapsed_at"), "n")
+
+
 def running_calibration(stream: DataFrame) -> DataFrame:
     """Correction counts by claimed confidence, for update or complete mode."""
     return stream.groupBy("original_confidence").agg(F.count("*").alias("reviewed"), F.count_if(F.col("action") == "correct").alias("corrected"))
@@ -64,6 +85,13 @@ def collected(result: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return result.sparkSession.table(name)
 
 
+def latest_table(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
+    """The whole result of a stream over what is there now as parquet, replaced with each batch: nothing is held by the driver."""
+    result.sparkSession.createDataFrame([], result.schema).write.mode("overwrite").parquet(path)
+    write = lambda batch, epoch: batch.write.mode("overwrite").parquet(path)
+    result.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
 def to_table(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """A stream's result over what is there now, appended to parquet exactly once."""
     result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()

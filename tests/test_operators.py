@@ -469,3 +469,69 @@ def test_case_views(spark):
     assert feedback.verification_view(planned, results).first()["statuses"] == ["PENDING_MANUAL"]
     metrics = spark.createDataFrame([("findings.spurious", 0.0)], "metric string, value double")
     assert feedback.evaluation_view(metrics, evaluate.check_gates(metrics, evaluate.gate_table(spark))).first()["passed"] is True
+
+
+def test_each_hit_with_its_text(spark):
+    pages = spark.createDataFrame([("d", 1, "vendor vendee vendor"), ("d", 2, "Vendor"), ("e", 1, None)], "document_id string, page int, text string")
+    got = classify.hit_evidence(pages, (("party", r"\b(vendor|vendee)\b", "sale_deed", 3000, False),)).orderBy("page", "place").collect()
+    assert [(r["page"], r["place"], r["matched_text"], r["contribution"]) for r in got] == [(1, 1, "vendor", 3000), (1, 2, "vendee", 3000)]
+
+
+def test_every_note_of_an_amount_stays(spark):
+    text = "Consideration: Rs. 12,50,0000/- (Rupees One Crore only)"
+    spans = finders.finder_spans(spark.createDataFrame([("c", "d", 1, text)], "case_id string, document_id string, page int, text string"))
+    got = finders.valued(spans).where("finder = 'consideration'").first()
+    assert got["notes"] == ["figures and words differ", "irregular grouping"] and got["note"] == "figures and words differ"
+
+
+def test_messages_name_what_a_check_tells(spark):
+    rule = {"rule_id": "R", "title": "T", "category": "c", "severity": "HIGH", "determinacy": "DETERMINISTIC", "check": "documents_present", "params": {"document_types": ["a", "b"]}, "message": "{missing} of {expected_count}: {detail}"}
+    other = rule | {"rule_id": "S", "message": "no {such} name"}
+    cases = spark.createDataFrame([("c", ["a"]), ("d", ["a", "b"])], "case_id string, present array<string>")
+    for column in ("lender_type", "product", "state", "transaction_type", "security_type"):
+        cases = cases.withColumn(column, F.lit(None).cast("string"))
+    cases = cases.withColumn("regulatory_as_of", F.lit("2024-01-01").cast("date"))
+    claims = spark.createDataFrame([], "case_id string, subject_id string, attribute string, claim_id string, ord long, kind string, cmp_key string, sq_m decimal(28,6), basis string")
+    got = {(r["case_id"], r["rule_id"]): (r["determination"], r["message"]) for r in rules.evaluate({"cases": cases, "claims": claims}, [rule, other]).collect()}
+    assert got == {("c", "R"): ("MISSING", "b of 2: b"), ("c", "S"): ("MISSING", "b"), ("d", "R"): ("MATCH", ""), ("d", "S"): ("MATCH", "")}
+
+
+def test_adapters_fail_by_source(spark):
+    planned = spark.createDataFrame(
+        [("c", "A", "T2", 30, "AUTOMATED", "k", "v", ["party.owner"], ["k0"]), ("c", "B", "T2", 30, "AUTOMATED", "k", "v", ["party.owner"], []), ("c", "M", "T4", 30, "MANUAL", "k", "v", ["party.owner"], [])],
+        "case_id string, source_id string, tier string, freshness_days int, execution string, lookup_key string, lookup_value string, attributes array<string>, ambiguous array<string>",
+    )
+    owner = {"kind": "text", "cmp_key": "r. patil", "raw": "R. Patil", "sq_m": None, "basis": "unspecified"}
+    seen = verify.observed(planned, {"A": verify.static_adapter({"v": {"party.owner": {"external": owner, "retrieved_at": datetime(2024, 1, 1)}}})})
+    got = {r["source_id"]: r for r in seen.collect()}
+    assert got["A"]["record_found"] and got["A"]["external"]["raw"] == "R. Patil" and "NotImplementedError" in got["B"]["error"] and "M" not in got
+    own = spark.createDataFrame([("c", "party.owner", "MATCH", ("text", "ramesh patil", "Ramesh Patil", None, "unspecified"))], f"case_id string, attribute string, determination string, internal {VALUE}")
+    results = verify.orchestrate(planned, seen, own)
+    assert {r["source_id"]: r["status"] for r in results.collect()} == {"A": "MATCH", "B": "SOURCE_UNAVAILABLE", "M": "PENDING_MANUAL"}
+    assert [(r["source_id"], r["note"]) for r in verify.key_notes(planned).collect()] == [("A", "disputed: k0; asked by k")]
+    back = verify.written_back(spark.createDataFrame([("c",), ("x",)], "case_id string"), results).orderBy("case_id").collect()
+    assert (back[0]["verification"]["total"], back[1]["verification"]["total"]) == (3, 0)
+
+
+def test_task_board(spark):
+    tasks = spark.createDataFrame([("a", 2, 1), ("b", 1, 2), ("c", 1, 1)], "task_id string, priority int, created_at int")
+    done = verify.task_events(tasks.where("task_id = 'c'"), "UNOBTAINABLE", F.lit(5), F.lit("op"), note=F.lit("site down")).withColumn("ord", F.lit(1))
+    assert [(r["task_id"], r["state"]) for r in verify.task_board(tasks, done).collect()] == [("b", "OPEN"), ("a", "OPEN")]
+    assert verify.task_board(tasks, done, open_only=False).count() == 3
+
+
+def test_claims_stay_in_their_set(spark):
+    held = spark.createDataFrame([("s", "a", "1")], "subject_id string, attribute string, claim_id string")
+    assert claims.append(held, held, "s", "a").count() == 2
+    with pytest.raises(Exception, match="another subject_id"):
+        claims.append(held, held, "t").collect()
+
+
+def test_engines(spark):
+    assert pages.default_engine(None)[0] is None
+    assert pages.default_engine(lambda: 1 / 0) == (None, "ZeroDivisionError: division by zero")
+    block = {"text": "x", "x0": 200.0, "y0": 0.0, "x1": 400.0, "y1": 200.0, "confidence": 0.5}
+    images = spark.createDataFrame([("s", b"1")], "sha256 string, content binary")
+    got = pages.recognised_images(images, lambda data: [block]).first()
+    assert (got["page"], got["source"]) == (1, "ocr") and abs(got["blocks"][0]["x0"] - 72.0) < 1e-9
+    assert pages.recognised_images(images, None).first()["source"] == "empty"

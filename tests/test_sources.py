@@ -35,9 +35,9 @@ def test_content_store_is_idempotent(spark, tmp_path):
 def test_specifications(spark, tmp_path):
     (tmp_path / "rules.json").write_text(json.dumps({"rules": list(RULES)}))
     assert len(specs.load_rules(str(tmp_path / "rules.json"))) == 12
-    (tmp_path / "sources.json").write_text(json.dumps({"verification_sources": [{"id": "SRC_CERSAI", "priority": 1, "tier_preliminary": "T1_OR_T2", "verifies": ["encumbrance", "existing_charges"], "keyed_by": ["cts_number"]}]}))
+    (tmp_path / "sources.json").write_text(json.dumps({"authorities": [{"id": "A", "name": "The Authority"}], "verification_sources": [{"id": "SRC_CERSAI", "authority": "A", "priority": 1, "tier_preliminary": "T1_OR_T2", "verifies": ["encumbrance", "existing_charges"], "keyed_by": ["cts_number"]}]}))
     source = specs.load_sources(spark, str(tmp_path / "sources.json")).first()
-    assert (source["tier"], source["verifies"], source["freshness_days"]) == ("T2", ["property.encumbrance"], 30)
+    assert (source["tier"], source["verifies"], source["freshness_days"], source["authority"]) == ("T2", ["property.encumbrance"], 30, "The Authority")
     folder = tmp_path / "truth"
     folder.mkdir()
     (folder / "a.json").write_text(json.dumps({"case_id": "c", "documents": [{"file": "f", "document_type": "sale_deed", "fields": {"seller": "A"}, "absent_fields": ["owner"]}]}))
@@ -81,3 +81,17 @@ def test_stream_tasks(spark, tmp_path):
     seen = streams.table_stream(spark, str(tmp_path / "seen"), "k string, seen_at timestamp")
     got = streams.collected(streams.answered_tasks(tasks, seen, "k"), "tasks_test").where(F.col("state") == "ANSWERED").collect()
     assert [r["k"] for r in got] == ["a"]
+
+
+def test_a_corrupt_cache_file_is_a_miss(spark, tmp_path):
+    folder = tmp_path / "cache"
+    spark.createDataFrame([("k", "page")], "key string, text string").write.parquet(f"file://{folder}")
+    (folder / "broken.parquet").write_bytes(b"PAR1 this is no table")
+    assert [r["key"] for r in stores.read_cache(spark, f"file://{folder}", "key string, text string").collect()] == ["k"]
+
+
+def test_corpus_pages(spark):
+    frame = spark.createDataFrame([("d", 1, "one  two"), ("d", 2, "x" * 1000), ("d", 3, None), ("e", 1, None)], "doc string, page int, text string")
+    assert [(r["page"], r["n_pages"]) for r in stores.dumped(frame, 2).collect()] == [(2, 3)]
+    got = {r["doc"]: (r["n_pages"], r["text_chars"], r["text_layer"], r["head"]) for r in stores.identified(frame).collect()}
+    assert got == {"d": (3, 1008, True, "one two"), "e": (1, 0, False, "")}
