@@ -57,22 +57,31 @@ def clusters(claims: DataFrame, pct: float = TOLERANCE_PCT) -> DataFrame:
     """Agreement groups: the set's columns, kind, leader (its first value), first_ord and n.
 
     Exact kinds are one aggregation, combined before the shuffle. Areas agree only within tolerance, so they are folded in
-    order: a claim joins the first group whose first member it agrees with. One subject's areas are few.
+    order: a claim joins the first group whose first member it agrees with. Equal areas join the same group, so they are
+    counted first, and a subject's row holds its different areas alone.
     """
     exact = claims.where(F.col("kind") != "area").groupBy(*SET, "kind", F.col("cmp_key").alias("leader")).agg(F.min("ord").alias("first_ord"), F.count("*").alias("n"))
-    areas = claims.where(F.col("kind") == "area").groupBy(*SET, "kind").agg(F.array_sort(F.collect_list(F.struct("ord", "sq_m", "basis", "cmp_key"))).alias("held"))
-    start = F.array().cast("array<struct<sq_m:decimal(28,6),basis:string,leader:string,first_ord:bigint,n:bigint>>")
-
-    def step(groups: Column, x: Column) -> Column:
-        same = lambda g: ((g["basis"] == x["basis"]) | (g["basis"] == "unspecified") | (x["basis"] == "unspecified")) & within_tolerance(g["sq_m"], x["sq_m"], pct)
-        at = F.array_position(F.transform(groups, same), F.lit(True))
-        grown = F.transform(groups, lambda g, i: F.struct(g["sq_m"], g["basis"], g["leader"], g["first_ord"], (g["n"] + F.when(i + 1 == at, 1).otherwise(0)).alias("n")))
-        own = F.struct(x["sq_m"].alias("sq_m"), x["basis"].alias("basis"), x["cmp_key"].alias("leader"), x["ord"].cast("bigint").alias("first_ord"), F.lit(1).cast("bigint").alias("n"))
-        return F.when(at > 0, grown.cast(start_type)).otherwise(F.concat(groups, F.array(own).cast(start_type)))
-
-    start_type = "array<struct<sq_m:decimal(28,6),basis:string,leader:string,first_ord:bigint,n:bigint>>"
-    folded = areas.select(*SET, "kind", F.explode(F.aggregate("held", start, step)).alias("g"))
-    folded = folded.select(*SET, "kind", "g.leader", F.col("g.first_ord").alias("first_ord"), F.col("g.n").alias("n"))
+    # an area without size or basis does not agree with itself: such claims stay apart
+    alone = F.when(F.col("sq_m").isNull() | F.col("basis").isNull(), F.monotonically_increasing_id())
+    sized = claims.where(F.col("kind") == "area").withColumn("alone", alone).withColumn("sq_m", F.col("sq_m").cast("decimal(28,6)"))
+    equal = sized.groupBy(*SET, "kind", "sq_m", "basis", "alone").agg(F.min(F.struct(F.col("ord").cast("bigint").alias("ord"), "cmp_key")).alias("first"), F.count("*").alias("n"))
+    one = F.struct(F.col("first.ord").alias("ord"), F.col("sq_m"), F.col("basis"), F.col("first.cmp_key").alias("cmp_key"), F.col("n"))
+    areas = equal.groupBy(*SET, "kind").agg(F.array_sort(F.collect_list(one)).alias("held"))
+
+    def same(g: Column, x: Column) -> Column:
+        return F.coalesce(((g["basis"] == x["basis"]) | (g["basis"] == "unspecified") | (x["basis"] == "unspecified")) & within_tolerance(g["sq_m"], x["sq_m"], pct), F.lit(False))
+
+    def step(leaders: Column, x: Column) -> Column:
+        return F.when(F.exists(leaders, lambda g: same(g, x)), leaders).otherwise(F.concat(leaders, F.array(x)))
+
+    start = F.array().cast("array<struct<ord:bigint,sq_m:decimal(28,6),basis:string,cmp_key:string,n:bigint>>")
+    led = areas.withColumn("leaders", F.aggregate("held", start, step))
+    # leaders never change, so each claim's group is its own or the first of the final ones that it agrees with
+    place = lambda x: F.coalesce(F.nullif(F.array_position("leaders", x), F.lit(0)), F.array_position(F.transform("leaders", lambda g: same(g, x)), F.lit(True)))
+    joined = F.transform("held", lambda x: F.struct(place(x).alias("at"), x["n"].alias("n")))
+    each = led.withColumn("joined", joined).select(*SET, "kind", "joined", F.posexplode("leaders").alias("no", "g"))
+    members = F.aggregate(F.filter("joined", lambda j: j["at"] == F.col("no") + 1), F.lit(0).cast("bigint"), lambda n, j: n + j["n"])
+    folded = each.select(*SET, "kind", F.col("g.cmp_key").alias("leader"), F.col("g.ord").alias("first_ord"), members.alias("n"))
     return exact.select(*SET, "kind", "leader", F.col("first_ord").cast("bigint").alias("first_ord"), "n").unionByName(folded)
 
 

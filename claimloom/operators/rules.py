@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -316,14 +315,14 @@ def with_resolutions(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables if "resolutions" in tables else tables | {"resolutions": resolve(tables["claims"])}
 
 
-def _answers(checks: DataFrame, no: int) -> DataFrame:
-    """case_id and a, one plan's answer with its number."""
+def _answer(checks: DataFrame, no: int) -> DataFrame:
+    """One plan's answers under names with its number: the case, determination, detail and vars."""
     vars_ = F.col("vars") if "vars" in checks.columns else F.create_map().cast("map<string,string>")
-    return checks.select("case_id", F.struct(F.lit(no).alias("no"), F.col("determination"), F.col("detail").cast("string").alias("detail"), vars_.alias("vars")).alias("a"))
+    return checks.select(F.col("case_id").alias(f"of_{no}_"), F.col("determination").alias(f"d_{no}_"), F.col("detail").cast("string").alias(f"t_{no}_"), vars_.alias(f"v_{no}_"))
 
 
 def evaluate(tables: dict[str, DataFrame], rules: list[dict] | tuple[dict, ...] = RULES, enforce: bool = False, as_of: Column | None = None) -> DataFrame:
-    """Findings: a row for each case and rule.
+    """Findings: a row for each case (of which cases holds one row) and rule.
 
     enforce runs approved rules alone; otherwise all run and findings are advisory. Rules that share a check and parameters
     share its plan. An adverse finding's message is its rule's template, filled with what the check tells; where it names
@@ -333,20 +332,22 @@ def evaluate(tables: dict[str, DataFrame], rules: list[dict] | tuple[dict, ...]
     kept = [r for r in validated(rules) if not enforce or r.get("status") == ENFORCED_STATUS]
     tables = with_resolutions(tables)
     plans = list(dict.fromkeys((r["check"], json.dumps(r.get("params", {}))) for r in kept))
-    answer = "struct<no:int,determination:string,detail:string,vars:map<string,string>>"
-    cases = tables["cases"].withColumn("answers_", F.array().cast(f"array<{answer}>"))
-    if plans:
-        parts = [_answers(builder(check)(tables, json.loads(params)), no) for no, (check, params) in enumerate(plans)]
-        # one row for each case, with as many answers as there are plans, before cases meet the rules
-        told = reduce(DataFrame.unionByName, parts).groupBy(F.col("case_id").alias("of_case_")).agg(F.collect_list("a").alias("told_"))
-        cases = cases.join(told, F.col("case_id") == F.col("of_case_"), "left").withColumn("answers_", F.coalesce(F.col("told_").cast(f"array<{answer}>"), "answers_")).drop("of_case_", "told_")
+    cases = tables["cases"]
+    for no, (check, params) in enumerate(plans):
+        # a row for each case, wider by an answer: all joins are on case_id, before cases meet the rules
+        told = _answer(builder(check)(tables, json.loads(params)), no)
+        cases = cases.join(told, F.col("case_id") == F.col(f"of_{no}_"), "left").drop(f"of_{no}_")
     grid = applicability(cases, rule_table(spark, kept) if kept else spark.createDataFrame([], RULE_SCHEMA), as_of)
-    of_rule = {r["rule_id"]: plans.index((r["check"], json.dumps(r.get("params", {})))) for r in kept}
-    number = F.lit(-1)
-    for rule_id, no in of_rule.items():
-        number = F.when(F.col("rule_id") == rule_id, no).otherwise(number)
-    met = grid.withColumn("no_", number).withColumn("a_", F.get(F.filter("answers_", lambda a: a["no"] == F.col("no_")), F.lit(0)))
-    met = met.withColumns({"determination": F.col("a_.determination"), "detail": F.col("a_.detail"), "vars": F.coalesce("a_.vars", F.create_map().cast("map<string,string>"))})
+    plan_of = {r["rule_id"]: plans.index((r["check"], json.dumps(r.get("params", {})))) for r in kept}
+
+    def told_by(prefix: str, kind: str) -> Column:
+        """The answer of the rule's own plan."""
+        out = F.lit(None).cast(kind)
+        for rule_id, no in plan_of.items():
+            out = F.when(F.col("rule_id") == rule_id, F.col(f"{prefix}_{no}_")).otherwise(out)
+        return out
+
+    met = grid.withColumns({"determination": told_by("d", "string"), "detail": told_by("t", "string"), "vars": F.coalesce(told_by("v", "map<string,string>"), F.create_map().cast("map<string,string>"))})
     outcome = F.when(F.col("why_not").isNotNull(), "NOT_APPLICABLE").otherwise(F.coalesce("determination", F.lit("NOT_DETERMINABLE")))
     detail = F.coalesce(F.col("why_not"), F.col("detail"), F.lit("the check could not be completed; this is not a pass"))
     found = met.select("case_id", "rule_id", "title", "category", "severity", "determinacy", "citations", "message", outcome.alias("determination"), detail.alias("detail"), "vars", F.lit(not enforce).alias("advisory"))

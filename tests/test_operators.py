@@ -535,3 +535,9 @@ def test_engines(spark):
     got = pages.recognised_images(images, lambda data: [block]).first()
     assert (got["page"], got["source"]) == (1, "ocr") and abs(got["blocks"][0]["x0"] - 72.0) < 1e-9
     assert pages.recognised_images(images, None).first()["source"] == "empty"
+
+
+def test_areas_without_size_stay_apart(spark):
+    rows = [claim(1, "100", kind="area", sq_m=100), claim(2, "none", kind="area"), claim(3, "100", kind="area", sq_m=100), claim(4, "none", kind="area"), claim(5, "101", kind="area", sq_m=101)]
+    got = claims.clusters(spark.createDataFrame(rows, CLAIM)).orderBy("first_ord").collect()
+    assert [(r["leader"], r["first_ord"], r["n"]) for r in got] == [("100", 1, 3), ("none", 2, 1), ("none", 4, 1)]
